@@ -8,9 +8,9 @@ be unique: rows that tie on every ordering column are interchangeable.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 # Quantities are exact decimals.  A product of two DECIMAL(38, s) loses scale in
 # Spark, so sums are cast back to QUANTITY before they are multiplied by a PRICE.
@@ -21,19 +21,48 @@ TOTAL = "decimal(28,8)"
 TAGS = "array<struct<name:string,value:string>>"
 AMOUNT = f"struct<quantity:{QUANTITY},commodity:string,precision:int>"
 
-TRANSACTIONS = (
-    f"tindex bigint, date date, payee string, note string, status string, tags {TAGS}, "
-    "source_file string, source_line bigint"
-)
-POSTINGS = (
-    "tindex bigint, leg int, pos int, date date, pdate date, account string, commodity string, "
-    f"quantity {QUANTITY}, precision int, status string, cost_quantity {QUANTITY}, "
-    "cost_commodity string, is_assertion boolean"
-)
-PRICES = f"date date, commodity string, price {PRICE}, target string, source string, seq bigint"
-ASSERTIONS = (
-    f"tindex bigint, leg int, date date, account string, quantity {QUANTITY}, commodity string, precision int"
-)
+TRANSACTIONS = {
+    "tindex": "bigint",
+    "date": "date",
+    "payee": "string",
+    "note": "string",
+    "status": "string",
+    "tags": TAGS,
+    "source_file": "string",
+    "source_line": "bigint",
+}
+POSTINGS = {
+    "tindex": "bigint",
+    "leg": "int",
+    "pos": "int",
+    "date": "date",
+    "pdate": "date",
+    "account": "string",
+    "commodity": "string",
+    "quantity": QUANTITY,
+    "precision": "int",
+    "status": "string",
+    "cost_quantity": QUANTITY,
+    "cost_commodity": "string",
+    "is_assertion": "boolean",
+}
+PRICES = {
+    "date": "date",
+    "commodity": "string",
+    "price": PRICE,
+    "target": "string",
+    "source": "string",
+    "seq": "bigint",
+}
+ASSERTIONS = {
+    "tindex": "bigint",
+    "leg": "int",
+    "date": "date",
+    "account": "string",
+    "quantity": QUANTITY,
+    "commodity": "string",
+    "precision": "int",
+}
 
 # Transaction states, in display order.
 STATUSES = ("Cleared", "Pending", "Unmarked")
@@ -42,33 +71,36 @@ STATUSES = ("Cleared", "Pending", "Unmarked")
 LAST_LEG = 1_000_000
 
 
-def conform(df: DataFrame, schema: str) -> DataFrame:
+def conform(df: DataFrame, schema: dict[str, str]) -> DataFrame:
     """Select and cast the columns of ``schema``; absent columns become NULL."""
-    fields = df.sparkSession.createDataFrame([], schema).schema.fields
     have = set(df.columns)
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in fields
-        ]
+    return df.selectExpr(
+        *[f"cast({name if name in have else 'null'} as {kind}) as {name}" for name, kind in schema.items()]
     )
 
 
-@dataclass(frozen=True)
 class Ledger:
-    """A set of books: two frames that grow with the data and four dimensions."""
-
-    transactions: DataFrame
-    postings: DataFrame
-    prices: DataFrame | None = None
-    assertions: DataFrame | None = None
-    accounts: DataFrame | None = None
-    commodities: DataFrame | None = None
-
-    def having(self, **frames: DataFrame) -> "Ledger":
-        return replace(self, **frames)
-
-
-def posting_order() -> list[Column]:
-    """Date, journal and leg order, completed to a total order over posting values."""
-    return [F.col(c) for c in ("date", "tindex", "leg", "pos", "account", "quantity")]
+    """A set of books.
+
+    Transactions, postings, assertions and prices grow with the data, the declared
+    accounts and commodities are dimensions.  Each frame may be given as a function; it
+    is then built when a report first asks for it."""
+
+    FRAMES = ("transactions", "postings", "prices", "assertions", "accounts", "commodities")
+
+    def __init__(self, transactions=None, postings=None, prices=None, assertions=None, accounts=None, commodities=None):
+        self._frames: dict[str, DataFrame | Callable[[], DataFrame] | None] = dict(
+            zip(self.FRAMES, (transactions, postings, prices, assertions, accounts, commodities))
+        )
+
+    def __getattr__(self, name: str) -> DataFrame | None:
+        if name not in Ledger.FRAMES:
+            raise AttributeError(name)
+        frame = self._frames[name]
+        if callable(frame):
+            frame = self._frames[name] = frame()
+        return frame
+
+    def having(self, **frames) -> "Ledger":
+        """The same books with some frames replaced."""
+        return Ledger(**{**self._frames, **frames})

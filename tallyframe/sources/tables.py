@@ -9,46 +9,52 @@ hold any share of all rows without one task having to see all of it.
 from __future__ import annotations
 
 import datetime as dt
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.model import (
-    ASSERTIONS,
-    LAST_LEG,
-    POSTINGS,
-    PRICES,
-    QUANTITY,
-    TRANSACTIONS,
-    Ledger,
-    conform,
-)
+from tallyframe.model import ASSERTIONS, LAST_LEG, POSTINGS, PRICES, QUANTITY, TRANSACTIONS, Ledger, conform
 
 INCOME_BASE = 2_000_000_000
 ASSERTION_BASE = 3_000_000_000
-COMMODITY_OF_REGION = ("USD", "EUR", "GBP", "UAH", "CHF")
-STATUS_OF_ORDER = {"F": "Cleared", "P": "Pending", "O": "Unmarked"}
 PRICE_MONTHS = 360  # 1995-01 to 2024-12
 
-
-def table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{name}.parquet")
+# Given schemas, so that no job has to read file footers to plan a query.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 
 
-def _pick(key: Column, cases: dict) -> Column:
-    out = F.lit(None).cast("string")
-    for value, result in cases.items():
-        out = F.when(key == F.lit(value), F.lit(result)).otherwise(out)
-    return out
+def table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}.parquet")
 
 
-def _stamp_window(stamp: Column, begin: dt.date | None, end: dt.date | None) -> Column:
+def _bounds(stamp: str, begin: dt.date | None, end: dt.date | None) -> str:
     """Date bounds on the raw timestamp, a form the parquet scan can use."""
-    out = F.lit(True)
+    terms = ["true"]
     if begin is not None:
-        out = out & (stamp >= F.lit(begin.isoformat()).cast("timestamp_ntz"))
+        terms.append(f"{stamp} >= timestamp_ntz'{begin.isoformat()}'")
     if end is not None:
-        out = out & (stamp < F.lit(end.isoformat()).cast("timestamp_ntz"))
-    return out
+        terms.append(f"{stamp} < timestamp_ntz'{end.isoformat()}'")
+    return " AND ".join(terms)
+
+
+# A refunded line counts negative.
+LINE_AMOUNT = "CASE WHEN l_returnflag = 'R' THEN -CAST(l_extendedprice AS DECIMAL(18,2)) " \
+    "ELSE CAST(l_extendedprice AS DECIMAL(18,2)) END"
 
 
 class OrderBooks:
@@ -65,182 +71,160 @@ class OrderBooks:
         end: dt.date | None = None,
     ):
         self.spark, self.path, self.begin, self.end = spark, path, begin, end
+        self._tables: dict[str, DataFrame] = {}
 
-    def _table(self, name: str) -> DataFrame:
-        return table(self.spark, self.path, name)
+    def table(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = table(self.spark, self.path, name)
+        return self._tables[name]
 
+    @cached_property
     def _orders(self) -> DataFrame:
-        """Orders with their customer: one row per order."""
-        nation = self._table("nation").select(
-            "n_nationkey", _pick(F.col("n_regionkey"), dict(enumerate(COMMODITY_OF_REGION))).alias("commodity")
-        )
-        customer = (
-            self._table("customer")
-            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-            .select("c_custkey", "c_name", "c_mktsegment", "commodity")
-        )
-        return (
-            self._table("orders")
-            .where(_stamp_window(F.col("o_orderdate"), self.begin, self.end))
-            .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-            .select(
-                "o_orderkey",
-                (F.col("o_orderkey") + 1).alias("tindex"),
-                F.col("o_orderdate").cast("date").alias("date"),
-                F.col("c_name").alias("customer"),
-                F.col("o_orderpriority").alias("priority"),
-                F.col("c_mktsegment").alias("segment"),
-                _pick(F.col("o_orderstatus"), STATUS_OF_ORDER).alias("status"),
-                F.col("o_totalprice").cast("decimal(18,2)").alias("total"),
-                "commodity",
-            )
+        """One row per order, with its customer.  Nations are 25 rows at any scale; how
+        the other joins run is left to their measured sizes."""
+        return self.spark.sql(
+            f"""
+            SELECT o_orderkey,
+                   o_orderkey + 1 AS tindex,
+                   CAST(o_orderdate AS DATE) AS date,
+                   c_name AS customer,
+                   o_orderpriority AS priority,
+                   c_mktsegment AS segment,
+                   CASE o_orderstatus WHEN 'F' THEN 'Cleared' WHEN 'P' THEN 'Pending' ELSE 'Unmarked' END AS status,
+                   CAST(o_totalprice AS DECIMAL(18,2)) AS total,
+                   CASE n_regionkey WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'GBP'
+                                    WHEN 3 THEN 'UAH' ELSE 'CHF' END AS commodity
+            FROM {{orders}}
+            JOIN {{customer}} ON o_custkey = c_custkey
+            JOIN {{nation}} ON c_nationkey = n_nationkey
+            WHERE {_bounds('o_orderdate', self.begin, self.end)}
+            """,
+            orders=self.table("orders"),
+            customer=self.table("customer"),
+            nation=self.table("nation"),
         )
 
-    def _line_amount(self) -> Column:
-        price = F.col("l_extendedprice").cast("decimal(18,2)")
-        return F.when(F.col("l_returnflag") == "R", -price).otherwise(price)
-
+    @cached_property
     def _headers(self) -> DataFrame:
         """Orders with the sum of their lines, NULL where there is none.  The sum is
         combined before its shuffle, so a huge order arrives as a handful of rows."""
-        sums = (
-            self._table("lineitem")
-            .groupBy("l_orderkey")
-            .agg(F.sum(self._line_amount()).cast(QUANTITY).alias("line_total"))
+        return self.spark.sql(
+            f"""
+            SELECT o.*, s.line_total
+            FROM {{orders}} o
+            LEFT JOIN (
+                SELECT l_orderkey, CAST(sum({LINE_AMOUNT}) AS {QUANTITY}) AS line_total
+                FROM {{lineitem}} GROUP BY l_orderkey
+            ) s ON o_orderkey = l_orderkey
+            """,
+            orders=self._orders,
+            lineitem=self.table("lineitem"),
         )
-        return self._orders().join(sums, F.col("o_orderkey") == F.col("l_orderkey"), "left")
 
+    @cached_property
     def _purchases(self) -> DataFrame:
         return (
-            self._table("events")
-            .where(F.col("event_type") == "purchase")
-            .where(_stamp_window(F.col("ts"), self.begin, self.end))
-            .select(
-                (F.col("event_id") + INCOME_BASE).alias("tindex"),
-                F.col("ts").cast("date").alias("date"),
-                F.col("user_id"),
-                F.col("value").cast("decimal(18,2)").alias("value"),
+            self.table("events")
+            .where(f"event_type = 'purchase' AND {_bounds('ts', self.begin, self.end)}")
+            .selectExpr(
+                f"event_id + {INCOME_BASE} AS tindex",
+                "CAST(ts AS DATE) AS date",
+                "user_id",
+                "CAST(value AS DECIMAL(18,2)) AS value",
             )
         )
 
     def transactions(self) -> DataFrame:
-        def tag(name, value):
-            return F.struct(F.lit(name).alias("name"), value.alias("value"))
-
-        orders = self._headers().select(
+        orders = self._headers.selectExpr(
             "tindex",
             "date",
-            F.when(F.col("line_total").isNull(), F.lit("Internal Transfer")).otherwise(F.col("customer")).alias("payee"),
-            F.col("priority").alias("note"),
+            "CASE WHEN line_total IS NULL THEN 'Internal Transfer' ELSE customer END AS payee",
+            "priority AS note",
             "status",
-            F.array(tag("segment", F.col("segment")), tag("priority", F.col("priority"))).alias("tags"),
+            "array(named_struct('name', 'segment', 'value', segment), "
+            "named_struct('name', 'priority', 'value', priority)) AS tags",
         )
-        income = self._purchases().select(
+        income = self._purchases.selectExpr(
             "tindex",
             "date",
-            F.concat(F.lit("User "), F.col("user_id").cast("string")).alias("payee"),
-            F.lit("").alias("note"),
-            F.lit("Cleared").alias("status"),
-            F.array().cast("array<struct<name:string,value:string>>").alias("tags"),
+            "concat('User ', user_id) AS payee",
+            "'' AS note",
+            "'Cleared' AS status",
+            "CAST(array() AS array<struct<name:string,value:string>>) AS tags",
         )
-        return conform(orders.unionByName(income), TRANSACTIONS)
+        return conform(orders.union(income), TRANSACTIONS)
 
     def postings(self) -> DataFrame:
-        part = self._table("part").select("p_partkey", "p_type", "p_brand")
-        expenses = (
-            self._table("lineitem")
-            .join(self._orders().select("o_orderkey", "tindex", "date", "commodity"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(part, F.col("l_partkey") == F.col("p_partkey"))
-            .select(
-                "tindex",
-                F.col("l_linenumber").alias("leg"),
-                "date",
-                F.concat_ws(":", F.lit("Expenses"), "p_type", "p_brand").alias("account"),
-                "commodity",
-                self._line_amount().cast(QUANTITY).alias("quantity"),
-            )
-        )
-
-        def leg(number, account, quantity):
-            return F.struct(
-                F.lit(number).alias("leg"), account.alias("account"), quantity.cast(QUANTITY).alias("quantity")
-            )
-
-        pays = F.concat(
-            F.when(F.col("status") == "Pending", F.lit("Liabilities:Card:")).otherwise(F.lit("Assets:Bank:")),
-            F.col("segment"),
+        expenses = self.spark.sql(
+            f"""
+            SELECT tindex, l_linenumber AS leg, date, concat_ws(':', 'Expenses', p_type, p_brand) AS account,
+                   commodity, CAST({LINE_AMOUNT} AS {QUANTITY}) AS quantity
+            FROM {{lineitem}}
+            JOIN {{orders}} ON l_orderkey = o_orderkey
+            JOIN {{part}} ON l_partkey = p_partkey
+            """,
+            lineitem=self.table("lineitem"),
+            orders=self._orders,
+            part=self.table("part"),
         )
-        paid = leg(LAST_LEG, pays, -F.coalesce(F.col("line_total"), F.col("total")))
-        saved = leg(1, F.lit("Assets:Savings"), F.col("total"))
-        paying = self._headers().select(
+        paying = self._headers.selectExpr(
             "tindex",
             "date",
             "commodity",
-            F.inline(F.when(F.col("line_total").isNull(), F.array(saved, paid)).otherwise(F.array(paid))),
-        )
-        income = self._purchases().select(
+            f"""inline(filter(array(
+                CASE WHEN line_total IS NULL THEN
+                    named_struct('leg', 1, 'account', 'Assets:Savings', 'quantity', CAST(total AS {QUANTITY})) END,
+                named_struct('leg', {LAST_LEG},
+                    'account', concat(CASE status WHEN 'Pending' THEN 'Liabilities:Card:' ELSE 'Assets:Bank:' END, segment),
+                    'quantity', CAST(-coalesce(line_total, total) AS {QUANTITY}))
+            ), l -> l IS NOT NULL))""",
+        ).select("tindex", "leg", "date", "account", "commodity", "quantity")
+        income = self._purchases.selectExpr(
             "tindex",
             "date",
-            F.lit("USD").alias("commodity"),
-            F.inline(
-                F.array(
-                    leg(1, F.lit("Assets:Cash"), F.col("value")),
-                    leg(2, F.lit("Income:Sales"), -F.col("value")),
-                )
-            ),
-        )
-        legs = expenses.unionByName(paying).unionByName(income)
-        return conform(
-            legs.withColumns({"pos": F.lit(0), "precision": F.lit(2), "is_assertion": F.lit(False)}), POSTINGS
-        )
+            "'USD' AS commodity",
+            f"""inline(array(
+                named_struct('leg', 1, 'account', 'Assets:Cash', 'quantity', CAST(value AS {QUANTITY})),
+                named_struct('leg', 2, 'account', 'Income:Sales', 'quantity', CAST(-value AS {QUANTITY}))))""",
+        ).select("tindex", "leg", "date", "account", "commodity", "quantity")
+        legs = expenses.union(paying).union(income)
+        return conform(legs.selectExpr("*", "0 AS pos", "2 AS precision", "false AS is_assertion"), POSTINGS)
 
     def prices(self) -> DataFrame:
-        """Declared prices, one row per pair and month start."""
-        k = F.col("id").cast("int")
-
-        def quote(commodity, target, price, seq):
-            return F.struct(
-                F.lit(commodity).alias("commodity"),
-                price.cast("decimal(18,8)").alias("price"),
-                F.lit(target).alias("target"),
-                F.lit(seq).alias("n"),
-            )
-
-        months = self.spark.range(PRICE_MONTHS).select(
-            k.alias("m"),
-            F.add_months(F.lit(dt.date(1995, 1, 1)), k).alias("date"),
-            # k counts months from year 0, so that it does not depend on the start.
-            (k + 12 * 1995).alias("k"),
-        )
-        cents = lambda base, step: F.lit(base) + (F.col("k") % step).cast("decimal(10,2)") / 100
-        rows = months.select(
-            "m",
-            "date",
-            F.inline(
-                F.array(
-                    quote("GBP", "EUR", cents(1.10, 10), 1),
-                    quote("USD", "UAH", F.when(F.col("k") % 2 == 0, 40).otherwise(25), 2),
-                    quote("EUR", "USD", cents(1.05, 20), 3),
-                )
-            ),
-        )
+        """Declared prices, one row per pair and month start.  ``k`` counts months from
+        year 0, so that a price does not depend on the first month."""
         return conform(
-            rows.withColumns({"source": F.lit("declared"), "seq": F.col("m") * 3 + F.col("n")}), PRICES
+            self.spark.sql(
+                f"""
+                SELECT date, q.commodity, q.price, q.target, 'declared' AS source, id * 3 + q.n AS seq
+                FROM (
+                    SELECT id, add_months(date'1995-01-01', CAST(id AS INT)) AS date, id + 12 * 1995 AS k
+                    FROM range({PRICE_MONTHS})
+                ) LATERAL VIEW explode(array(
+                    named_struct('commodity', 'GBP', 'price', 1.10 + CAST(k % 10 AS DECIMAL(4,0)) * 0.01,
+                                 'target', 'EUR', 'n', 1),
+                    named_struct('commodity', 'USD', 'price', CASE WHEN k % 2 = 0 THEN 40 ELSE 25 END + 0.00,
+                                 'target', 'UAH', 'n', 2),
+                    named_struct('commodity', 'EUR', 'price', 1.05 + CAST(k % 20 AS DECIMAL(4,0)) * 0.01,
+                                 'target', 'USD', 'n', 3)
+                )) AS q
+                """
+            ),
+            PRICES,
         )
 
     def inferred_prices(self) -> DataFrame:
         """What each part cost per unit where it was bought: one price per line."""
-        lines = self._table("lineitem").where(F.col("l_quantity") > 0)
         return conform(
-            lines.select(
-                F.col("l_shipdate").cast("date").alias("date"),
-                F.concat(F.lit("PART"), F.col("l_partkey").cast("string")).alias("commodity"),
-                (F.col("l_extendedprice").cast("decimal(18,2)") / F.col("l_quantity").cast("decimal(18,2)"))
-                .cast("decimal(18,2)")
-                .alias("price"),
-                F.lit("USD").alias("target"),
-                F.lit("inferred").alias("source"),
-                (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
+            self.table("lineitem")
+            .where("l_quantity > 0")
+            .selectExpr(
+                "CAST(l_shipdate AS DATE) AS date",
+                "concat('PART', l_partkey) AS commodity",
+                "CAST(CAST(l_extendedprice AS DECIMAL(18,2)) / CAST(l_quantity AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS price",
+                "'USD' AS target",
+                "'inferred' AS source",
+                "l_orderkey * 8 + l_linenumber AS seq",
             ),
             PRICES,
         )
@@ -248,52 +232,47 @@ class OrderBooks:
     def assertions(self) -> DataFrame:
         """Signup events assert the cash account; error events assert wallets nobody
         posts to, a third of them rightly at zero."""
-        events = self._table("events").where(F.col("event_type").isin("signup", "error"))
-        wallet = F.concat(F.lit("Assets:Wallet:"), (F.col("user_id") % 10).cast("string"))
         return conform(
-            events.select(
-                (F.col("event_id") + ASSERTION_BASE).alias("tindex"),
-                F.lit(1).alias("leg"),
-                F.col("ts").cast("date").alias("date"),
-                F.when(F.col("event_type") == "signup", F.lit("Assets:Cash")).otherwise(wallet).alias("account"),
-                F.when((F.col("event_type") == "error") & (F.col("event_id") % 3 == 0), F.lit(0))
-                .otherwise(F.col("value").cast("decimal(18,2)"))
-                .alias("quantity"),
-                F.lit("USD").alias("commodity"),
-                F.lit(2).alias("precision"),
+            self.table("events")
+            .where("event_type IN ('signup', 'error')")
+            .selectExpr(
+                f"event_id + {ASSERTION_BASE} AS tindex",
+                "1 AS leg",
+                "CAST(ts AS DATE) AS date",
+                "CASE event_type WHEN 'signup' THEN 'Assets:Cash' ELSE concat('Assets:Wallet:', user_id % 10) END AS account",
+                "CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 0 ELSE CAST(value AS DECIMAL(18,2)) END AS quantity",
+                "'USD' AS commodity",
+                "2 AS precision",
             ),
             ASSERTIONS,
         )
 
     def accounts(self) -> DataFrame:
         """A chart without the brands 20 and up, so that some accounts are undeclared."""
-        fixed = self.spark.createDataFrame(
-            [("Assets:Savings",), ("Assets:Cash",), ("Income:Sales",)], "account string"
-        )
-        brands = (
-            self._table("part")
-            .where(F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int") < 20)
-            .select(F.concat_ws(":", F.lit("Expenses"), "p_type", "p_brand").alias("account"))
-        )
-        segments = self._table("customer").select(
-            F.explode(
-                F.array(
-                    F.concat(F.lit("Assets:Bank:"), "c_mktsegment"),
-                    F.concat(F.lit("Liabilities:Card:"), "c_mktsegment"),
-                )
-            ).alias("account")
+        return self.spark.sql(
+            r"""
+            SELECT explode(array('Assets:Savings', 'Assets:Cash', 'Income:Sales')) AS account
+            UNION ALL
+            SELECT DISTINCT concat_ws(':', 'Expenses', p_type, p_brand) FROM {part}
+            WHERE CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INT) < 20
+            UNION ALL
+            SELECT DISTINCT concat(kind, c_mktsegment) FROM {customer}
+            LATERAL VIEW explode(array('Assets:Bank:', 'Liabilities:Card:')) AS kind
+            """,
+            part=self.table("part"),
+            customer=self.table("customer"),
         )
-        return fixed.unionByName(brands.distinct()).unionByName(segments.distinct())
 
     def commodities(self) -> DataFrame:
-        return self.spark.createDataFrame([(c,) for c in ("USD", "EUR", "GBP", "UAH")], "commodity string")
+        """Declared commodities: all but CHF."""
+        return self.spark.sql("SELECT explode(array('USD', 'EUR', 'GBP', 'UAH')) AS commodity")
 
     def ledger(self) -> Ledger:
         return Ledger(
-            self.transactions(),
-            self.postings(),
-            self.prices(),
-            self.assertions(),
-            self.accounts(),
-            self.commodities(),
+            self.transactions,
+            self.postings,
+            self.prices,
+            self.assertions,
+            self.accounts,
+            self.commodities,
         )
