@@ -12,11 +12,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-# Quantities are exact decimals.  A product of two DECIMAL(38, s) loses scale in
-# Spark, so sums are cast back to QUANTITY before they are multiplied by a PRICE.
-QUANTITY = "decimal(20,8)"
+# Quantities are exact decimals.  Spark trades scale for range once a result would need
+# more than 38 digits, so each type leaves room for the operation that follows it: a sum
+# of QUANTITY is cast to TOTAL, two TOTALs add without losing a place, and a cost product
+# is taken between COSTED and PRICE.
+QUANTITY = "decimal(28,8)"
+TOTAL = "decimal(34,8)"
+COSTED = "decimal(24,8)"
 PRICE = "decimal(18,8)"
-TOTAL = "decimal(28,8)"
 
 TAGS = "array<struct<name:string,value:string>>"
 AMOUNT = f"struct<quantity:{QUANTITY},commodity:string,precision:int>"

@@ -13,7 +13,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyframe.functions.dates import PERIOD_STEPS, period_start
-from tallyframe.model import PRICES, Ledger, conform
+from tallyframe.model import PRICES, TOTAL, Ledger, conform
 from tallyframe.operators.query import Query
 from tallyframe.operators.reports import historical_balances, sheet_rows
 
@@ -211,7 +211,7 @@ def valued_sheet(
                     F.lit("value").alias("measure"),
                     F.col("value_commodity").alias("commodity"),
                     F.col("value").alias("amount"),
-                    F.lit(None).cast("decimal(28,8)").alias("exact"),
+                    F.lit(None).cast(TOTAL).alias("exact"),
                 ),
             )
         ),

@@ -184,7 +184,7 @@ def register_rows(ledger: Ledger, heads: DataFrame | None = None) -> DataFrame:
     return heads.join(lead, "tindex", "left").select(
         heads["*"],
         F.coalesce("lead.account", F.lit("")).alias("lead_account"),
-        F.coalesce("lead.quantity", F.lit(0)).cast("decimal(20,8)").alias("lead_quantity"),
+        F.coalesce("lead.quantity", F.lit(0)).cast("decimal(28,8)").alias("lead_quantity"),
         F.array_join(F.transform("tags", tag_text), " ").alias("tags_text"),
     )
 

@@ -9,6 +9,7 @@ a run is added from a table with at most one row per run.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DecimalType
 
 from tallyframe.scratch import materialize
 
@@ -49,12 +50,16 @@ def running_totals(
         .where("_nth > 1")
         .drop("_nth")
     )
+    # Sums of decimals get the widest type; narrowed first, they add without losing scale.
+    kinds = {p: placed.schema[p].dataType for p in parts}
+    room = {p: f"decimal(34,{k.scale})" if isinstance(k, DecimalType) else "bigint" for p, k in kinds.items()}
     within = (
         Window.partitionBy("_run", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     joined = placed.join(F.broadcast(carried), ["_run", *keys], "left")
     sums = {
-        name: F.sum(f"_part_{name}").over(within) + F.coalesce(F.col(f"_part_{name}_in"), F.lit(0))
+        name: F.sum(f"_part_{name}").over(within).cast(room[f"_part_{name}"])
+        + F.coalesce(F.col(f"_part_{name}_in"), F.lit(0)).cast(room[f"_part_{name}"])
         for name in totals
     }
     return joined.withColumns(sums).drop("_run", *parts, *[f"{p}_in" for p in parts])

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.functions.dates import is_iso_date
-from tallyframe.model import TOTAL, Ledger
+from tallyframe.model import COSTED, PRICE, TOTAL, Ledger
 from tallyframe.operators.assertions import failed_assertions
 
 _DATE_SHAPE = r"^\d{4}-\d{2}-\d{2}$"
@@ -114,7 +114,7 @@ def unbalanced(ledger: Ledger) -> DataFrame:
         ledger.postings.select(
             "tindex",
             F.when(costed, F.col("cost_commodity")).otherwise(F.col("commodity")).alias("commodity"),
-            F.when(costed, (F.col("quantity") * F.col("cost_quantity")).cast(TOTAL))
+            F.when(costed, (F.col("quantity").cast(COSTED) * F.col("cost_quantity").cast(PRICE)).cast(TOTAL))
             .otherwise(F.col("quantity").cast(TOTAL))
             .alias("amount"),
             costed.alias("costed"),

@@ -376,7 +376,7 @@ def _with_assertion_entries(ledger: Ledger) -> Ledger:
         "tindex", "date", F.lit("Balance Assertion").alias("payee"), F.lit("").alias("note"),
         F.lit("Cleared").alias("status"),
     )
-    paid = F.when(F.col("tindex") % 100 == 0, F.col("quantity")).otherwise(0).cast("decimal(20,8)")
+    paid = F.when(F.col("tindex") % 100 == 0, F.col("quantity")).otherwise(0).cast("decimal(28,8)")
     legs = entries.withColumns({"quantity": paid, "pos": F.lit(0), "is_assertion": F.lit(True)})
     return ledger.having(
         transactions=ledger.transactions.unionByName(heads, allowMissingColumns=True),
@@ -502,7 +502,7 @@ def _price_amounts(spark, path):
         .when(F.col("l_suppkey") % 4 == 1, -price)
         .when(F.col("l_suppkey") % 4 == 2, price * 1000)
         .otherwise(price)
-        .cast("decimal(20,8)")
+        .cast("decimal(28,8)")
     )
     return lines.select(
         "l_orderkey",
@@ -541,7 +541,7 @@ def _figures(spark, path):
 
     def amount(quantity, commodity):
         return F.struct(
-            quantity.cast("decimal(20,8)").alias("quantity"), F.lit(commodity).alias("commodity"), F.lit(2).alias("precision")
+            quantity.cast("decimal(28,8)").alias("quantity"), F.lit(commodity).alias("commodity"), F.lit(2).alias("precision")
         ).cast(AMOUNT)
 
     native = F.array(amount(total, "EUR"), amount(F.lit(10), "CHF"))
@@ -743,7 +743,7 @@ def duplicates(spark, path):
     hits at any size the day's income is compared in whole tens."""
     ledger = books(spark, path)
     coarse = ledger.postings.where("account in ('Income:Sales', 'Assets:Savings')").withColumn(
-        "quantity", F.round(F.col("quantity") / 10).cast("decimal(20,8)")
+        "quantity", F.round(F.col("quantity") / 10).cast("decimal(28,8)")
     )
     return cents(analyses.duplicates(ledger.having(postings=coarse)), "quantity")
 

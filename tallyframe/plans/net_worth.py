@@ -27,7 +27,7 @@ def net_worth_sheet(
 
     def amount(quantity, commodity):
         return F.struct(
-            quantity.cast("decimal(20,8)").alias("quantity"), commodity.alias("commodity"), F.lit(2).alias("precision")
+            quantity.cast("decimal(28,8)").alias("quantity"), commodity.alias("commodity"), F.lit(2).alias("precision")
         ).cast(AMOUNT)
 
     by_symbol = lambda a: F.transform(F.array_sort(a), lambda s: s["a"])
@@ -53,7 +53,7 @@ def net_worth_sheet(
         sheet = sheet.join(last_asserted(ledger.assertions), "account", "left")
     else:
         sheet = sheet.withColumns(
-            {"asserted_on": F.lit(None).cast("date"), "asserted_quantity": F.lit(None).cast("decimal(20,8)"),
+            {"asserted_on": F.lit(None).cast("date"), "asserted_quantity": F.lit(None).cast("decimal(28,8)"),
              "asserted_commodity": F.lit(None).cast("string")}
         )
     first = lambda a: F.try_element_at(a, F.lit(1))["quantity"].cast("decimal(28,2)")

@@ -307,26 +307,26 @@ sql(
 
 
 def rate_table(name: str, asof: str) -> str:
-    """Rates toward USD at a date expression over a table of dates ``at(d)``."""
+    """Rates toward USD at a date expression over a table of dates ``days(d)``."""
     latest = (
         lambda c, t: f"(SELECT CAST(arg_max(price, date) AS DOUBLE) FROM price "
         f"WHERE commodity = '{c}' AND target = '{t}' AND date <= {asof})"
     )
     return f"""{name} AS (
-        SELECT d, 'EUR' AS commodity, {latest('EUR', 'USD')} AS rate, 1 AS hops, 0 AS turns FROM at
-        UNION ALL SELECT d, 'GBP', {latest('GBP', 'EUR')} * {latest('EUR', 'USD')}, 2, 0 FROM at
-        UNION ALL SELECT d, 'UAH', 1.0 / {latest('USD', 'UAH')}, 1, 1 FROM at)"""
+        SELECT d, 'EUR' AS commodity, {latest('EUR', 'USD')} AS rate, 1 AS hops, 0 AS turns FROM days
+        UNION ALL SELECT d, 'GBP', {latest('GBP', 'EUR')} * {latest('EUR', 'USD')}, 2, 0 FROM days
+        UNION ALL SELECT d, 'UAH', 1.0 / {latest('USD', 'UAH')}, 1, 1 FROM days)"""
 
 
 sql(
     "price_graph",
     f""", used AS (SELECT DISTINCT commodity, CAST(date_trunc('year', date) AS DATE) AS period FROM post),
-    at AS (SELECT DISTINCT period AS d FROM used WHERE period <= date '2001-08-01'),
+    days AS (SELECT DISTINCT period AS d FROM used WHERE period <= date '2001-08-01'),
     {rate_table('rates', "least(d + INTERVAL 1 YEAR - INTERVAL 1 DAY, date '2001-08-01')")}
     SELECT used.commodity, period, round(rate, 8) AS rate, CAST(hops AS INTEGER) AS hops, CAST(turns AS INTEGER) AS turns
     FROM used LEFT JOIN rates ON used.commodity = rates.commodity AND period = d""",
 )
-VALUED = f""", at AS (SELECT date '2001-08-01' AS d), {rate_table('rates', 'd')},
+VALUED = f""", days AS (SELECT date '2001-08-01' AS d), {rate_table('rates', 'd')},
 sheet AS (SELECT {KIND} AS section, account, commodity,
     CASE WHEN {KIND} = 'Liabilities' THEN -1 ELSE 1 END * sum(quantity) AS amount FROM post
     WHERE {KIND} IN ('Assets', 'Liabilities') GROUP BY account, commodity HAVING sum(quantity) <> 0),
@@ -362,7 +362,7 @@ sql("nw_order", SHEET + " SELECT section, account, asserted_on FROM net_sheet")
 sql(
     "net_worth_trend",
     f""", m AS (SELECT CAST(m AS DATE) AS d FROM generate_series(timestamp '1995-01-01', timestamp '2001-08-01', INTERVAL 1 MONTH) g(m)),
-    at AS (SELECT d FROM m), {rate_table('rates', "least(d + INTERVAL 1 MONTH - INTERVAL 1 DAY, date '2001-08-01')")},
+    days AS (SELECT d FROM m), {rate_table('rates', "least(d + INTERVAL 1 MONTH - INTERVAL 1 DAY, date '2001-08-01')")},
     b AS (SELECT d, commodity, (SELECT sum(quantity) FROM now n WHERE n.commodity = c.commodity
               AND regexp_matches(account, '^(assets|liabilities)', 'i') AND n.date < d + INTERVAL 1 MONTH) AS amount
           FROM m, (SELECT DISTINCT commodity FROM post) c)
@@ -496,11 +496,12 @@ SELECT o_orderkey, text, regexp_full_match(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}') A
 FROM t"""
 
 SIZES = """
-WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_extendedprice AS DECIMAL(18,2)) AS price,
+WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS c,
                   l_suppkey % 4 AS kind, l_partkey % 9 AS p FROM lineitem),
 b AS (SELECT l_orderkey, l_linenumber, l_partkey, p,
-      CAST(CASE kind WHEN 0 THEN CAST(round(CAST(price AS DECIMAL(28,8)) / 1000000, 6) AS DECIMAL(28,8))
-           WHEN 1 THEN -price WHEN 2 THEN price * 1000 ELSE price END AS DECIMAL(28,8)) AS q FROM a)
+      CASE kind WHEN 0 THEN CAST((c + 50) // 100 AS DECIMAL(18,0)) * CAST(0.000001 AS DECIMAL(8,8))
+           WHEN 1 THEN -c * CAST(0.01 AS DECIMAL(8,8)) WHEN 2 THEN CAST(c * 10 AS DECIMAL(28,8))
+           ELSE c * CAST(0.01 AS DECIMAL(8,8)) END AS q FROM a)
 """
 
 
@@ -533,10 +534,11 @@ def compact(q: str = "q") -> str:
     """Compact notation: two significant digits below ten of a unit, else whole."""
     arms = []
     for unit, suffix in ((1, ""), (10**3, "K"), (10**6, "M"), (10**9, "B")):
-        v = f"abs({q}) / {unit}.0"
+        v = f"(abs({q}) / {unit}.0 + 1e-12)"  # halves are exact decimals: away from zero
         whole = f"CAST(CAST(round({v}) AS BIGINT) AS VARCHAR)"
         small = f"""CASE WHEN {v} >= 1 THEN printf('%.1f', round({v}, 1)) WHEN {v} >= 0.1 THEN printf('%.2f', round({v}, 2))
-            WHEN {v} >= 0.01 THEN printf('%.3f', round({v}, 3)) ELSE printf('%.4f', round({v}, 4)) END"""
+            WHEN {v} >= 0.01 THEN printf('%.3f', round({v}, 3)) WHEN {v} >= 0.001 THEN printf('%.4f', round({v}, 4))
+            WHEN {v} >= 0.0001 THEN printf('%.5f', round({v}, 5)) ELSE printf('%.6f', round({v}, 6)) END"""
         text = f"CASE WHEN {v} >= 10 THEN {whole} ELSE rtrim(rtrim({small}, '0'), '.') END"
         limit = f"round({v}) < 1000" if unit < 10**9 else "true"
         arms.append(f"WHEN {limit} THEN {text} || '{suffix}'")
@@ -862,7 +864,7 @@ SELECT '/files/2024/' || month || '/' || name AS path, name, '2024' AS year, mon
          ELSE regexp_replace(printf('%.1f', v), '\\.0$', '') END || ' ' || ['B', 'KB', 'MB', 'GB'][u + 1] AS size
 FROM s"""
 ORACLES["export_csv"] = """
-SELECT c_custkey || ',' || CASE WHEN c_custkey % 3 = 0 THEN '"' || c_name || ', ""Ltd"""' ELSE c_name END || ','
+SELECT c_custkey || ',' || CASE WHEN c_custkey % 3 = 0 THEN chr(34) || c_name || ', ' || repeat(chr(34), 2) || 'Ltd' || repeat(chr(34), 3) ELSE c_name END || ','
     || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_mktsegment END AS line FROM customer"""
 sql(
     "output_formats",

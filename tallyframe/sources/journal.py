@@ -15,6 +15,7 @@ from tallyframe.functions.journal import (
     HEADER,
     POSTING,
     PRICE_LINE,
+    evaluated,
     header_date,
     parse_amount,
     parse_tags,
@@ -22,7 +23,7 @@ from tallyframe.functions.journal import (
     symbol_of,
 )
 from tallyframe.functions.text import split_description
-from tallyframe.model import ASSERTIONS, POSTINGS, PRICE, PRICES, QUANTITY, TOTAL, TRANSACTIONS, Ledger, conform
+from tallyframe.model import ASSERTIONS, COSTED, POSTINGS, PRICE, PRICES, QUANTITY, TOTAL, TRANSACTIONS, Ledger, conform
 from tallyframe.operators.totals import running_totals
 
 
@@ -42,12 +43,14 @@ def journal_lines(spark: SparkSession, path: str) -> DataFrame:
 def price_directives(lines: DataFrame) -> DataFrame:
     """``P`` lines; a line without date, commodity, number and target is no price."""
     part = lambda i: F.regexp_extract("line", PRICE_LINE, i)
-    amount = F.trim(part(3))
-    rows = lines.where(F.col("line").rlike(r"^P\s")).select(
-        iso_date(part(1)).alias("date"),
-        F.regexp_replace(part(2), '^"|"$', "").alias("commodity"),
-        parse_amount(amount)["quantity"].cast(PRICE).alias("price"),
-        symbol_of(amount).alias("target"),
+    split = evaluated(
+        lines.where(F.col("line").rlike(PRICE_LINE)), day=part(1), name=part(2), amount=F.trim(part(3))
+    )
+    rows = evaluated(split, date=iso_date(F.col("day")), a=parse_amount(F.col("amount"))).select(
+        "date",
+        F.regexp_replace("name", '^"|"$', "").alias("commodity"),
+        F.col("a.quantity").cast(PRICE).alias("price"),
+        F.col("a.commodity").alias("target"),
         F.lit("declared").alias("source"),
         *([F.col("seq")] if "seq" in lines.columns else []),
     )
@@ -74,12 +77,15 @@ def read_journal(lines: DataFrame) -> Ledger:
     A blank or unindented line ends a transaction; indented comment lines before the
     first posting hold its tags.  ``tindex`` counts headers over all files, in order."""
     line = F.col("line")
-    indented = line.rlike(r"^\s+\S")
-    comment = line.rlike(r"^\s*;")
-    header = line.rlike(HEADER) & ~indented
+    clean = evaluated(
+        lines.withColumn("line", F.regexp_replace("line", "\r$", "")),
+        indented=line.rlike(r"^\s+\S"),
+        comment=line.rlike(r"^\s*;"),
+        header=line.rlike(HEADER),
+    )
+    indented, comment, header = F.col("indented"), F.col("comment"), F.col("header")
     posting = indented & ~comment
     flag = lambda c: c.cast("int")
-    clean = lines.withColumn("line", F.regexp_replace("line", "\r$", ""))
     counted = running_totals(
         clean,
         [],
@@ -93,22 +99,22 @@ def read_journal(lines: DataFrame) -> Ledger:
     )
 
     part = lambda i: F.regexp_extract("line", HEADER, i)
-    described = F.trim(F.regexp_replace(part(5), r"\s*;.*$", ""))
-    names = split_description(described)
     first_lines = counted.groupBy("file").agg(F.min("number").alias("first"))
-    heads = counted.where(header).select(
+    split = evaluated(counted.where(header), day=part(1), mark=part(3), text=part(5))
+    named = evaluated(split, names=split_description(F.trim(F.regexp_replace("text", r"\s*;.*$", ""))))
+    heads = named.select(
         "file",
         "number",
         "segment",
         "tindex",
         F.col("legs").alias("legs_before"),
-        header_date(part(1)).alias("date"),
-        names["payee"].alias("payee"),
-        names["note"].alias("note"),
-        state_of_mark(part(3), "Unmarked").alias("status"),
-        parse_tags(F.regexp_extract(part(5), r";(.*)$", 1)).alias("own_tags"),
+        header_date(F.col("day")).alias("date"),
+        "names.payee",
+        "names.note",
+        state_of_mark(F.col("mark"), "Unmarked").alias("status"),
+        parse_tags(F.regexp_extract("text", r";(.*)$", 1)).alias("own_tags"),
     ).where("date is not null")
-    body = counted.where(indented).select("line", "segment", "number", "legs")
+    body = counted.where(indented).select("line", "comment", "segment", "number", "legs")
     inside = body.join(heads.select("segment", "tindex", "date", "legs_before"), "segment")
 
     # Tags are part of the transaction row, as few as its tag lines.
@@ -135,24 +141,35 @@ def read_journal(lines: DataFrame) -> Ledger:
     )
 
     field = lambda i: F.regexp_extract("line", POSTING, i)
-    rest = F.trim(F.regexp_replace(field(3), r"\s*;.*$", ""))
-    name = F.trim(field(2))
-    virtual = name.rlike(r"^\(.*\)$")
-    legs = inside.where(posting).select(
+    split = evaluated(
+        inside.where(~comment),
+        mark=field(1),
+        name=F.trim(field(2)),
+        rest=F.trim(F.regexp_replace(field(3), r"\s*;.*$", "")),
+    )
+    rest, name = F.col("rest"), F.col("name")
+    texts = evaluated(
+        split,
+        virtual=name.rlike(r"^\(.*\)$"),
+        amount_text=F.trim(F.regexp_extract(rest, r"^([^@=]*)", 1)),
+        at=F.regexp_extract(rest, r"(@@?)", 1),
+        cost_text=F.trim(F.regexp_extract(rest, r"@@?\s*([^=]*)", 1)),
+        asserted_text=F.trim(F.regexp_extract(rest, r"=+\*?\s*([^@]*)", 1)),
+    )
+    bracketed = F.col("virtual") | name.rlike(r"^\[.*\]$")
+    legs = evaluated(texts, a=parse_amount(F.col("amount_text")), c=parse_amount(F.col("cost_text"))).select(
         "tindex",
         (F.col("legs") - F.col("legs_before")).cast("int").alias("leg"),
         "date",
-        F.when(virtual | name.rlike(r"^\[.*\]$"), F.substring(name, F.lit(2), F.length(name) - 2))
-        .otherwise(name)
-        .alias("account"),
-        virtual.alias("virtual"),
-        state_of_mark(field(1), None).alias("status"),
-        F.trim(F.regexp_extract(rest, r"^([^@=]*)", 1)).alias("amount_text"),
-        F.regexp_extract(rest, r"(@@?)", 1).alias("at"),
-        F.trim(F.regexp_extract(rest, r"@@?\s*([^=]*)", 1)).alias("cost_text"),
-        F.trim(F.regexp_extract(rest, r"=+\*?\s*([^@]*)", 1)).alias("asserted_text"),
-    )
-    legs = legs.withColumns({"a": parse_amount(F.col("amount_text")), "c": parse_amount(F.col("cost_text"))})
+        F.when(bracketed, F.substring(name, F.lit(2), F.length(name) - 2)).otherwise(name).alias("account"),
+        "virtual",
+        state_of_mark(F.col("mark"), None).alias("status"),
+        "amount_text",
+        "at",
+        "asserted_text",
+        "a",
+        "c",
+    )
     unit = F.when(
         F.col("at") == "@@", F.try_divide(F.col("c.quantity"), F.abs("a.quantity")).cast(QUANTITY)
     ).otherwise(F.col("c.quantity"))
@@ -169,7 +186,7 @@ def read_journal(lines: DataFrame) -> Ledger:
         .groupBy("tindex", F.when(costed, F.col("cost_commodity")).otherwise(F.col("commodity")).alias("commodity"))
         .agg(
             F.sum(
-                F.when(costed, (F.col("quantity") * F.col("cost_quantity")).cast(TOTAL)).otherwise(
+                F.when(costed, (F.col("quantity").cast(COSTED) * F.col("cost_quantity").cast(PRICE)).cast(TOTAL)).otherwise(
                     F.col("quantity").cast(TOTAL)
                 )
             ).alias("sum"),
