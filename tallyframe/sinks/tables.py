@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.functions.text import trim_all
 from tallyframe.scratch import scratch_path
@@ -40,20 +40,23 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
         df.write.csv(path, header=True, sep="\t" if fmt == "tsv" else ",", escape='"', emptyValue="")
 
 
+def csv_field(text: Column) -> Column:
+    """RFC 4180: quoted when it holds a comma, quote or line break, quotes doubled."""
+    doubled = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(text.rlike(r'[",\r\n]'), doubled).otherwise(text)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
-    """RFC 4180: quotes where needed, inner quotes doubled, CRLF rows, trimmed cells."""
-    cells = [F.coalesce(trim_all(F.col(c).cast("string")), F.lit("")).alias(c) for c in df.columns]
-    df.select(*cells).write.csv(
-        path,
-        header=True,
-        quote='"',
-        escape='"',
-        lineSep="\r\n",
-        emptyValue="",
-        nullValue="",
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
+    """Trimmed cells, CRLF rows, one header: the part files in name order are the table.
+
+    Written as text, because the CSV writer would turn a line break inside a cell into
+    the row separator."""
+    cells = [csv_field(F.coalesce(trim_all(F.col(c).cast("string")), F.lit(""))) for c in df.columns]
+    header = df.sparkSession.range(1).select(
+        F.concat_ws(",", *[csv_field(F.lit(c)) for c in df.columns]).alias("value")
     )
+    lines = header.unionByName(df.select(F.concat_ws(",", *cells).alias("value")))
+    lines.write.text(path, lineSep="\r\n")
 
 
 @dataclass(frozen=True)

@@ -25,6 +25,7 @@ from tallyframe.functions.journal import (
 from tallyframe.functions.text import split_description
 from tallyframe.model import ASSERTIONS, COSTED, POSTINGS, PRICE, PRICES, QUANTITY, TOTAL, TRANSACTIONS, Ledger, conform
 from tallyframe.operators.totals import running_totals
+from tallyframe.scratch import materialize
 
 
 def journal_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -97,6 +98,8 @@ def read_journal(lines: DataFrame) -> Ledger:
             "legs": flag(posting),
         },
     )
+    # Heads, legs, tags and directives all read the counted lines: counted once.
+    counted = materialize(counted, "lines")
 
     part = lambda i: F.regexp_extract("line", HEADER, i)
     first_lines = counted.groupBy("file").agg(F.min("number").alias("first"))
@@ -178,6 +181,7 @@ def read_journal(lines: DataFrame) -> Ledger:
         "a.quantity", "a.commodity", "a.precision",
         unit.alias("cost_quantity"), F.col("c.commodity").alias("cost_commodity"),
     )
+    legs = materialize(legs, "legs")  # parsed once, read by amounts, sums and assertions
     written = legs.where("quantity is not null")
     # An amount left out is minus the sum of the others, per commodity, at cost.
     costed = F.col("cost_quantity").isNotNull()
