@@ -82,6 +82,14 @@ def conform(df: DataFrame, schema: dict[str, str]) -> DataFrame:
     )
 
 
+def keys_of(df: DataFrame) -> DataFrame:
+    """Transactions that occur in ``df``, each once.
+
+    For the right side of a semi or anti join: duplicates of a crowded transaction are
+    dropped where they are read, before the shuffle, and the join reuses its partitioning."""
+    return df.select("tindex").distinct()
+
+
 class Ledger:
     """A set of books.
 

@@ -41,10 +41,12 @@ def biggest_purchase(ledger: Ledger, year: int) -> DataFrame:
         .groupBy("tindex", "date", "commodity")
         .agg(F.sum("quantity").cast(TOTAL).alias("amount"))
     )
-    best = sums.groupBy("commodity").agg(
-        F.max_by(F.struct("tindex", "date", "amount"), F.struct(F.col("amount"), -F.col("tindex"))).alias("b")
+    top = sums.groupBy("commodity").agg(F.max("amount").alias("amount"))
+    rows = (
+        sums.join(top, ["commodity", "amount"])
+        .groupBy("commodity", "amount")
+        .agg(F.min_by("date", "tindex").alias("date"), F.min("tindex").alias("tindex"))
     )
-    rows = best.select("commodity", "b.tindex", "b.date", "b.amount")
     return rows.join(ledger.transactions.select("tindex", "payee"), "tindex")
 
 
@@ -135,7 +137,8 @@ def recurring(ledger: Ledger, q: Query, least: int = 3) -> DataFrame:
     out = steps.groupBy("payee", "account", "commodity").agg(
         F.count("*").alias("payments"),
         F.expr("percentile(gap, 0.5)").alias("median_gap"),
-        F.max_by(F.struct("amount", "previous"), F.col("date")).alias("l"),
+        F.max_by("amount", "date").alias("last_amount"),
+        F.max_by("previous", "date").alias("previous"),
     )
     return out.where(F.col("payments") >= least).select(
         "payee",
@@ -143,8 +146,8 @@ def recurring(ledger: Ledger, q: Query, least: int = 3) -> DataFrame:
         "commodity",
         "payments",
         "median_gap",
-        F.col("l.amount").alias("last_amount"),
-        (F.col("l.amount") - F.col("l.previous")).cast(TOTAL).alias("change"),
+        "last_amount",
+        (F.col("last_amount") - F.col("previous")).cast(TOTAL).alias("change"),
     )
 
 

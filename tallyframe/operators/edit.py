@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyframe.model import Ledger
+from tallyframe.model import Ledger, keys_of
 from tallyframe.operators.query import STATUS_NAMES, check_terms, matching_transactions
 from tallyframe.operators.validate import validate
 from tallyframe.scratch import materialize
@@ -55,7 +55,7 @@ def edit_targets(ledger: Ledger, edit: Edit) -> DataFrame:
     heads = matching_transactions(ledger, list(edit.terms))
     if edit.action == "change_account":
         holding = ledger.postings.where(F.col("account") == edit.old)
-        heads = heads.join(holding.select("tindex"), "tindex", "left_semi")
+        heads = heads.join(keys_of(holding), "tindex", "left_semi")
     return heads.select("tindex")
 
 

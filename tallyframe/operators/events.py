@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.functions.text import trim_all
@@ -12,9 +14,11 @@ LEAST_CHARS_PER_PAGE = 50
 
 def first_events(events: DataFrame) -> DataFrame:
     """The first event ever per (install, name); later ones are repeats."""
-    rank = F.struct("ts", "event_id")
-    return events.groupBy("user_id", "event_type").agg(F.min_by(rank, rank).alias("f")).select(
-        "user_id", "event_type", "f.event_id", "f.ts"
+    # Time and id as one number keep the aggregate in hash form.
+    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', ts)").cast("decimal(18,0)")
+    rank = micros * F.lit(Decimal(10**19)) + F.col("event_id").cast("decimal(19,0)")
+    return events.groupBy("user_id", "event_type").agg(
+        F.min_by("event_id", rank).alias("event_id"), F.min("ts").alias("ts")
     )
 
 

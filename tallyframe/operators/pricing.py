@@ -9,6 +9,7 @@ decides from the measured size.
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -58,11 +59,21 @@ def latest_prices(prices: DataFrame, as_of: dt.date | None = None, by: list[str]
     """Latest price per (commodity, target); on one date declared beats inferred and a
     later line beats an earlier one."""
     known = prices if as_of is None else prices.where(F.col("date") <= F.lit(as_of))
-    rank = F.struct(F.col("date"), _declared_first().alias("d"), F.col("seq"))
+    # Date, source and line as one number.  A struct would be a clearer rank, but then
+    # the aggregate sorts all price rows; over plain values it hashes them.
+    place = F.unix_date("date") * 2 + _declared_first()
+    rank = place.cast("decimal(18,0)") * F.lit(Decimal(10**19)) + F.col("seq").cast("decimal(19,0)")
     best = known.groupBy(*(by or []), "commodity", "target").agg(
-        F.max_by(F.struct("price", "date", "source"), rank).alias("p")
+        F.max_by("price", rank).alias("price"), F.max(place).alias("_place")
+    )
+    return best.select(
+        *(by or []),
+        "commodity",
+        "target",
+        "price",
+        F.date_from_unix_date(F.floor(F.col("_place") / 2).cast("int")).alias("date"),
+        F.when(F.pmod("_place", F.lit(2)) == 1, F.lit("declared")).otherwise(F.lit("inferred")).alias("source"),
     )
-    return best.select(*(by or []), "commodity", "target", "p.price", "p.date", "p.source")
 
 
 def period_prices(prices: DataFrame, period: str, last: dt.date) -> DataFrame:

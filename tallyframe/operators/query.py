@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.functions.dates import in_window, prefix_range
 from tallyframe.functions.text import join_description
-from tallyframe.model import Ledger
+from tallyframe.model import Ledger, keys_of
 
 # States by the names queries use.
 STATUS_NAMES = {"cleared": "Cleared", "pending": "Pending", "unmarked": "Unmarked"}
@@ -158,10 +158,10 @@ def matching_transactions(ledger: Ledger, terms: list[str]) -> DataFrame:
             field, value = "acct", term
         if field == "acct":
             hits = ledger.postings.where(matches(F.col("account"), value))
-            heads = heads.join(hits.select("tindex"), "tindex", "left_semi")
+            heads = heads.join(keys_of(hits), "tindex", "left_semi")
         elif field == "amt":
             hits = ledger.postings.where(amount_matches(F.col("quantity"), value))
-            heads = heads.join(hits.select("tindex"), "tindex", "left_semi")
+            heads = heads.join(keys_of(hits), "tindex", "left_semi")
         elif field == "date":
             heads = heads.where(in_window(F.col("date"), *prefix_range(value)))
         elif field == "payee":

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyframe.functions.accounts import is_balance_sheet
 from tallyframe.functions.dates import in_range
 from tallyframe.functions.text import name_key, search_text, tag_text, tags_text
-from tallyframe.model import STATUSES, Ledger
+from tallyframe.model import STATUSES, Ledger, keys_of
 
 
 @dataclass(frozen=True)
@@ -69,13 +69,12 @@ def hide_assertions(ledger: Ledger) -> DataFrame:
     """Transactions without the entries that only assert a balance.
 
     An entry that asserts and moves money stays."""
-    asserting = ledger.assertions.select("tindex").distinct()
+    asserting = keys_of(ledger.assertions)
     moving = (
         ledger.postings.where(F.col("quantity") != 0)
         .join(asserting, "tindex", "left_semi")
-        .select("tindex")
     )
-    only = asserting.join(moving, "tindex", "left_anti")
+    only = asserting.join(keys_of(moving), "tindex", "left_anti")
     return ledger.transactions.join(only, "tindex", "left_anti")
 
 
@@ -86,10 +85,7 @@ def search(ledger: Ledger, heads: DataFrame, needle: str) -> DataFrame:
     wanted = F.lit(needle.lower())
     own = search_text(F.col("payee"), F.col("note"), tags_text(F.col("tags"), "\n")).contains(wanted)
     hits = (
-        ledger.postings.where(F.lower("account").contains(wanted))
-        .select("tindex")
-        .distinct()
-        .withColumn("_leg_hit", F.lit(True))
+        keys_of(ledger.postings.where(F.lower("account").contains(wanted))).withColumn("_leg_hit", F.lit(True))
     )
     return heads.join(hits, "tindex", "left").where(own | F.col("_leg_hit")).drop("_leg_hit")
 
@@ -107,16 +103,16 @@ def apply_filters(ledger: Ledger, f: Filters, heads: DataFrame | None = None) ->
     # Legs share their transaction's date, so the leg side prunes as well.
     legs = ledger.postings.where(in_range(F.col("date"), f.first, f.last))
     if f.accounts:
-        out = out.join(legs.where(F.col("account").isin(*f.accounts)).select("tindex"), "tindex", "left_semi")
+        out = out.join(keys_of(legs.where(F.col("account").isin(*f.accounts))), "tindex", "left_semi")
     if f.commodities:
-        out = out.join(legs.where(F.col("commodity").isin(*f.commodities)).select("tindex"), "tindex", "left_semi")
+        out = out.join(keys_of(legs.where(F.col("commodity").isin(*f.commodities))), "tindex", "left_semi")
     if f.least is not None or f.most is not None:
         shown = split_legs(legs).where("shown")
         if f.least is not None:
             shown = shown.where(F.abs("quantity") >= F.lit(f.least))
         if f.most is not None:
             shown = shown.where(F.abs("quantity") <= F.lit(f.most))
-        out = out.join(shown.select("tindex"), "tindex", "left_semi")
+        out = out.join(keys_of(shown), "tindex", "left_semi")
     return search(ledger, out, f.search)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyframe.functions.accounts import account_type, depth_clip, depth_of, in_subtree, is_type
 from tallyframe.functions.dates import PERIOD_STEPS, in_window, period_start
-from tallyframe.model import TOTAL, Ledger
+from tallyframe.model import TOTAL, Ledger, keys_of
 from tallyframe.operators.query import Query, select_postings
 from tallyframe.operators.totals import running_totals
 
@@ -178,7 +178,7 @@ def account_register(ledger: Ledger, root: str, q: Query = Query()) -> DataFrame
     # Distinct names only: bounded by the chart of accounts, however many legs there are.
     others = (
         upto.where(~inside)
-        .join(changes.select("tindex"), "tindex", "left_semi")
+        .join(keys_of(changes), "tindex", "left_semi")
         .select("tindex", "account")
         .distinct()
         .groupBy("tindex")

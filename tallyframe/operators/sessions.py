@@ -15,7 +15,7 @@ def session_summary(messages: DataFrame) -> DataFrame:
     Only extremes and counts are kept, so a long conversation combines on the map side."""
     user_turn = F.when(F.col("role") == "user", F.col("turn"))
     return messages.groupBy("conv_id").agg(
-        F.coalesce(F.min_by("text", user_turn), F.lit("")).alias("first_message"),
+        F.coalesce(F.min_by(F.when(F.col("role") == "user", F.col("text")), user_turn), F.lit("")).alias("first_message"),
         F.count("*").alias("messages"),
         F.max("turn").alias("last_turn"),
     )
