@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from tallyframe.scratch import materialize
+
 # Quantities are exact decimals.  Spark trades scale for range once a result would need
 # more than 38 digits, so each type leaves room for the operation that follows it: a sum
 # of QUANTITY is cast to TOTAL, two TOTALs add without losing a place, and a cost product
@@ -112,6 +114,13 @@ class Ledger:
             frame = self._frames[name] = frame()
         return frame
 
+    def stored(self, *names: str) -> "Ledger":
+        """The same books with the named frames written once and read back.
+
+        For work that reads a derived frame many times: its joins then run once, and every
+        reader prunes columns and row groups of its own."""
+        return self.having(**{name: materialize(getattr(self, name), name) for name in names})
+
     def having(self, **frames) -> "Ledger":
         """The same books with some frames replaced."""
         return Ledger(**{**self._frames, **frames})

@@ -21,14 +21,15 @@ def running_totals(
     totals: dict[str, Column],
     runs: int | None = None,
 ) -> DataFrame:
-    """Add the inclusive running sum of each of ``totals`` per ``keys`` in ``order``."""
-    spark = df.sparkSession
-    runs = runs or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Add the inclusive running sum of each of ``totals`` per ``keys`` in ``order``.
+
+    Unless ``runs`` is given, adaptive execution merges neighbouring ranges to a sensible
+    size; ranges stay in order, which is all that counts."""
     parts = {f"_part_{name}": value for name, value in totals.items()}
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     placed = (
         df.withColumns(parts)
-        .repartitionByRange(runs, *[F.col(k) for k in keys], *order)
+        .repartitionByRange(*([runs] if runs else []), *[F.col(k) for k in keys], *order)
         .withColumn("_run", F.spark_partition_id())
     )
     # Written once: the run of a row depends on sampled bounds and must not be

@@ -39,6 +39,11 @@ def books(spark: SparkSession, path: str, **window) -> Ledger:
     return OrderBooks(spark, path, **window).ledger()
 
 
+def stored_books(spark: SparkSession, path: str) -> Ledger:
+    """For queries that pass over the books again and again."""
+    return books(spark, path).stored("transactions", "postings")
+
+
 def cents(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("decimal(28,2)") for c in columns})
 
@@ -391,7 +396,7 @@ def reg_count(spark, path):
 
 @named
 def facet_counts(spark, path):
-    return reg.facet_counts(books(spark, path), reg.Filters(statuses=("Pending",), commodities=("EUR", "UAH")))
+    return reg.facet_counts(stored_books(spark, path), reg.Filters(statuses=("Pending",), commodities=("EUR", "UAH")))
 
 
 @named
@@ -571,6 +576,33 @@ def fmt_value(spark, path):
     )
 
 
+@named
+def fmt_amounts(spark, path):
+    rows = _figures(spark, path)
+    return rows.select(
+        "o_orderkey",
+        A.fmt_amounts(F.col("amounts"), "native").alias("native"),
+        A.fmt_amounts(F.col("figure"), "value").alias("value"),
+    )
+
+
+@named
+def is_converted(spark, path):
+    rows = _figures(spark, path)
+    changed = A.is_converted(F.col("amounts"), F.col("figure"))
+    return rows.groupBy(changed.alias("is_converted")).agg(F.count("*").alias("n"))
+
+
+@named
+def value_lead(spark, path):
+    """The base leg of a figure when the base is USD, EUR or not among its legs."""
+    rows = _figures(spark, path).withColumn(
+        "base", F.element_at(F.array(F.lit("USD"), F.lit("EUR"), F.lit("XXX")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    )
+    lead = A.value_lead(F.col("amounts"), F.col("figure"), F.col("base"))
+    return rows.select("o_orderkey", lead["lead"].alias("lead"), lead["tail"].alias("tail"))
+
+
 # -- validation --------------------------------------------------------------
 
 
@@ -676,7 +708,7 @@ def ledger_diff(spark, path):
 
 @named
 def edit_summary(spark, path):
-    ledger = books(spark, path)
+    ledger = stored_books(spark, path)
     rows = None
     for change in (MOVE, RENAME, MARK):
         one = edit.edit_summary(ledger, edit.rewrite(ledger, change), change)
@@ -687,7 +719,7 @@ def edit_summary(spark, path):
 @named
 def edit_dry_run(spark, path):
     """Changes of a dry run next to what keeps the books from being valid afterwards."""
-    ledger = books(spark, path).having(assertions=None)
+    ledger = stored_books(spark, path).having(assertions=None)
     result = edit.apply_edit(ledger, MOVE, "", dry_run=True)
     return (
         result.changes.groupBy(F.concat(F.lit("change "), "side").alias("what"))
@@ -1084,3 +1116,14 @@ def output_formats(spark, path):
         lines = lines.where("line not like 'account%'")
         rows = lines if rows is None else rows.unionByName(lines)
     return rows
+
+
+@named
+def preview(spark, path):
+    """The head a long report is shown by; all of it is stored."""
+    report = reports.balance(books(spark, path), q()).select(
+        "account", "commodity", F.col("amount").cast("decimal(28,2)").alias("amount")
+    )
+    shown = sink.preview(report.orderBy("account", "commodity"), inline_chars=0)
+    lines = shown.text.split("\n")[1:-1]
+    return spark.createDataFrame([(line,) for line in lines], "line string")

@@ -560,6 +560,17 @@ SELECT o_orderkey, s IN ('F', 'P') AS is_converted, native,
            ELSE {compact('q1')} || ' EUR +1' END AS compact
 FROM c"""
 
+FIG = f"""
+WITH o AS (SELECT o_orderkey, o_orderstatus AS s, {GROUP2.format('o_totalprice')} || ' EUR' AS eur,
+                  {GROUP2.format('o_totalprice * 2')} || ' USD' AS usd, o_orderkey % 3 AS b FROM orders)"""
+ORACLES["fmt_amounts"] = FIG + """ SELECT o_orderkey, eur || ', 10.00 CHF' AS native,
+    CASE s WHEN 'F' THEN '10.00 CHF, ' || usd WHEN 'P' THEN usd ELSE eur || ', 10.00 CHF' END AS value FROM o"""
+ORACLES["is_converted"] = FIG + " SELECT s IN ('F', 'P') AS is_converted, count(*) AS n FROM o GROUP BY ALL"
+ORACLES["value_lead"] = FIG + """ SELECT o_orderkey,
+    CASE WHEN s = 'F' AND b = 0 THEN '~' || usd WHEN s = 'F' THEN '~10.00 CHF, ' || usd WHEN s = 'P' THEN '~' || usd
+         WHEN b = 1 THEN eur ELSE eur || ', 10.00 CHF' END AS lead,
+    CASE WHEN s = 'F' AND b = 0 THEN '10.00 CHF' WHEN s NOT IN ('F', 'P') AND b = 1 THEN '10.00 CHF' ELSE '' END AS tail FROM o"""
+
 # -- validation --------------------------------------------------------------
 
 sql(
@@ -874,3 +885,9 @@ sql(
     UNION ALL SELECT 'tsv', account || chr(9) || commodity || chr(9) || amount FROM b
     UNION ALL SELECT 'json', '{{"account":"' || account || '","commodity":"' || commodity || '","amount":' || amount || '}}' FROM b""",
 )
+sql(
+    "preview",
+    f""", b AS ({balances()}), l AS (SELECT account || ',' || commodity || ',' || amount AS line, account, commodity FROM b),
+    c AS (SELECT line, sum(length(line) + 1) OVER (ORDER BY account, commodity ROWS UNBOUNDED PRECEDING) AS used FROM l)
+    SELECT line FROM c WHERE used - 1 <= 2000""",
+)
