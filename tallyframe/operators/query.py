@@ -146,24 +146,34 @@ def check_terms(terms: list[str]) -> None:
             raise ValueError(f"query term {term!r} must not start with '-'")
 
 
+def _split_term(term: str) -> tuple[str, str]:
+    field, colon, value = term.partition(":")
+    return (field, value) if colon else ("acct", term)
+
+
+def date_bounds(terms: list[str]) -> tuple[dt.date | None, dt.date | None]:
+    """The half-open window all ``date:`` terms agree on, open without any."""
+    begin = end = None
+    for field, value in map(_split_term, terms):
+        if field == "date":
+            first, stop = prefix_range(value)
+            begin = first if begin is None else max(begin, first)
+            end = stop if end is None else min(end, stop)
+    return begin, end
+
+
 def matching_transactions(ledger: Ledger, terms: list[str]) -> DataFrame:
     """Transactions for which every term holds; an account or amount term holds when
     any posting satisfies it.  Each such term is one semi join, so no transaction is
-    ever gathered in one place."""
+    ever gathered in one place.  Date terms bound both sides of every join."""
     check_terms(terms)
-    heads = ledger.transactions
-    for term in terms:
-        field, colon, value = term.partition(":")
-        if not colon:
-            field, value = "acct", term
+    dated = in_window(F.col("date"), *date_bounds(terms))
+    heads, legs = ledger.transactions.where(dated), ledger.postings.where(dated)
+    for field, value in map(_split_term, terms):
         if field == "acct":
-            hits = ledger.postings.where(matches(F.col("account"), value))
-            heads = heads.join(keys_of(hits), "tindex", "left_semi")
+            heads = heads.join(keys_of(legs.where(matches(F.col("account"), value))), "tindex", "left_semi")
         elif field == "amt":
-            hits = ledger.postings.where(amount_matches(F.col("quantity"), value))
-            heads = heads.join(keys_of(hits), "tindex", "left_semi")
-        elif field == "date":
-            heads = heads.where(in_window(F.col("date"), *prefix_range(value)))
+            heads = heads.join(keys_of(legs.where(amount_matches(F.col("quantity"), value))), "tindex", "left_semi")
         elif field == "payee":
             heads = heads.where(matches(F.col("payee"), value))
         elif field == "desc":
@@ -173,8 +183,8 @@ def matching_transactions(ledger: Ledger, terms: list[str]) -> DataFrame:
         elif field == "status":
             names = {"*": "cleared", "!": "pending", "": "unmarked"}
             heads = heads.where(F.col("status") == status_name(names.get(value, value)))
-        else:
-            raise ValueError(f"unknown query term {term!r}")
+        elif field != "date":
+            raise ValueError(f"unknown query term {field}:{value}")
     return heads
 
 
@@ -183,4 +193,5 @@ def print_report(ledger: Ledger, terms: list[str]) -> DataFrame:
     heads = matching_transactions(ledger, terms).select(
         "tindex", "payee", "note", F.col("status").alias("txn_status")
     )
-    return ledger.postings.join(heads, "tindex").orderBy("date", "tindex", "leg", "pos")
+    legs = ledger.postings.where(in_window(F.col("date"), *date_bounds(terms)))
+    return legs.join(heads, "tindex").orderBy("date", "tindex", "leg", "pos")

@@ -78,14 +78,14 @@ def hide_assertions(ledger: Ledger) -> DataFrame:
     return ledger.transactions.join(only, "tindex", "left_anti")
 
 
-def search(ledger: Ledger, heads: DataFrame, needle: str) -> DataFrame:
+def search(heads: DataFrame, legs: DataFrame, needle: str) -> DataFrame:
     """Literal, case-insensitive search over payee, note, every leg's account and tags."""
     if needle == "":
         return heads
     wanted = F.lit(needle.lower())
     own = search_text(F.col("payee"), F.col("note"), tags_text(F.col("tags"), "\n")).contains(wanted)
     hits = (
-        keys_of(ledger.postings.where(F.lower("account").contains(wanted))).withColumn("_leg_hit", F.lit(True))
+        keys_of(legs.where(F.lower("account").contains(wanted))).withColumn("_leg_hit", F.lit(True))
     )
     return heads.join(hits, "tindex", "left").where(own | F.col("_leg_hit")).drop("_leg_hit")
 
@@ -113,7 +113,7 @@ def apply_filters(ledger: Ledger, f: Filters, heads: DataFrame | None = None) ->
         if f.most is not None:
             shown = shown.where(F.abs("quantity") <= F.lit(f.most))
         out = out.join(keys_of(shown), "tindex", "left_semi")
-    return search(ledger, out, f.search)
+    return search(out, legs, f.search)
 
 
 def register_count(ledger: Ledger, f: Filters) -> DataFrame:

@@ -265,3 +265,24 @@ def test_analyses(books):
     assert saved == {1: D(3000), 2: D(-900), 3: D("-34.5")}
     trend = pricing.net_worth_trend(books, "EUR", Query(period="monthly"), TODAY).where("period = '2026-03-01'")
     assert {(r.commodity, r.net_worth) for r in trend.collect()} == {("EUR", D("2061.50"))}
+
+
+def test_date_terms_bound_both_sides(spark, books, tmp_path):
+    from tallyframe.operators.query import date_bounds
+
+    assert date_bounds(["payee:x"]) == (None, None)
+    assert date_bounds(["date:2026", "date:2026-03"]) == (dt.date(2026, 3, 1), dt.date(2026, 4, 1))
+    path = str(tmp_path / "postings")
+    books.postings.write.parquet(path)
+    stored = books.having(postings=spark.read.parquet(path))
+    rows = matching_transactions(stored, ["acct:^expenses", "date:2026-03"])
+    assert {r.tindex for r in rows.collect()} == {4, 5, 6}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(date,2026-03-01)" in plan and "LessThan(date,2026-04" in plan
+    scan = plan[plan.index("ReadSchema: struct<tindex") :].split("\n")[0]
+    assert "quantity" not in scan  # only what the term needs is read
+
+
+def test_unknown_terms_are_refused(books):
+    with pytest.raises(ValueError):
+        matching_transactions(books, ["colour:red"])
