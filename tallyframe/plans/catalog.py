@@ -10,12 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyframe.functions import amounts as A, text as X
 from tallyframe.functions.accounts import depth_clip, depth_of
-from tallyframe.functions.dates import is_iso_date, period_start, prefix_range, preset_range
-from tallyframe.functions.journal import price_text
+from tallyframe.functions.dates import period_start, prefix_range, preset_range
 from tallyframe.model import AMOUNT, Ledger
 from tallyframe.operators import analyses, edit, events as ev, lists, pricing, register as reg, reports, sessions, validate
 from tallyframe.operators.assertions import assertion_check, failed_assertions, last_asserted
-from tallyframe.operators.query import Query, matching_transactions, posting_lines, print_report, select_postings
+from tallyframe.operators.query import Query, matching_transactions, posting_lines, print_report
 from tallyframe.plans.net_worth import net_worth_sheet
 from tallyframe.scratch import scratch_path
 from tallyframe.sinks import journal as out, tables as sink
@@ -1005,13 +1004,6 @@ def read_prices(spark, path):
     return rows.select("seq", "date", "commodity", F.col("price").cast("decimal(18,2)").alias("price"), "target")
 
 
-def _journal(spark, path):
-    """The books of two years as journal lines, placed like lines of files."""
-    ledger = books(spark, path, begin=dt.date(1996, 1, 1), end=dt.date(1998, 1, 1))
-    lines = out.render_journal(ledger, blank_lines=True)
-    return ledger, lines
-
-
 @named
 def render_journal(spark, path):
     return out.render_journal(books(spark, path), two_decimals=True).select("tindex", "part", "side", "line")

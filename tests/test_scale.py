@@ -147,3 +147,22 @@ def test_reports_ignore_partitioning(spark):
     ledger = sample_ledger(spark)
     spread = ledger.having(postings=ledger.postings.repartition(13))
     assert set(reports.balance_sheet(ledger).collect()) == set(reports.balance_sheet(spread).collect())
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from tallyframe.scratch import scratch_path, scratch_root
+
+    def session(master, root):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda key, default=None: root),
+            sparkContext=SimpleNamespace(master=master),
+        )
+
+    with pytest.raises(ValueError):
+        scratch_root(session("spark://host:1", None))
+    assert scratch_root(session("spark://host:1", "/shared")) == "/shared"
+    assert scratch_path(spark, "a") != scratch_path(spark, "a")
