@@ -7,6 +7,8 @@
    First the smallest class of each shingle is tried against the others; what is linked then needs
    no more comparing. Pairs of classes that are still apart are compared in full, so a group of near
    copies costs about its size and no link between groups is lost.
+   A parity sketch (as many bits as the set has members) rules out most false candidates: sets that
+   reach the threshold cannot differ in more bits than in members.
 4. Candidates of one class are stored as a prefix tree (their ordered sets, sorted, with the length
    shared with the set before). The class's own set walks the tree once: overlaps of shared
    prefixes are counted once, and subtrees end where the rest cannot reach the threshold.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,21 +33,41 @@ ORDER_BITS = 16
 TREE_SETS = 512
 
 
-def shingled(docs: DataFrame, k: int, key_column: str = "doc_id") -> DataFrame:
-    """doc_id, n (set size), sid (id of the set, null if empty), shingles (sorted, packed)."""
+def parity(shingles: np.ndarray) -> bytes:
+    """A bit per hash bucket, set where the set has an odd number of members; as many buckets as members, in powers of two."""
+    width = max(64, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else 64
+    odd = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """At most as many members as two sets of these parities differ in."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):  # halves of the wider one share the buckets of the narrower
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def shingled(docs: DataFrame, k: int) -> DataFrame:
+    """row (a number of its own), doc_id, n (set size), sid (id of the set, null if empty), parity, shingles (sorted, packed)."""
 
     def work(batches):
+        task, number = TaskContext.get().partitionId(), 0
         for part in slices(batches):
             sets = shingle_sets(Words(part.column("text")), k)
             n = [len(s) for s in sets]
             sid = [int(mix(np.bitwise_xor.reduce(mix(s + np.uint64(len(s)))).reshape(1)).view(np.int64)[0]) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [part.column(key_column).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sid, pa.int64()),
+                [pa.array(range(task << 33 | number, (task << 33 | number) + len(n)), pa.int64()), part.column("doc_id").cast(pa.int64()),
+                 pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array([parity(s) for s in sets], pa.binary()),
                  pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["doc_id", "n", "sid", "shingles"],
+                names=["row", "doc_id", "n", "sid", "parity", "shingles"],
             )
+            number += len(n)
 
-    return docs.select(key_column, "text").mapInArrow(work, "doc_id long, n long, sid long, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(work, "row long, doc_id long, n long, sid long, parity binary, shingles binary")
 
 
 def bucket_ranks(sets: DataFrame) -> np.ndarray:
@@ -143,29 +166,38 @@ def walk(probe: np.ndarray, members: list[tuple[int, bytes]], percent: int) -> l
     return out
 
 
-def verified(pairs: DataFrame, sets: DataFrame, ranks: np.ndarray, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, ranks: np.ndarray, percent: int) -> DataFrame:
     """Those of the distinct candidate ``pairs`` (a, b) that reach the threshold."""
-    ends = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    table = bit_table(ends, "sid")
+    sketch = classes.select("sid", "row", "n", "parity")
+    both = pairs.join(sketch.toDF("a", "a_row", "a_n", "a_parity"), "a").join(sketch.toDF("b", "b_row", "b_n", "b_parity"), "b")
+
+    def near(batches):
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("a_n", "b_n", "a_parity", "b_parity"))
+            good = [differing(x, y) * (100 + percent) <= (100 - percent) * (n + m) for n, m, x, y in zip(*columns)]
+            yield batch.select(["a", "b", "a_row", "b_row"]).filter(pa.array(good, pa.bool_()))
+
+    both = both.select("a", "b", "a_row", "b_row", "a_n", "b_n", "a_parity", "b_parity").mapInArrow(
+        near, "a long, b long, a_row long, b_row long"
+    )
+    both = materialize(both, "near-pairs")
+    ends = both.select(F.col("a_row").alias("row")).union(both.select(F.col("b_row").alias("row"))).distinct()
+    table = bit_table(ends, "row")
 
     def fetch(batches):
-        done: set[int] = set()
         for batch in batches:
-            for sid, raw in zip(batch.column("sid").to_pylist(), batch.column("shingles")):
-                if sid is not None and sid not in done and in_table(table, np.array([sid], np.int64))[0]:
-                    done.add(sid)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([sid], pa.int64()), pa.array([ordered(np.frombuffer(raw.as_buffer(), np.uint64), ranks).astype(">u8").tobytes()], pa.binary())],
-                        names=["sid", "items"],
-                    )
-
-    items = sets.select("sid", "shingles").mapInArrow(fetch, "sid long, items binary")
-    items = materialize(items.groupBy("sid").agg(F.first("items").alias("items")), "candidate-sets")
-    trees = pairs.groupBy("a").agg(F.ceil(F.count("*") / TREE_SETS).cast("long").alias("trees"))
-    members = pairs.join(trees, "a").join(items, pairs["b"] == items["sid"]).select(
+            some = batch.filter(pa.array(in_table(table, batch.column("row").to_numpy())))
+            if some.num_rows:
+                items = [ordered(np.frombuffer(raw.as_buffer(), np.uint64), ranks).astype(">u8").tobytes() for raw in some.column("shingles")]
+                yield pa.RecordBatch.from_arrays([some.column("row"), pa.array(items, pa.binary())], names=["row", "items"])
+
+    items = sets.select("row", "shingles").mapInArrow(fetch, "row long, items binary").join(ends, "row", "left_semi")
+    items = materialize(items, "candidate-sets")
+    trees = both.groupBy("a").agg(F.first("a_row").alias("a_row"), F.ceil(F.count("*") / TREE_SETS).cast("long").alias("trees"))
+    members = both.drop("a_row").join(trees, "a").join(items, F.col("b_row") == items["row"]).select(
         "a", F.pmod(F.xxhash64("b"), F.col("trees")).alias("tree"), "b", "items"
     )
-    probes = trees.join(items, trees["a"] == items["sid"]).select(
+    probes = trees.join(items, F.col("a_row") == items["row"]).select(
         "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("trees") - 1)).alias("tree"), F.lit(None).cast("long").alias("b"), "items"
     )
 
@@ -183,8 +215,11 @@ def verified(pairs: DataFrame, sets: DataFrame, ranks: np.ndarray, percent: int)
     return members.union(probes).groupBy("a", "tree").applyInArrow(join, "a long, b long")
 
 
-def links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between classes of ``sets`` (sid, shingles) that connect all that the threshold connects."""
+def links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None:
+    """node, component: the classes (sid) that the threshold connects; None if there are none.
+
+    ``sets`` are rows as of ``shingled``, ``classes`` one of them (row, sid, n, parity) for each sid.
+    """
     ranks = bucket_ranks(sets)
     first = materialize(prefixes(sets, ranks, percent), "prefixes")
     shared = first.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("key")
@@ -223,7 +258,7 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
             a = lead.select("key", "l.sid", "l.n", "l.at", "l.comp").alias("a")
             pairs = now.alias("b").join(a, F.expr(f"a.key = b.key and a.sid <> b.sid and a.comp <> b.comp and {fits('a', 'b', percent)}"))
             pairs = pairs.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"))
-        new = materialize(verified(materialize(pairs.distinct(), "pairs"), sets, ranks, percent), "links")
+        new = materialize(verified(pairs.distinct(), classes, sets, ranks, percent), "links")
         found = new if found is None else found.union(new)
         comp = materialize(components(found), "components")
         rounds += 1
@@ -243,17 +278,21 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     no row of it has one. No rows give no rows; other columns are not read.
     """
     sets = materialize(shingled(docs, k), "shingles")
-    comp = links(sets.where("sid is not null"), percent)
-    # every class (also those of equal sets only) with the smallest id of its component
-    classes = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
+    # every class of equal sets, with its smallest id
+    classes = sets.where("sid is not null").groupBy("sid").agg(
+        F.min("doc_id").alias("least"), F.min_by(F.struct("row", "n", "parity"), "row").alias("one")
+    ).select("sid", "least", "one.*")
+    classes = materialize(classes, "set-classes")
+    comp = links(sets.where("sid is not null"), classes, percent)
+    classes = classes.select("sid", "least")
     if comp is not None:
         classes = classes.join(comp, classes["sid"] == comp["node"], "left").select(
             "sid", "least", F.coalesce("component", "sid").alias("comp")
         )
         names = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
-        classes = materialize(classes.join(names, "comp").select("sid", "component_id"), "classes")
+        classes = materialize(classes.join(names, "comp").select("sid", "component_id"), "components")
     else:
-        classes = materialize(classes.select("sid", F.col("least").alias("component_id")), "classes")
+        classes = classes.select("sid", F.col("least").alias("component_id"))
     linked = sets.select("doc_id", "n", "sid").where("sid is not null").join(classes, "sid").select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", "sid"
     )
