@@ -6,19 +6,44 @@ Two different words of one corpus share a hash with odds of about (number of wor
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe import scratch
+
 #: Bytes of text that a task turns into numpy arrays at a time.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
+
+#: Rows of an Arrow batch while an operator writes its intermediate tables; rows may hold long texts.
+BATCH_ROWS = 1_000
 
 _SEED = np.random.default_rng(20240229)
 _BYTE = _SEED.integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Jobs started within hand at most BATCH_ROWS rows to Python at a time; the session's setting comes back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared scratch folder and read back."""
+    with small_batches(df.sparkSession):
+        return scratch.materialize(df, label)
+
+
 def _table(word: str) -> tuple[np.ndarray, np.ndarray]:
     """Which bytes belong to a word, and the byte with A-Z in lower case."""
     low = np.arange(256, dtype=np.uint8)

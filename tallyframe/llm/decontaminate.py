@@ -16,8 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import Words, bit_table, in_table, rolling, signed, slices
-from tallyframe.scratch import materialize
+from tallyframe.llm.common import Words, bit_table, in_table, materialize, rolling, signed, slices
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 

@@ -24,9 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import Words, bit_table, in_table, mix, shingle_sets, signed, slices
+from tallyframe.llm.common import Words, bit_table, in_table, materialize, mix, shingle_sets, signed, slices, small_batches
 from tallyframe.llm.components import components
-from tallyframe.scratch import materialize
 
 ORDER_BITS = 16
 #: Candidates of one class that one prefix tree holds; more of them go to further trees.
@@ -85,7 +84,8 @@ def bucket_ranks(sets: DataFrame) -> np.ndarray:
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(total[hit], pa.int64())], names=["bucket", "n"])
 
-    found = sets.select("shingles").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    with small_batches(sets.sparkSession):
+        found = sets.select("shingles").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(size, np.int64)
     total[found["bucket"].to_numpy()] = found["n"].to_numpy()
     ranks = np.empty(size, np.uint64)

@@ -23,8 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import slices
-from tallyframe.scratch import materialize
+from tallyframe.llm.common import materialize, slices
 
 WINDOWS = (4096, 2048, 1024, 512)
 #: Words whose ids a Python worker remembers; beyond it starts anew.

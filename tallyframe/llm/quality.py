@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import Words, mix, slices
+from tallyframe.llm.common import Words, mix, slices, small_batches
 
 #: Labelled rows that a model is fitted on at most: those with the smallest hash of their id.
 FIT_ROWS = 8_000
@@ -144,7 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
                 names=["doc_id", "mark", "grams"],
             )
 
-    found = rows.mapInArrow(features, "doc_id long, mark int, grams binary").toArrow()
+    with small_batches(docs.sparkSession):
+        found = rows.mapInArrow(features, "doc_id long, mark int, grams binary").toArrow()
     ids, marks = found["doc_id"].to_numpy(), found["mark"].to_numpy()
     raw = found["grams"].to_pylist()
     order = sorted(range(len(raw)), key=lambda i: (hash_of(int(ids[i])), int(marks[i]), raw[i]))

@@ -14,8 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import Words, bit_table, in_table, mix, signed, slices
-from tallyframe.scratch import materialize
+from tallyframe.llm.common import Words, bit_table, in_table, materialize, mix, signed, slices
 
 _BREAK = np.zeros(256, np.int64)
 _BREAK[list(b"\n\r.,;:!?|")] = 1
