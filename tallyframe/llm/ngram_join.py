@@ -100,12 +100,12 @@ def ordered(shingles: np.ndarray, ranks: np.ndarray) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, ranks: np.ndarray, percent: int) -> DataFrame:
-    """key, sid, n, at: the first shingles of each class, as many as a partner must hit at least one of."""
+    """key, sid, n, at, p0-p3: the first shingles of each class, as many as a partner must hit at least one of."""
 
     def work(batches):
         done: set[int] = set()
         for batch in batches:
-            keys, sids, sizes, places = [], [], [], []
+            columns = [[] for _ in PREFIX_TYPES]
             for sid, raw in zip(batch.column("sid").to_pylist(), batch.column("shingles")):
                 if sid is None or sid in done:
                     continue
@@ -113,21 +113,30 @@ def prefixes(sets: DataFrame, ranks: np.ndarray, percent: int) -> DataFrame:
                 s = np.frombuffer(raw.as_buffer(), np.uint64)
                 n = len(s)
                 first = n - (percent * n + 99) // 100 + 1
-                keys.append(signed(ordered(s, ranks)[:first]))
-                sids.append(np.full(first, sid, np.int64))
-                sizes.append(np.full(first, n, np.int32))
-                places.append(np.arange(first, dtype=np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, sids, sizes, places)], names=["key", "sid", "n", "at"])
+                odd = np.packbits((np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8), bitorder="little")
+                values = [signed(ordered(s, ranks)[:first]), np.full(first, sid), np.full(first, n, np.int32), np.arange(first, dtype=np.int32)]
+                for column, value in zip(columns, values + [np.full(first, w) for w in odd.view(np.int64)]):
+                    column.append(value)
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=list(PREFIX_TYPES))
 
-    return sets.select("sid", "shingles").mapInArrow(work, "key long, sid long, n int, at int")
+    return sets.select("sid", "shingles").mapInArrow(work, ", ".join(f"{k} {v}" for k, v in PREFIX_TYPES.items()))
 
 
-def fits(a: str, b: str, percent: int) -> str:
+#: Pairs per row up to which all pairs of a key are looked at, rather than those with one more leader.
+PAIRS_A_ROW = 200
+PREFIX_TYPES = {"key": "long", "sid": "long", "n": "int", "at": "int", "p0": "long", "p1": "long", "p2": "long", "p3": "long"}
+PREFIX_COLUMNS = [c for c in PREFIX_TYPES if c != "key"]
+
+
+def fits(percent: int) -> str:
     """SQL: sets a and b may reach the threshold if this key is the first they share."""
+    bits = " + ".join(f"bit_count(a.p{i} ^ b.p{i})" for i in range(4))
     return (
-        f"least({a}.n - {a}.at, {b}.n - {b}.at) * {100 + percent}L >= {percent}L * ({a}.n + {b}.n) "
-        f"and least({a}.n, {b}.n) * 100L >= {percent}L * greatest({a}.n, {b}.n)"
+        "a.key = b.key and a.sid <> b.sid and a.comp <> b.comp "
+        f"and least(a.n - a.at, b.n - b.at) * {100 + percent}L >= {percent}L * (a.n + b.n) "
+        f"and least(a.n, b.n) * 100L >= {percent}L * greatest(a.n, b.n) "
+        f"and ({bits}) * {100 + percent}L <= {100 - percent}L * (a.n + b.n)"
     )
 
 
@@ -237,7 +246,7 @@ def links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None
             now = shared.withColumn("comp", F.col("sid"))
         else:
             now = shared.join(comp, shared["sid"] == comp["node"], "left").select(
-                "key", "sid", "n", "at", F.coalesce("component", "sid").alias("comp")
+                *[shared[c] for c in PREFIX_TYPES], F.coalesce("component", "sid").alias("comp")
             )
         apart = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
         now = materialize(now.join(apart.select("key"), "key"), "apart")
@@ -247,16 +256,17 @@ def links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None
         left = left.agg(F.sum("pairs").alias("pairs"), F.sum("rows").alias("rows")).first()
         if not left["pairs"]:
             break
-        last = rounds > 0 and left["pairs"] <= 8 * left["rows"] or left["pairs"] <= left["rows"]
+        # looking at a pair costs far less than a round over all rows; either way every pair gets settled
+        last = left["pairs"] <= (PAIRS_A_ROW if rounds else 1) * left["rows"]
         if last:
             a, b = now.alias("a"), now.alias("b")
-            pairs = a.join(b, F.expr(f"a.key = b.key and a.sid < b.sid and a.comp <> b.comp and {fits('a', 'b', percent)}"))
+            pairs = a.join(b, F.expr(f"a.sid < b.sid and {fits(percent)}"))
             pairs = pairs.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"))
         else:
             # another leader of each key every round; in the end all have led
-            lead = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("sid", F.lit(rounds)).alias("h"), "sid", "n", "at", "comp")).alias("l"))
-            a = lead.select("key", "l.sid", "l.n", "l.at", "l.comp").alias("a")
-            pairs = now.alias("b").join(a, F.expr(f"a.key = b.key and a.sid <> b.sid and a.comp <> b.comp and {fits('a', 'b', percent)}"))
+            lead = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("sid", F.lit(rounds)).alias("h"), *PREFIX_COLUMNS, "comp")).alias("l"))
+            a = lead.select("key", "l.*").alias("a")
+            pairs = now.alias("b").join(a, F.expr(fits(percent)))
             pairs = pairs.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"))
         new = materialize(verified(pairs.distinct(), classes, sets, ranks, percent), "links")
         found = new if found is None else found.union(new)
