@@ -84,9 +84,8 @@ def repeated_spans(docs: DataFrame, min_words: int = 8, min_run: int = 25) -> Da
 
     units = units.mapInArrow(may_repeat, schema)
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "w0", "c0")
-    units = materialize(units.withColumn("rank", rank), "repeated-units")
-    first = units.groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = units.join(first, ["h1", "h2"]).where(~F.col("rank").eqNullSafe(F.col("first"))).select(
+    first = units.select("h1", "h2", rank.alias("rank")).groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = units.join(first, ["h1", "h2"]).where(~rank.eqNullSafe(F.col("first"))).select(
         "doc_id", "text_key", "w0", "w1", "c0", "c1", F.col("first.doc_id").alias("kept"), F.col("first.c0").alias("kept_c0")
     ).distinct()
     own = Window.partitionBy("doc_id", "text_key").orderBy("w0", "w1")
