@@ -1,6 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Every test item's n-grams are counted over the corpus; the rarer half of each item's are its seeds.
+Every test item's n-grams are counted over the corpus; those that are not common by the measure of
+their own item are its seeds, so that copies, however many, do not rule each other out.
 Texts are searched for seeds, the words around them are cut out as windows, seeds join windows to
 items, and each (window, item) is aligned. Copies with words changed, put in or left out keep most
 of their alignment score; a chance n-gram does not.
@@ -13,12 +14,14 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import Words, bit_table, in_table, materialize, rolling, signed, slices
 
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: An n-gram is a seed unless it occurs more than this many times as often as its item's median n-gram.
+COMMON = 8
 
 
 def align(text: np.ndarray, item: np.ndarray) -> tuple[int, int]:
@@ -105,10 +108,10 @@ def contaminated(
 
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     times = texts.select("text").mapInArrow(count, "seed long, times long").groupBy("seed").agg(F.sum("times").alias("times"))
-    ranked = seeds.join(times, "seed", "left").withColumn(
-        "place", F.percent_rank().over(Window.partitionBy("item").orderBy(F.coalesce("times", F.lit(0)), "seed"))
-    )
-    rare = materialize(ranked.where("place <= 0.5").select("seed", "item"), "seeds")
+    counted_seeds = seeds.join(times, "seed")
+    usual = counted_seeds.groupBy("item").agg(F.median("times").alias("usual"))
+    rare = counted_seeds.join(usual, "item").where(F.col("times") <= COMMON * F.col("usual"))
+    rare = materialize(rare.select("seed", "item"), "seeds")
     narrow = bit_table(rare, "seed")
 
     def search(batches):
