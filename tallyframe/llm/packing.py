@@ -30,10 +30,10 @@ WINDOWS = (4096, 2048, 1024, 512)
 REMEMBER = 400_000
 #: Lanes whose layout is sent to every task; that of more lanes is joined by a shuffle.
 BROADCAST_LANES = 50_000
-_ODD#: Fixed values: Unicode white space.
+_ODD_SPACE = re.compile("[\x1c-\x1f]")  # split() parts words here, the tokenizer does not
+#: Unicode white space.
 _SPACES = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _SPACE = re.compile("[^" + "".join(map(chr, _SPACES)) + "]+")
-_SPACE = re.compile(r"[^\t-\r \x85\xa0  -     　]+")
 
 
 #: Words of one token run that every Unicode version classes alike: lower-case Latin letters.
