@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -62,7 +63,7 @@ def compare_months(ledger: Ledger, q: Query, first: dt.date, last: dt.date) -> D
     """Expenses of each month next to the month before, quiet months included."""
     expenses = _only(ledger, "Expenses")
     by_category = periodic_balance(
-        expenses, Query(begin=q.begin, end=q.end, today=q.today, account=q.account, period="monthly", depth=2)
+        expenses, replace(q, period="monthly", depth=2)
     )
     dense = fill_periods(by_category, "monthly", first, last)
     # One row per month and category: the window is as long as the calendar.
@@ -96,8 +97,7 @@ def by_currency(ledger: Ledger, q: Query = Query()) -> DataFrame:
 
 def tag_cost(ledger: Ledger, tag: str, q: Query = Query()) -> DataFrame:
     """What a tag cost, by expense account."""
-    tagged = Query(tag=tag, begin=q.begin, end=q.end, today=q.today, account=q.account)
-    return balance(_only(ledger, "Expenses"), tagged)
+    return balance(_only(ledger, "Expenses"), replace(q, tag=tag))
 
 
 def duplicates(ledger: Ledger) -> DataFrame:

@@ -17,8 +17,7 @@ from tallyframe.functions.dates import PERIOD_STEPS, period_start
 from tallyframe.model import PRICES, TOTAL, Ledger, conform
 from tallyframe.operators.query import Query
 from tallyframe.operators.reports import historical_balances, sheet_rows
-
-MAX_HOPS = 4
+from tallyframe.scratch import materialize
 
 
 def inferred_prices(postings: DataFrame) -> DataFrame:
@@ -91,14 +90,11 @@ def period_prices(prices: DataFrame, period: str, last: dt.date) -> DataFrame:
     )
 
 
-def price_paths(
-    latest: DataFrame, base: str, by: list[str] | None = None, max_hops: int = MAX_HOPS
-) -> DataFrame:
-    """Rate of every commodity that reaches ``base`` in at most ``max_hops`` prices.
+def price_paths(latest: DataFrame, base: str, by: list[str] | None = None) -> DataFrame:
+    """Rate of every commodity that reaches ``base`` over prices, however many.
 
-    Fewest hops win, then fewest reversed prices.  Level k extends the best level k-1
-    path of each commodity, so a level never holds more rows than there are
-    commodities, whatever the number of walks."""
+    Fewest hops win, then fewest reversed prices.  A level holds the commodities that no
+    shorter path reached, one row each; levels are stored until one adds no commodity."""
     by = by or []
     price = F.col("price").cast("double")
     hop = lambda src, dst, rate, turned: F.struct(
@@ -116,40 +112,29 @@ def price_paths(
     edges = edges.groupBy(*by, "src", "dst").agg(
         F.min_by("step", "turn").alias("step"), F.min("turn").alias("turn")
     )
-    level = (
-        edges.where(F.col("dst") == base)
-        .select(*by, F.col("src").alias("commodity"), F.col("step").alias("rate"), F.lit(1).alias("hops"), F.col("turn").alias("turns"))
-    )
-    levels = [level]
-    for hops in range(2, max_hops + 1):
-        reached = level.select(
-            *[F.col(b).alias(f"_{b}") for b in by],
-            F.col("commodity").alias("via"),
-            "rate",
-            "turns",
+    edges = materialize(edges.where(F.col("src") != base), "price-edges")
+    columns = [*by, "commodity", "rate", "hops", "turns"]
+    level = edges.where(F.col("dst") == base).select(
+        *by, F.col("src").alias("commodity"), F.col("step").alias("rate"), F.lit(1).alias("hops"), F.col("turn").alias("turns")
+    )
+    known = level = materialize(level, "price-paths")
+    while not level.isEmpty():
+        reached = level.select(*by, F.col("commodity").alias("dst"), "rate", "turns", "hops")
+        step = edges.join(reached, [*by, "dst"]).select(
+            *by,
+            F.col("src").alias("commodity"),
+            F.col("dst").alias("via"),
+            (F.col("step") * F.col("rate")).alias("rate"),
+            (F.col("hops") + 1).alias("hops"),
+            (F.col("turns") + F.col("turn")).alias("turns"),
         )
-        on = F.col("dst") == F.col("via")
-        for b in by:
-            on = on & (F.col(b) == F.col(f"_{b}"))
-        step = edges.where(F.col("src") != base).join(reached, on)
-        level = (
-            step.groupBy(*by, F.col("src").alias("commodity"))
-            .agg(
-                F.min_by(
-                    F.struct((F.col("step") * F.col("rate")).alias("rate"), (F.col("turns") + F.col("turn")).alias("turns")),
-                    F.struct(F.col("turns") + F.col("turn"), F.col("via")),
-                ).alias("p")
-            )
-            .select(*by, "commodity", "p.rate", F.lit(hops).alias("hops"), "p.turns")
+        best = step.groupBy(*by, "commodity").agg(
+            F.min_by(F.struct("rate", "hops", "turns"), F.struct("turns", "via")).alias("p")
         )
-        levels.append(level)
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
-    best = every.groupBy(*by, "commodity").agg(
-        F.min_by(F.struct("rate", "hops", "turns"), F.struct("hops", "turns")).alias("p")
-    )
-    return best.select(*by, "commodity", "p.rate", "p.hops", "p.turns").where(F.col("commodity") != base)
+        new = best.select(*by, "commodity", "p.*").join(known.select(*by, "commodity"), [*by, "commodity"], "left_anti")
+        level = materialize(new.select(*columns), "price-paths")
+        known = known.unionByName(level)
+    return known.select(*columns)
 
 
 def price_asof(needs: DataFrame, prices: DataFrame) -> DataFrame:

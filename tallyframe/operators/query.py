@@ -18,7 +18,8 @@ from tallyframe.functions.dates import in_window, prefix_range
 from tallyframe.functions.text import join_description
 from tallyframe.model import Ledger, keys_of
 
-# States by the names queries use.
+# Prefixes of query terms, states by the names queries use.
+FIELDS = ("acct", "amt", "payee", "desc", "tag", "status", "date")
 STATUS_NAMES = {"cleared": "Cleared", "pending": "Pending", "unmarked": "Unmarked"}
 
 _AMOUNT = re.compile(r"^\s*(<=|>=|<|>|=)?\s*([+-]?)\s*([\d,]*\.?\d+)\s*$")
@@ -51,7 +52,7 @@ class Query:
 
 def matches(text: Column, pattern: str) -> Column:
     """Case-insensitive regular expression, anywhere in the text."""
-    return text.rlike(f"(?i){pattern}")
+    return text.rlike(f"(?iu){pattern}")
 
 
 def amount_matches(quantity: Column, expression: str) -> Column:
@@ -148,7 +149,7 @@ def check_terms(terms: list[str]) -> None:
 
 def _split_term(term: str) -> tuple[str, str]:
     field, colon, value = term.partition(":")
-    return (field, value) if colon else ("acct", term)
+    return (field, value) if colon and field in FIELDS else ("acct", term)
 
 
 def date_bounds(terms: list[str]) -> tuple[dt.date | None, dt.date | None]:
@@ -183,8 +184,6 @@ def matching_transactions(ledger: Ledger, terms: list[str]) -> DataFrame:
         elif field == "status":
             names = {"*": "cleared", "!": "pending", "": "unmarked"}
             heads = heads.where(F.col("status") == status_name(names.get(value, value)))
-        elif field != "date":
-            raise ValueError(f"unknown query term {field}:{value}")
     return heads
 
 

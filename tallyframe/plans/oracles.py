@@ -11,7 +11,7 @@ from tallyframe.sources.tables import ASSERTION_BASE, INCOME_BASE, LAST_LEG
 MONEY = "DECIMAL(28,2)"
 
 BOOKS = f"""
-WITH ord AS (
+WITH ord AS MATERIALIZED (
     SELECT o_orderkey, o_orderkey + 1 AS tindex, CAST(o_orderdate AS DATE) AS date, c_name AS customer,
            o_orderpriority AS priority, c_mktsegment AS segment,
            CASE o_orderstatus WHEN 'F' THEN 'Cleared' WHEN 'P' THEN 'Pending' ELSE 'Unmarked' END AS status,
@@ -20,27 +20,27 @@ WITH ord AS (
                AS commodity
     FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 ),
-line AS (
+line AS MATERIALIZED (
     SELECT l_orderkey, l_linenumber, l_partkey,
            CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * CAST(l_extendedprice AS DECIMAL(18,2)) AS amount
     FROM lineitem
 ),
-head AS (
+head AS MATERIALIZED (
     SELECT ord.*, s.line_total
     FROM ord LEFT JOIN (SELECT l_orderkey, sum(amount) AS line_total FROM line GROUP BY l_orderkey) s
         ON o_orderkey = l_orderkey
 ),
-buy AS (
+buy AS MATERIALIZED (
     SELECT event_id + {INCOME_BASE} AS tindex, CAST(ts AS DATE) AS date, user_id, CAST(value AS DECIMAL(18,2)) AS value
     FROM events WHERE event_type = 'purchase'
 ),
-txn AS (
+txn AS MATERIALIZED (
     SELECT tindex, date, CASE WHEN line_total IS NULL THEN 'Internal Transfer' ELSE customer END AS payee,
            priority AS note, status, segment, priority FROM head
     UNION ALL
     SELECT tindex, date, 'User ' || user_id, '', 'Cleared', NULL, NULL FROM buy
 ),
-legs AS (
+legs AS MATERIALIZED (
     SELECT tindex, l_linenumber AS leg, date, 'Expenses:' || p_type || ':' || p_brand AS account, commodity, amount
     FROM line JOIN ord ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
     UNION ALL
@@ -54,17 +54,17 @@ legs AS (
     UNION ALL
     SELECT tindex, 2, date, 'Income:Sales', 'USD', -value FROM buy
 ),
-post AS (
+post AS MATERIALIZED (
     SELECT tindex, CAST(leg AS INTEGER) AS leg, date, account, commodity, CAST(amount AS {MONEY}) AS quantity FROM legs
 ),
-price AS (
+price AS MATERIALIZED (
     SELECT CAST(date '1995-01-01' + to_months(CAST(i AS INTEGER)) AS DATE) AS date, q.c AS commodity,
            CAST(q.p AS DECIMAL(18,8)) AS price, q.t AS target
     FROM (SELECT i, i + 12 * 1995 AS k FROM range(360) r(i)),
     LATERAL (VALUES ('GBP', 1.10 + (k % 10) * 0.01, 'EUR'), ('USD', CASE WHEN k % 2 = 0 THEN 40.0 ELSE 25.0 END, 'UAH'),
                     ('EUR', 1.05 + (k % 20) * 0.01, 'USD')) q(c, p, t)
 ),
-asrt AS (
+asrt AS MATERIALIZED (
     SELECT event_id + {ASSERTION_BASE} AS tindex, CAST(ts AS DATE) AS date,
            CASE event_type WHEN 'signup' THEN 'Assets:Cash' ELSE 'Assets:Wallet:' || (user_id % 10) END AS account,
            CAST(CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 0 ELSE CAST(value AS DECIMAL(18,2)) END AS {MONEY})
@@ -72,7 +72,7 @@ asrt AS (
            'USD' AS commodity
     FROM events WHERE event_type IN ('signup', 'error')
 ),
-now AS (SELECT * FROM post WHERE date <= date '2001-08-01')
+now AS MATERIALIZED (SELECT * FROM post WHERE date <= date '2001-08-01')
 """
 
 ORACLES: dict[str, str] = {}

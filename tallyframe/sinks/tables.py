@@ -35,7 +35,7 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
     if fmt == "json":
         df.write.json(path)
     elif fmt == "txt":
-        df.select(F.concat_ws("  ", *[F.col(c).cast("string") for c in df.columns]).alias("value")).write.text(path)
+        df.select(F.concat_ws("  ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("value")).write.text(path)
     else:
         df.write.csv(path, header=True, sep="\t" if fmt == "tsv" else ",", escape='"', emptyValue="")
 
