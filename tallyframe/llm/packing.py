@@ -61,7 +61,7 @@ class WordTokenizer:
 
     def encode(self, words: list[str]) -> list[bytes]:
         out: dict[str, bytes] = {}
-        plain = [w for w in words if _PLAIN.fullmatch(w)]
+        plain = [w for w in words if _PLAIN.fullmatch(w) and w == w.lower()]
         for first in range(0, len(plain), PLAIN_AT_ONCE):
             some = plain[first : first + PLAIN_AT_ONCE]
             ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
