@@ -70,7 +70,9 @@ def ordered_sets(lines: DataFrame, ranks: Column, min_words: int) -> DataFrame:
     number = lambda h: F.shiftleft(
         F.get("ranks", h.bitwiseAND(low).cast("int")) - (1 << (RARITY_BITS - 1)), rest
     ).bitwiseOR(F.shiftrightunsigned(h, RARITY_BITS))
-    found = lines.select("doc_id", "text_key", "line", hashes.alias("hashes")).where(F.size("hashes") >= min_words)
+    # behind a generator, so that the length filter does not build the words twice
+    long_enough = F.explode(F.filter(F.array(hashes), lambda h: F.size(h) >= min_words))
+    found = lines.select("doc_id", "text_key", "line", long_enough.alias("hashes"))
     found = found.withColumn("ranks", ranks)  # the optimizer puts the subquery's value where the column is used
     return found.select("doc_id", "text_key", "line", F.sort_array(F.transform("hashes", number)).alias("items"))
 
