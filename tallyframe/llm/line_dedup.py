@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.scratch import materialize
+from tallyframe.scratch import discard, materialize
 
 RARITY_BITS = 18
 FILTER_BITS = 22
@@ -32,11 +32,24 @@ def dense(numbers: DataFrame, size: int) -> Column:
     return one.select(F.transform("all", lambda x: x["value"])).scalar()
 
 
+def lowered(text: Column) -> Column:
+    """A-Z in lower case. ``lower`` does the same, much faster, to texts without other capitals."""
+    plain = F.length(text) == F.octet_length(text)
+    other = F.rlike(text, F.lit(r"[\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^A-Z]]"))
+    return F.when(plain, F.lower(text)).when(other, F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
+
+
+def words_of(line: Column) -> Column:
+    """Words of a line; where blanks are its only white space they are cut one by one, and some words may be empty."""
+    odd = F.rlike(line, F.lit(r"[\t\x0B\f\r]"))
+    return F.when(odd, F.split(F.btrim(lowered(line), F.lit(" \t\x0b\f\r")), _SPACE)).otherwise(F.split(lowered(line), " "))
+
+
 def rarity(docs: DataFrame) -> Column:
     """Rank of each hash bucket by its number of words in all texts, as an array column."""
-    words = docs.select(F.explode(F.split(F.translate("text", _UPPER, _LOWER), r"[ \t\x0B\f\r\n]+")).alias("w"))
+    words = docs.select(F.replace("text", F.lit("\n"), F.lit(" ")).alias("text")).select(F.explode(words_of(F.col("text"))).alias("w"))
     size = 1 << RARITY_BITS
-    counts = words.select(F.xxhash64("w").bitwiseAND(size - 1).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    counts = words.where("w <> ''").select(F.xxhash64("w").bitwiseAND(size - 1).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
     every = docs.sparkSession.range(size).join(counts, F.col("id") == F.col("bucket"), "left")
     ranks = every.select(F.col("id").alias("cell"), F.row_number().over(Window.orderBy(F.coalesce("n", F.lit(0)), "id")).alias("value"))
     return dense(materialize(ranks.select("cell", (F.col("value") - 1).cast("long").alias("value")), "rarity"), size)
@@ -65,8 +78,8 @@ def ordered_sets(lines: DataFrame, ranks: Column, min_words: int) -> DataFrame:
     """``lines`` with ``items``: the line's distinct words as numbers, rarest first."""
     rest = 64 - RARITY_BITS
     low = (1 << RARITY_BITS) - 1
-    words = F.split(F.btrim(F.translate("words", _UPPER, _LOWER), F.lit(" \t\x0b\f\r")), _SPACE)
-    hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    hashes = F.transform(words_of(F.col("words")), lambda w: F.xxhash64(w))
+    hashes = F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")))
     number = lambda h: F.shiftleft(
         F.get("ranks", h.bitwiseAND(low).cast("int")) - (1 << (RARITY_BITS - 1)), rest
     ).bitwiseOR(F.shiftrightunsigned(h, RARITY_BITS))
@@ -143,22 +156,24 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> D
         sets.groupBy("set").agg(F.min("place").alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("keys").alias("keys")),
         "line-classes",
     )
+    places = materialize(sets.select("place", "set"), "line-places")
+    discard(sets)
     # each class against the earliest of its three rarest words
     few = prefix_rows(classes).where("at < 3")
     lead = few.groupBy("key").agg(F.min(F.struct("first", "set", "n", "at", "parity")).alias("l")).select("key", "l.*")
     pairs = few.drop("first").alias("b").join(lead.drop("first").alias("a"), F.expr(fits(percent)))
     pairs = pairs.select(F.col("a.set").alias("a"), F.col("b.set").alias("b")).distinct()
     settled = materialize(verified(pairs, classes, docs, ranks, percent, min_words), "settled-lines")
-    # what is still open against all
+    # what is still open against all; both sides read the same columns, so one shuffle serves them
     done = settled.select(F.col("b").alias("set")).distinct().withColumn("open", F.lit(0))
     rows = prefix_rows(classes.select("set", "n", "parity", "keys").join(done, "set", "left").select(
         "set", "n", "parity", F.coalesce("open", F.lit(1)).alias("open"), "keys"
     ))
-    pairs = rows.alias("a").join(rows.alias("b"), F.expr(fits(percent) + " and b.open + a.n > a.n"))
+    pairs = rows.alias("a").join(rows.alias("b"), F.expr(fits(percent) + " and b.open >= greatest(a.open, 1)"))
     pairs = pairs.select(F.col("a.set").alias("a"), F.col("b.set").alias("b")).distinct()
     found = settled.union(verified(pairs, classes, docs, ranks, percent, min_words))
     found = found.groupBy("b").agg(F.min(F.struct("a_first", "similarity")).alias("m"))
-    lines = sets.select("place", "set").join(classes.select("set", "first").join(found, classes["set"] == found["b"], "left"), "set")
+    lines = places.join(classes.select("set", "first").join(found, classes["set"] == found["b"], "left"), "set")
     again = F.col("place") != F.col("first")
     return lines.where(again | F.col("m").isNotNull()).select(
         "place.doc_id", F.col("place.line").alias("line"),
