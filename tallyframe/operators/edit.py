@@ -10,13 +10,16 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyframe.model import Ledger, keys_of
 from tallyframe.operators.query import STATUS_NAMES, check_terms, matching_transactions
 from tallyframe.operators.validate import validate
 from tallyframe.scratch import materialize
 
+#: Folder of a snapshot that is written last and names its frames.
+COMPLETE = "complete"
 ACTIONS = ("change_account", "change_payee", "set_status")
 
 
@@ -122,6 +125,25 @@ class EditResult:
     path: str | None
 
 
+def store_snapshot(ledger: Ledger, path: str) -> None:
+    """All frames the ledger has, then a list of their names; a snapshot without that list is unfinished."""
+    frames = {name: getattr(ledger, name) for name in Ledger.FRAMES}
+    frames = {name: frame for name, frame in frames.items() if frame is not None}
+    for name, frame in frames.items():
+        frame.write.parquet(f"{path}/{name}")
+    spark = ledger.transactions.sparkSession
+    spark.createDataFrame([(name,) for name in frames], "frame string").coalesce(1).write.parquet(f"{path}/{COMPLETE}")
+
+
+def read_snapshot(spark: SparkSession, path: str) -> Ledger:
+    """A stored snapshot; one whose storing was interrupted is refused."""
+    try:
+        names = [row.frame for row in spark.read.parquet(f"{path}/{COMPLETE}").collect()]
+    except AnalysisException as missing:
+        raise ValueError(f"no complete snapshot in {path}") from missing
+    return Ledger(**{name: spark.read.parquet(f"{path}/{name}") for name in names})
+
+
 def apply_edit(ledger: Ledger, edit: Edit, path: str, dry_run: bool = False) -> EditResult:
     """Rewrite, validate, then store as a new snapshot below ``path``.
 
@@ -139,6 +161,5 @@ def apply_edit(ledger: Ledger, edit: Edit, path: str, dry_run: bool = False) ->
     if not valid:
         raise ValueError("edit refused: the ledger would have errors")
     changes = materialize(changes, "changes")
-    after.transactions.write.parquet(f"{path}/transactions")
-    after.postings.write.parquet(f"{path}/postings")
+    store_snapshot(after, path)
     return EditResult(changes, violations, True, path)

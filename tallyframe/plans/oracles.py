@@ -116,7 +116,7 @@ def periodic(name: str, unit: str, where: str = "true", account: str = "account"
     )
 
 
-periodic("bal_daily", "day", "account LIKE 'Assets%' AND date >= date '1997-01-01'")
+periodic("bal_daily", "day")
 periodic("bal_weekly", "week", account=TWO)
 periodic("bal_monthly", "month")
 periodic("bal_quarterly", "quarter", account=ONE)
@@ -224,7 +224,7 @@ sql(
 sql(
     "header_postings",
     """SELECT p.tindex, p.date, payee, note, status AS txn_status, account, commodity, quantity
-    FROM post p JOIN txn t ON p.tindex = t.tindex WHERE account LIKE 'Assets:Bank:%'""",
+    FROM post p JOIN txn t ON p.tindex = t.tindex""",
 )
 sql(
     "print",
@@ -626,7 +626,7 @@ renamed AS (SELECT tindex FROM txn WHERE payee = 'Internal Transfer' AND status
 marked AS (SELECT tindex FROM txn WHERE year(date) = 1998 AND status <> 'Cleared'
         AND tindex IN (SELECT tindex FROM post WHERE account LIKE 'Liabilities%'))"""
 sql("edit_targets", MOVED + " SELECT tindex FROM hit")
-sql("edit_account", MOVED + " SELECT tindex, leg, account, commodity, quantity FROM edited WHERE year(date) = 1997")
+sql("edit_account", MOVED + " SELECT tindex, leg, account, commodity, quantity FROM edited")
 sql(
     "edit_payee",
     MOVED

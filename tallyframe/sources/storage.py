@@ -11,7 +11,8 @@ from tallyframe.functions.files import extension, file_kind, human_size, type_la
 
 
 def month_routed(df: DataFrame) -> DataFrame:
-    return df.withColumns({"year": F.year("date"), "month": F.month("date")})
+    """Two digits for the month, so that folders sort by name as they do by date."""
+    return df.withColumns({"year": F.year("date"), "month": F.date_format("date", "MM")})
 
 
 def read_months(

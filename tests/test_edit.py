@@ -72,6 +72,19 @@ def test_valid_edit_becomes_a_snapshot(spark, books, tmp_path):
     stored = spark.read.parquet(f"{path}/postings")
     assert stored.where("account = 'expenses:groceries'").first().quantity == Decimal("12.5")
     assert validate.unbalanced(books.having(postings=stored)).isEmpty()
+    back = edit.read_snapshot(spark, path)
+    assert back.accounts.count() == books.accounts.count() and back.commodities.count() == books.commodities.count()
+    assert back.transactions.count() == books.transactions.count()
+
+
+def test_half_a_snapshot_is_refused(spark, books, tmp_path):
+    path = str(tmp_path / "snapshot")
+    broken = books.having(commodities=books.commodities.selectExpr("raise_error('lost') as commodity"))
+    with pytest.raises(Exception, match="lost"):
+        edit.store_snapshot(broken, path)
+    assert spark.read.parquet(f"{path}/postings").count()
+    with pytest.raises(ValueError):
+        edit.read_snapshot(spark, path)
 
 
 @pytest.mark.parametrize(
