@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.common import Words, bit_table, in_table, materialize, mix, shingle_sets, signed, slices, small_batches
 from tallyframe.llm.components import components
+from tallyframe.scratch import discard
 
 ORDER_BITS = 16
 #: Candidates of one class that one prefix tree holds; more of them go to further trees.
@@ -240,6 +241,7 @@ def links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None
 
     shared = first.mapInArrow(may_share, first.schema).join(shared, "key")
     shared = materialize(shared.distinct(), "shared-prefixes")
+    discard(first)
     found, comp, rounds = None, None, 0
     while True:
         if comp is None:
@@ -269,6 +271,7 @@ def links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None
             pairs = now.alias("b").join(a, F.expr(fits(percent)))
             pairs = pairs.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"))
         new = materialize(verified(pairs.distinct(), classes, sets, ranks, percent), "links")
+        discard(now)
         found = new if found is None else found.union(new)
         comp = materialize(components(found), "components")
         rounds += 1
