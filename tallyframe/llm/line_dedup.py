@@ -5,7 +5,8 @@ by hash bucket, and one 64-bit number per word carries its bucket's rank and the
 that sorting numbers sorts by rarity and equal numbers are equal words. Two lines of Jaccard
 similarity ``percent`` and more share one of their first few words in this order (prefix filter), at
 places and with lengths that leave room for the overlap (positional and length filters), and differ
-in few bits of a parity word. What passes is verified on the full sets.
+in few bits of a parity word. Up to the smaller of their last prefix words both prefixes are whole, so
+what they share there bounds the overlap as well. What passes is verified on the full sets.
 
 Lines of equal sets are one class, named by its first line. To decide that a line goes, one earlier
 match is enough: first each class is compared with the earliest class of its three rarest words; only
@@ -46,13 +47,14 @@ def words_of(line: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """Rank of each hash bucket by its number of words in all texts, as an array column."""
+    """Rank of each hash bucket by its number of words in all texts, as an array column of numbers' high bits."""
     words = docs.select(F.replace("text", F.lit("\n"), F.lit(" ")).alias("text")).select(F.explode(words_of(F.col("text"))).alias("w"))
     size = 1 << RARITY_BITS
     counts = words.where("w <> ''").select(F.xxhash64("w").bitwiseAND(size - 1).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
     every = docs.sparkSession.range(size).join(counts, F.col("id") == F.col("bucket"), "left")
     ranks = every.select(F.col("id").alias("cell"), F.row_number().over(Window.orderBy(F.coalesce("n", F.lit(0)), "id")).alias("value"))
-    return dense(materialize(ranks.select("cell", (F.col("value") - 1).cast("long").alias("value")), "rarity"), size)
+    high = F.shiftleft((F.col("value") - 1 - size // 2).cast("long"), 64 - RARITY_BITS)
+    return dense(materialize(ranks.select("cell", high.alias("value")), "rarity"), size)
 
 
 def bit_filter(keys: DataFrame) -> Column:
@@ -76,13 +78,10 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def ordered_sets(lines: DataFrame, ranks: Column, min_words: int) -> DataFrame:
     """``lines`` with ``items``: the line's distinct words as numbers, rarest first."""
-    rest = 64 - RARITY_BITS
     low = (1 << RARITY_BITS) - 1
     hashes = F.transform(words_of(F.col("words")), lambda w: F.xxhash64(w))
     hashes = F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")))
-    number = lambda h: F.shiftleft(
-        F.get("ranks", h.bitwiseAND(low).cast("int")) - (1 << (RARITY_BITS - 1)), rest
-    ).bitwiseOR(F.shiftrightunsigned(h, RARITY_BITS))
+    number = lambda h: F.get("ranks", h.bitwiseAND(low).cast("int")).bitwiseOR(F.shiftrightunsigned(h, RARITY_BITS))
     # behind a generator, so that the length filter does not build the words twice
     long_enough = F.explode(F.filter(F.array(hashes), lambda h: F.size(h) >= min_words))
     found = lines.select("doc_id", "text_key", "line", long_enough.alias("hashes"))
@@ -105,22 +104,42 @@ def fits(percent: int) -> str:
     )
 
 
+def room(percent: int) -> str:
+    """SQL: what the prefixes of a and b share leaves them within reach of the threshold."""
+    known = lambda x: f"size(filter({x}_keys, k -> k <= least(element_at(a_keys, -1), element_at(b_keys, -1))))"
+    most = f"size(array_intersect(a_keys, b_keys)) + least(a_n - {known('a')}, b_n - {known('b')})"
+    return f"({most}) * {100 + percent}L >= {percent}L * (a_n + b_n)"
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ranks: Column, percent: int, min_words: int) -> DataFrame:
-    """Those of the distinct ``pairs`` (a, b: sets) that reach the threshold, with a's line before b's."""
-    names = classes.select("set", "first")
-    both = pairs.join(names.toDF("a", "a_first"), "a").join(names.toDF("b", "b_first"), "b").where("a_first < b_first")
-    both = materialize(both, "line-pairs")
-    ends = both.select(F.col("a_first").alias("f")).union(both.select(F.col("b_first").alias("f"))).select(
-        line_key(F.col("f.doc_id"), F.col("f.text_key"), F.col("f.line")).alias("key")
-    ).distinct()
-    # the words of candidate lines only are built again; the filter just spares the others
-    some = lines_of(docs).where(may_hold(bit_filter(ends), line_key(F.col("doc_id"), F.col("text_key"), F.col("line"))))
+    """Those of the distinct ``pairs`` (a, b: sets, a_open, b_open) that reach the threshold and whose later line is open.
+
+    a, b, a_first, similarity: a is the set of the earlier line.
+    """
+    ends = classes.select("set", "first", "n", "keys")
+    both = pairs.join(ends.toDF("a", "a_first", "a_n", "a_keys"), "a").join(ends.toDF("b", "b_first", "b_n", "b_keys"), "b")
+    both = both.where(f"if(a_first < b_first, b_open, a_open) = 1 and {room(percent)}")
+    turned = F.col("b_first") < F.col("a_first")
+    pick = lambda x, y, name: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(name)
+    both = materialize(both.select(
+        pick("a", "b", "a"), pick("b", "a", "b"), pick("a_first", "b_first", "a_first"), pick("b_first", "a_first", "b_first")
+    ), "line-pairs")
+    places = both.select(F.col("a_first").alias("f")).union(both.select(F.col("b_first").alias("f"))).select("f.*")
+    keys = F.explode(F.array("text_key", line_key(F.col("doc_id"), F.col("text_key"), F.col("line")))).alias("key")
+    bits = bit_filter(places.select(keys).distinct())
+    # the words of candidate lines only are built again; the filter just spares the other texts and lines
+    some = lines_of(docs.where(may_hold(bits, F.xxhash64("text"))))
+    some = some.where(may_hold(bits, line_key(F.col("doc_id"), F.col("text_key"), F.col("line"))))
     items = ordered_sets(some, ranks, min_words).select(F.xxhash64("items").alias("set"), "items")
     items = materialize(items.groupBy("set").agg(F.first("items").alias("items")), "line-words")
     met = both.join(items.toDF("a", "a_items"), "a").join(items.toDF("b", "b_items"), "b")
     common = F.size(F.array_intersect("a_items", "b_items"))
     met = met.select("a", "b", "a_first", common.alias("common"), (F.size("a_items") + F.size("b_items") - common).alias("all"))
-    return met.where(f"common * 100L >= {percent}L * all").select("a", "b", "a_first", (F.col("common") / F.col("all")).alias("similarity"))
+    met = met.where(f"common * 100L >= {percent}L * all")
+    met = materialize(met.select("a", "b", "a_first", (F.col("common") / F.col("all")).alias("similarity")), "line-matches")
+    discard(both)
+    discard(items)
+    return met
 
 
 def line_key(doc_id: Column, text_key: Column, line: Column) -> Column:
@@ -162,15 +181,17 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> D
     few = prefix_rows(classes).where("at < 3")
     lead = few.groupBy("key").agg(F.min(F.struct("first", "set", "n", "at", "parity")).alias("l")).select("key", "l.*")
     pairs = few.drop("first").alias("b").join(lead.drop("first").alias("a"), F.expr(fits(percent)))
-    pairs = pairs.select(F.col("a.set").alias("a"), F.col("b.set").alias("b")).distinct()
-    settled = materialize(verified(pairs, classes, docs, ranks, percent, min_words), "settled-lines")
+    pairs = pairs.select(F.col("a.set").alias("a"), F.col("b.set").alias("b"), F.lit(1).alias("a_open"), F.lit(1).alias("b_open")).distinct()
+    settled = verified(pairs, classes, docs, ranks, percent, min_words)
     # what is still open against all; both sides read the same columns, so one shuffle serves them
     done = settled.select(F.col("b").alias("set")).distinct().withColumn("open", F.lit(0))
     rows = prefix_rows(classes.select("set", "n", "parity", "keys").join(done, "set", "left").select(
         "set", "n", "parity", F.coalesce("open", F.lit(1)).alias("open"), "keys"
     ))
-    pairs = rows.alias("a").join(rows.alias("b"), F.expr(fits(percent) + " and b.open >= greatest(a.open, 1)"))
-    pairs = pairs.select(F.col("a.set").alias("a"), F.col("b.set").alias("b")).distinct()
+    order = "a.n <= b.n and (a.n < b.n or a.set < b.set) and a.open + b.open > 0 and "
+    pairs = rows.alias("a").join(rows.alias("b"), F.expr(order + fits(percent)))
+    pairs = pairs.select(*[F.col(f"{x}.set").alias(x) for x in "ab"], *[F.col(f"{x}.open").alias(f"{x}_open") for x in "ab"]).distinct()
+    pairs = materialize(pairs, "line-candidates")  # its shuffles go before the next ones begin
     found = settled.union(verified(pairs, classes, docs, ranks, percent, min_words))
     found = found.groupBy("b").agg(F.min(F.struct("a_first", "similarity")).alias("m"))
     lines = places.join(classes.select("set", "first").join(found, classes["set"] == found["b"], "left"), "set")
