@@ -57,7 +57,7 @@ def running_totals(
     within = (
         Window.partitionBy("_run", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = placed.join(F.broadcast(carried), ["_run", *keys], "left")
+    joined = placed.join(carried, ["_run", *keys], "left")
     sums = {
         name: F.sum(f"_part_{name}").over(within).cast(room[f"_part_{name}"])
         + F.coalesce(F.col(f"_part_{name}_in"), F.lit(0)).cast(room[f"_part_{name}"])
