@@ -4,9 +4,10 @@
 2. A fixed table of shingle counts by hash bucket gives a global order, rare buckets first. Two sets
    that reach the threshold share one of their first few shingles in that order.
 3. Classes that share such a shingle are candidates if their lengths and places allow the overlap.
-   First the smallest class of each shingle is tried against the others; what is linked then needs
-   no more comparing. Pairs of classes that are still apart are compared in full, so a group of near
-   copies costs about its size and no link between groups is lost.
+   First one class of each shingle is tried against the others; what is linked then needs no more
+   comparing. Pairs of classes that are still apart are compared in full, at once if they are few, or
+   else in rounds: each class of a shingle has a fixed turn to lead, and is done once it has led. So a
+   group of near copies costs about its size, no link between groups is lost, and the rounds end.
    A parity sketch (as many bits as the set has members) rules out most false candidates: sets that
    reach the threshold cannot differ in more bits than in members.
 4. Candidates of one class are stored as a prefix tree (their ordered sets, sorted, with the length
@@ -124,8 +125,12 @@ def prefixes(sets: DataFrame, ranks: np.ndarray, percent: int) -> DataFrame:
     return sets.select("sid", "shingles").mapInArrow(work, ", ".join(f"{k} {v}" for k, v in PREFIX_TYPES.items()))
 
 
-#: Pairs per row up to which all pairs of a key are looked at, rather than those with one more leader.
+#: Pairs per row up to which all pairs of a key are looked at, rather than those with some more leaders.
 PAIRS_A_ROW = 200
+#: How much the leaders of a key grow in number from round to round.
+LEADERS = 16
+#: Classes of one key that its leaders meet in one task.
+BLOCK_ROWS = 4096
 PREFIX_TYPES = {"key": "long", "sid": "long", "n": "int", "at": "int", "p0": "long", "p1": "long", "p2": "long", "p3": "long"}
 PREFIX_COLUMNS = [c for c in PREFIX_TYPES if c != "key"]
 
@@ -225,6 +230,17 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, ranks: np.nd
     return members.union(probes).groupBy("a", "tree").applyInArrow(join, "a long, b long")
 
 
+def with_turns(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, sid) with turn, the round (from 1) in which a class leads its key, and blocks, in how many its key is dealt.
+
+    About LEADERS**t classes of a key have led by turn t, so a key of m classes takes log(m) rounds.
+    """
+    sizes = rows.groupBy("key").agg(F.count("*").alias("m"))
+    drawn = F.shiftrightunsigned(F.xxhash64("key", "sid"), 11) / F.lit(float(1 << 53))
+    turn = F.greatest(F.lit(1), F.ceil(F.log(float(LEADERS), drawn * F.col("m"))).cast("int"))
+    return rows.join(sizes, "key").withColumns({"turn": turn, "blocks": F.ceil(F.col("m") / BLOCK_ROWS).cast("long")}).drop("m")
+
+
 def links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None:
     """node, component: the classes (sid) that the threshold connects; None if there are none.
 
@@ -248,10 +264,10 @@ def links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None
             now = shared.withColumn("comp", F.col("sid"))
         else:
             now = shared.join(comp, shared["sid"] == comp["node"], "left").select(
-                *[shared[c] for c in PREFIX_TYPES], F.coalesce("component", "sid").alias("comp")
+                *[shared[c] for c in shared.columns], F.coalesce("component", "sid").alias("comp")
             )
         apart = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        now = materialize(now.join(apart.select("key"), "key"), "apart")
+        now = stored = materialize(now.join(apart.select("key"), "key"), "apart")
         # pairs of a key in different components: all pairs less those within a component
         sizes = now.groupBy("key", "comp").agg(F.count("*").alias("m"))
         left = sizes.groupBy("key").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("pairs"), F.sum("m").alias("rows"))
@@ -264,14 +280,23 @@ def links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None
             a, b = now.alias("a"), now.alias("b")
             pairs = a.join(b, F.expr(f"a.sid < b.sid and {fits(percent)}"))
             pairs = pairs.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"))
-        else:
-            # another leader of each key every round; in the end all have led
-            lead = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("sid", F.lit(rounds)).alias("h"), *PREFIX_COLUMNS, "comp")).alias("l"))
+        elif not rounds:
+            lead = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("sid").alias("h"), *PREFIX_COLUMNS, "comp")).alias("l"))
             a = lead.select("key", "l.*").alias("a")
             pairs = now.alias("b").join(a, F.expr(fits(percent)))
             pairs = pairs.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"))
+        else:
+            if rounds == 1:  # keys that are settled by now stay so
+                shared = materialize(with_turns(now.drop("comp")), "turns")
+                now = now.join(shared.select("key", "sid", "turn", "blocks"), ["key", "sid"])
+            lead = now.where(F.col("turn") == rounds).withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
+            rest = now.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+            a, b = lead.alias("a"), rest.alias("b")
+            pairs = b.join(a, F.expr(f"a.block = b.block and (a.turn < b.turn or a.sid < b.sid) and {fits(percent)}"))
+            pairs = pairs.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"))
+            shared = shared.where(F.col("turn") > rounds)  # all others have led: every pair of theirs was looked at
         new = materialize(verified(pairs.distinct(), classes, sets, ranks, percent), "links")
-        discard(now)
+        discard(stored)
         found = new if found is None else found.union(new)
         comp = materialize(components(found), "components")
         rounds += 1

@@ -101,6 +101,31 @@ def test_ngram_join(spark, documents, texts, k, percent):
     assert got == components_of(more, k, percent)
 
 
+def test_ngram_join_ends_on_keys_of_many_unlike_classes(spark):
+    rng = np.random.default_rng(8)
+    pool = [f"w{i}" for i in range(40)]
+    sets = [rng.choice(40, 20, replace=False) for _ in range(2100)]  # the rarest words stand in about 1,000 unlike texts each
+    for i in range(60):  # near copies among them
+        near = sets[i].copy()
+        near[i % 20] = next(w for w in range(40) if w not in near)
+        sets.append(near)
+    texts = {i: " ".join(pool[w] for w in s) for i, s in enumerate(sets)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs, 1, 80).collect()}
+    assert got == components_of(texts, 1, 80)
+    assert len({c for _, c in got.values()}) <= 2100
+
+
+def test_ngram_join_all_turns(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PAIRS_A_ROW", 0)  # rounds to the end
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 50)
+    rng = np.random.default_rng(9)
+    texts = {i: " ".join(f"w{w}" for w in rng.choice(26, 20, replace=False)) for i in range(300)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs, 1, 90).collect()}
+    assert got == components_of(texts, 1, 90)
+
+
 def test_prefix_tree_walk():
     rng = np.random.default_rng(3)
     probe = np.sort(rng.choice(1000, 200, replace=False)).astype(np.uint64)
