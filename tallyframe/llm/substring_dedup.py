@@ -1,10 +1,13 @@
 """Substring dedup by hashing normalised units of lines and paragraphs.
 
-A text is cut into units at line ends and punctuation; a passage copied into the middle of another
-line still starts and ends its inner units at the same places. From every unit a block runs to the
-first unit end after ``min_words`` words. Blocks are normalised (words only, lower case), digested to
-128 bits and grouped over all documents; the first by (doc_id, place) is kept. Blocks that occur
-elsewhere first are merged into spans, and spans of at least ``min_run`` words are the result.
+A text is cut into units at line ends, at punctuation, and after every word whose hash is the least
+of some WINDOW words in a row, so that units are short whatever the text; a passage copied into the
+middle of another line still starts and ends its inner units at the same places. From every unit a
+block runs to the first unit end after ``min_words`` words. Blocks are normalised (words only, lower
+case), digested to 128 bits and grouped over all documents; the first by (doc_id, place) is kept.
+Blocks that occur elsewhere first are merged into runs along the first text, runs are extended word
+by word to both sides, and what they cover in stretches of at least ``min_run`` words is the result.
+A passage of ``3 * WINDOW + min_words`` words and more always holds a whole block.
 """
 
 from __future__ import annotations
@@ -18,9 +21,25 @@ from tallyframe.llm.common import Words, bit_table, in_table, materialize, mix,
 
 _BREAK = np.zeros(256, np.int64)
 _BREAK[list(b"\n\r.,;:!?|")] = 1
+#: Words in a row of which one ends a unit.
+WINDOW = 12
+#: Words that a run is extended by at most to each side; a unit and a block are shorter.
+REACH = 64
+SIDES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 _FACTORS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd, so that powers can be divided by
 
 
+def content_cuts(words: Words) -> np.ndarray:
+    """Which words end a unit by their hash: the least, and last of equal ones, of WINDOW words in a row of one text."""
+    cut, n = np.zeros(len(words.start), bool), len(words.start) - WINDOW + 1
+    if n > 0:
+        views = np.lib.stride_tricks.sliding_window_view(words.hash[::-1], WINDOW)[::-1]
+        least = np.arange(n) + WINDOW - 1 - views.argmin(1)
+        text = np.searchsorted(words.at, np.arange(len(words.start)), "right")
+        cut[least[text[:n] == text[WINDOW - 1 :]]] = True
+    return cut
+
+
 def blocks(column: pa.Array, min_words: int) -> dict[str, np.ndarray]:
     """All blocks of some texts: row, h1, h2, first word and word after, first code point and the one after."""
     words = Words(column, "alnum")
@@ -30,6 +49,7 @@ def blocks(column: pa.Array, min_words: int) -> dict[str, np.ndarray]:
     marks = np.concatenate(([0], np.cumsum(_BREAK[words.data])))
     opens = np.ones(n, bool)
     opens[1:] = marks[words.start[1:]] > marks[words.end[:-1]]
+    opens[1:] |= content_cuts(words)[:-1]
     opens[words.at[:-1][words.at[:-1] < n]] = True
     starts = np.flatnonzero(opens)
     row = np.searchsorted(words.at, starts, "right") - 1
@@ -55,7 +75,7 @@ def blocks(column: pa.Array, min_words: int) -> dict[str, np.ndarray]:
 def repeated_spans(docs: DataFrame, min_words: int = 8, min_run: int = 25) -> DataFrame:
     """Spans to remove: doc_id, start, end (code points, end exclusive), n_words, kept_doc_id, kept_start, text_key.
 
-    ``kept_doc_id`` and ``kept_start`` tell where the span's first block occurs first. Occurrences
+    ``kept_doc_id`` and ``kept_start`` tell where the span's first run occurs first. Occurrences
     rank by doc_id (null last), then a hash of the text, then place; a text that repeats its own
     words loses the later ones. Rows equal in doc_id and text are one occurrence and get the same
     spans. Null, empty and short texts have no blocks. No rows give no rows; other columns are not
@@ -86,21 +106,89 @@ def repeated_spans(docs: DataFrame, min_words: int = 8, min_run: int = 25) -> Da
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "w0", "c0")
     first = units.select("h1", "h2", rank.alias("rank")).groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = units.join(first, ["h1", "h2"]).where(~rank.eqNullSafe(F.col("first"))).select(
-        "doc_id", "text_key", "w0", "w1", "c0", "c1", F.col("first.doc_id").alias("kept"), F.col("first.c0").alias("kept_c0")
+        "doc_id", "text_key", "w0", "w1", F.col("first.doc_id").alias("kept"), F.col("first.text_key").alias("kept_key"), F.col("first.w0").alias("kept_w0")
     ).distinct()
-    own = Window.partitionBy("doc_id", "text_key").orderBy("w0", "w1")
+    runs = merged(later.withColumn("ahead", F.col("w0") - F.col("kept_w0")), ["doc_id", "text_key", "kept", "kept_key", "ahead"])
+    found = merged(extended(docs, materialize(runs, "runs")), ["doc_id", "text_key"], "c0", "c1", "kept", "kept_c0")
+    return found.where(F.col("w1") - F.col("w0") >= min_run).select(
+        "doc_id", F.col("c0").cast("long").alias("start"), F.col("c1").cast("long").alias("end"), (F.col("w1") - F.col("w0")).cast("long").alias("n_words"),
+        F.col("kept").alias("kept_doc_id"), F.col("kept_c0").cast("long").alias("kept_start"), "text_key",
+    )
+
+
+def merged(spans: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """``spans`` (w0, w1) of the same ``keys`` that overlap or touch as one; c1 grows, other columns are of the first."""
+    own = Window.partitionBy(*keys).orderBy("w0", "w1", *more)
     reach = F.max("w1").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    spans = later.withColumn("opens", (F.coalesce(reach, F.lit(-1)) < F.col("w0")).cast("int"))
+    spans = spans.withColumn("opens", (F.coalesce(reach, F.lit(-1)) < F.col("w0")).cast("int"))
     spans = spans.withColumn("span", F.sum("opens").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    found = spans.groupBy("doc_id", "text_key", "span").agg(
-        F.min("c0").alias("start"), F.max("c1").alias("end"), (F.max("w1") - F.min("w0")).alias("n_words"),
-        F.min_by(F.struct("kept", "kept_c0"), "w0").alias("kept"),
+    least = F.min(F.struct("w0", *more))
+    out = spans.groupBy(*keys, "span").agg(least.alias("f"), F.max("w1").alias("w1"), *[F.max(c).alias(c) for c in more if c == "c1"])
+    return out.select(*keys, "f.w0", "w1", *[F.col(c) if c == "c1" else F.col(f"f.{c}").alias(c) for c in more])
+
+
+def extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """``runs`` with all equal words before and after them: doc_id, text_key, w0, w1, c0, c1, kept, kept_c0."""
+    here = runs.select("doc_id", "text_key", "w0", "w1")
+    there = runs.select(F.col("kept").alias("doc_id"), F.col("kept_key").alias("text_key"), (F.col("w0") - F.col("ahead")).alias("w0"), (F.col("w1") - F.col("ahead")).alias("w1"))
+    asked = here.union(there).distinct().groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("w0", "w1")).alias("asked"))
+    asked = asked.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "asked")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    texts = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("doc_id", "text_key", "text", "asked")
+
+    def look(batches):
+        for part in slices(batches, limit=1 << 20):
+            words = Words(part.column("text"), "alnum")
+            points = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
+            rows = []
+            for i, (doc, key, places) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "text_key", "asked")))):
+                at, end = words.at[i], words.at[i + 1]
+                base = points[words.offsets[i]]
+                for place in places:
+                    w0, w1 = place["w0"], place["w1"]
+                    low, high = max(at, at + w0 - REACH), min(end, at + w1 + REACH)
+                    # words outwards from the run; first code points up to it, last ones from it on
+                    rows.append((
+                        doc, key, w0, w1, words.hash[low : at + w0][::-1].tobytes(), words.hash[at + w1 : high].tobytes(),
+                        (points[words.start[low : at + w0 + 1]] - base)[::-1].tolist(), (points[words.end[at + w1 - 1 : high]] - base).tolist(),
+                    ))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [[]] * 8, SIDES)], names=["doc_id", "text_key", "w0", "w1", "before", "after", "starts", "ends"]
+            )
+
+    sides = materialize(
+        texts.mapInArrow(look, "doc_id long, text_key long, w0 int, w1 int, before binary, after binary, starts array<int>, ends array<int>")
+        .dropDuplicates(["doc_id", "text_key", "w0", "w1"]), "sides",
     )
-    return found.where(F.col("n_words") >= min_run).select(
-        "doc_id", F.col("start").cast("long"), F.col("end").cast("long"), F.col("n_words").cast("long"),
-        F.col("kept.kept").alias("kept_doc_id"), F.col("kept.kept_c0").cast("long").alias("kept_start"), "text_key",
+    a, b, r = sides.alias("a"), sides.alias("b"), runs.alias("r")
+    both = r.join(a, F.expr("r.doc_id <=> a.doc_id and r.text_key = a.text_key and r.w0 = a.w0 and r.w1 = a.w1")).join(
+        b, F.expr("r.kept <=> b.doc_id and r.kept_key = b.text_key and r.w0 - r.ahead = b.w0 and r.w1 - r.ahead = b.w1")
+    ).selectExpr(
+        "r.doc_id", "r.text_key", "r.w0", "r.w1", "r.kept", "a.before", "a.after", "a.starts", "a.ends",
+        "b.before as kept_before", "b.after as kept_after", "b.starts as kept_starts",
     )
 
+    def common(x: bytes, y: bytes) -> int:
+        p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        m = min(len(p), len(q))
+        differ = np.flatnonzero(p[:m] != q[:m])
+        return int(differ[0]) if len(differ) else m
+
+    def grow(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            left = [common(x["before"], x["kept_before"]) for x in rows]
+            right = [common(x["after"], x["kept_after"]) for x in rows]
+            values = [
+                [x["doc_id"] for x in rows], [x["text_key"] for x in rows], [x["w0"] - k for x, k in zip(rows, left)], [x["w1"] + k for x, k in zip(rows, right)],
+                [x["starts"][k] for x, k in zip(rows, left)], [x["ends"][k] for x, k in zip(rows, right)],
+                [x["kept"] for x in rows], [x["kept_starts"][k] for x, k in zip(rows, left)],
+            ]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=["doc_id", "text_key", "w0", "w1", "c0", "c1", "kept", "kept_c0"])
+
+    return materialize(both.mapInArrow(grow, "doc_id long, text_key long, w0 int, w1 int, c0 int, c1 int, kept long, kept_c0 int"), "extended")
+
 
 def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the ``spans`` cut out of ``text`` and listed in ``removed`` (start, end of the old text)."""

@@ -236,6 +236,20 @@ def test_repeated_passage(spark, sf):
         assert r.text == texts[r.doc_id][: cut.start] + texts[r.doc_id][cut.end :]
 
 
+def test_passages_without_marks_are_found_whole(spark):
+    rng = np.random.default_rng(4)
+    def words(n):
+        return " ".join("".join(rng.choice(list("abcdefgh"), 7)) for _ in range(n))
+
+    passages = [words(n) for n in range(51, 81)]
+    rows = [(i, f"{words(30)} {passages[i % 30]} {words(30)}") for i in range(60)]
+    got = {r.doc_id: r for r in substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == set(range(30, 60))
+    for i, r in got.items():
+        assert rows[i][1][r.start : r.end] == passages[i - 30] and r.n_words == i + 21
+        assert r.kept_doc_id == i - 30 and rows[i - 30][1][r.kept_start :].startswith(passages[i - 30])
+
+
 # line dedup
 def test_line_dedup(documents, texts):
     lines, expected, index, seen = [], set(), defaultdict(list), set()
