@@ -8,6 +8,9 @@ case), digested to 128 bits and grouped over all documents; the first by (doc_id
 Blocks that occur elsewhere first are merged into runs along the first text, runs are extended word
 by word to both sides, and what they cover in stretches of at least ``min_run`` words is the result.
 A passage of ``3 * WINDOW + min_words`` words and more always holds a whole block.
+
+Beside the blocks, whole lines are digested, whatever their length: a line that an earlier line equals
+goes, and so does a paragraph of such lines. ``min_run`` is for what starts or ends inside a line.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from tallyframe.llm.common import Words, bit_table, in_table, materialize, mix,
 
 _BREAK = np.zeros(256, np.int64)
 _BREAK[list(b"\n\r.,;:!?|")] = 1
+_FEED = np.zeros(256, np.int64)
+_FEED[list(b"\n\r")] = 1
 #: Words in a row of which one ends a unit.
 WINDOW = 12
 #: Words that a run is extended by at most to each side; a unit and a block are shorter.
@@ -41,11 +46,11 @@ def content_cuts(words: Words) -> np.ndarray:
 
 
 def blocks(column: pa.Array, min_words: int) -> dict[str, np.ndarray]:
-    """All blocks of some texts: row, h1, h2, first word and word after, first code point and the one after."""
+    """All blocks and whole lines of some texts: row, h1, h2, whether a line, first word and word after, first code point and the one after."""
     words = Words(column, "alnum")
     n = len(words.start)
     if not n:
-        return {k: np.zeros(0, np.int64) for k in ("row", "h1", "h2", "w0", "w1", "c0", "c1")}
+        return {k: np.zeros(0, np.int64) for k in ("row", "h1", "h2", "whole", "w0", "w1", "c0", "c1")}
     marks = np.concatenate(([0], np.cumsum(_BREAK[words.data])))
     opens = np.ones(n, bool)
     opens[1:] = marks[words.start[1:]] > marks[words.end[:-1]]
@@ -57,13 +62,21 @@ def blocks(column: pa.Array, min_words: int) -> dict[str, np.ndarray]:
     ends = limits[np.minimum(np.searchsorted(limits, starts + min_words), len(limits) - 1)]
     good = (ends - starts >= min_words) & (ends <= words.at[row + 1])
     starts, ends, row = starts[good], ends[good], row[good]
-    out = {}
+    feeds = np.concatenate(([0], np.cumsum(_FEED[words.data])))
+    opens = np.ones(n, bool)
+    opens[1:] = feeds[words.start[1:]] > feeds[words.end[:-1]]
+    opens[words.at[:-1][words.at[:-1] < n]] = True
+    lines = np.flatnonzero(opens)
+    whole = np.repeat([0, 1], [len(starts), len(lines)])
+    starts, ends = np.concatenate((starts, lines)), np.concatenate((ends, lines[1:], [n]))
+    row = np.concatenate((row, np.searchsorted(words.at, lines, "right") - 1))
+    out = {"whole": whole}
     for name, factor, h in (("h1", _FACTORS[0], words.hash), ("h2", _FACTORS[1], mix(words.hash ^ np.uint64(0x5DEECE66D)))):
         up, down = np.ones(n, np.uint64), np.ones(n, np.uint64)
         up[1:], down[1:] = np.uint64(factor), np.uint64(pow(factor, -1, 1 << 64))
         up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up, dtype=np.uint64)))
-        out[name] = signed(mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+        out[name] = signed(mix((total[ends] - total[starts]) * down[starts] + (ends - starts + (whole << 40)).astype(np.uint64)))
     points = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
     base = points[words.offsets[row]]
     return out | {
@@ -78,7 +91,7 @@ def repeated_spans(docs: DataFrame, min_words: int = 8, min_run: int = 25) -> Da
     ``kept_doc_id`` and ``kept_start`` tell where the span's first run occurs first. Occurrences
     rank by doc_id (null last), then a hash of the text, then place; a text that repeats its own
     words loses the later ones. Rows equal in doc_id and text are one occurrence and get the same
-    spans. Null, empty and short texts have no blocks. No rows give no rows; other columns are not
+    spans. Null and empty texts have no words and no spans. No rows give no rows; other columns are not
     read. ``text_key`` (xxhash64 of the text) finds the rows of a span where doc_id does not.
     """
 
@@ -88,11 +101,11 @@ def repeated_spans(docs: DataFrame, min_words: int = 8, min_run: int = 25) -> Da
             at = pa.array(b["row"], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(b["h1"]), pa.array(b["h2"]), part.column("doc_id").cast(pa.int64()).take(at), part.column("text_key").take(at)]
-                + [pa.array(b[k].astype(np.int32)) for k in ("w0", "w1", "c0", "c1")],
-                names=["h1", "h2", "doc_id", "text_key", "w0", "w1", "c0", "c1"],
+                + [pa.array(b[k].astype(np.int32)) for k in ("whole", "w0", "w1", "c0", "c1")],
+                names=["h1", "h2", "doc_id", "text_key", "whole", "w0", "w1", "c0", "c1"],
             )
 
-    schema = "h1 long, h2 long, doc_id long, text_key long, w0 int, w1 int, c0 int, c1 int"
+    schema = "h1 long, h2 long, doc_id long, text_key long, whole int, w0 int, w1 int, c0 int, c1 int"
     units = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(cut, schema)
     units = materialize(units, "units")
     often = units.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
@@ -106,11 +119,17 @@ def repeated_spans(docs: DataFrame, min_words: int = 8, min_run: int = 25) -> Da
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "w0", "c0")
     first = units.select("h1", "h2", rank.alias("rank")).groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = units.join(first, ["h1", "h2"]).where(~rank.eqNullSafe(F.col("first"))).select(
-        "doc_id", "text_key", "w0", "w1", F.col("first.doc_id").alias("kept"), F.col("first.text_key").alias("kept_key"), F.col("first.w0").alias("kept_w0")
+        "doc_id", "text_key", "whole", "w0", "w1", "c0", "c1",
+        F.col("first.doc_id").alias("kept"), F.col("first.text_key").alias("kept_key"), F.col("first.w0").alias("kept_w0"), F.col("first.c0").alias("kept_c0"),
     ).distinct()
-    runs = merged(later.withColumn("ahead", F.col("w0") - F.col("kept_w0")), ["doc_id", "text_key", "kept", "kept_key", "ahead"])
-    found = merged(extended(docs, materialize(runs, "runs")), ["doc_id", "text_key"], "c0", "c1", "kept", "kept_c0")
-    return found.where(F.col("w1") - F.col("w0") >= min_run).select(
+    later = materialize(later, "later")
+    lines = later.where("whole = 1").select("doc_id", "text_key", "w0", "w1", "c0", "c1", "kept", "kept_c0")
+    runs = merged(later.where("whole = 0").withColumn("ahead", F.col("w0") - F.col("kept_w0")), ["doc_id", "text_key", "kept", "kept_key", "ahead"])
+    columns = ["c0", "c1", "kept", "kept_c0"]
+    found = merged(extended(docs, materialize(runs, "runs")), ["doc_id", "text_key"], *columns)
+    found = found.where(F.col("w1") - F.col("w0") >= min_run)
+    found = merged(found.unionByName(lines), ["doc_id", "text_key"], *columns)
+    return found.select(
         "doc_id", F.col("c0").cast("long").alias("start"), F.col("c1").cast("long").alias("end"), (F.col("w1") - F.col("w0")).cast("long").alias("n_words"),
         F.col("kept").alias("kept_doc_id"), F.col("kept_c0").cast("long").alias("kept_start"), "text_key",
     )
