@@ -152,7 +152,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> D
     A line (text between line feeds, numbered from 0) goes if an earlier one - by doc_id (null last),
     then a hash of the text, then line - has a word set with 100 * common >= ``percent`` * union. One
     such earlier line is named: the first of those with an equal set if there is one. Lines of fewer
-    than ``min_words`` distinct words, and null or empty texts, are left alone. Rows equal in doc_id
+    than ``min_words`` distinct words (1: none but blank lines), and null or empty texts, are left alone. Rows equal in doc_id
     and text are one document. No rows give no rows; other columns are not read. Words are 64-bit
     hashes: two different words share one with odds of (number of words)**2 / 2**65. ``text_key``
     (xxhash64 of the text) tells rows of one doc_id apart.

@@ -56,8 +56,8 @@ def op5_substring_dedup(spark, sf_dir):
 
 
 def op6_line_dedup(spark, sf_dir):
-    """Lines that match an earlier line."""
-    return line_dedup.duplicate_lines(table(spark, sf_dir, "documents")).drop("text_key")
+    """Lines that match an earlier line, however short."""
+    return line_dedup.duplicate_lines(table(spark, sf_dir, "documents"), min_words=1).drop("text_key")
 
 
 def op7_decontamination(spark, sf_dir):

@@ -250,6 +250,18 @@ def test_passages_without_marks_are_found_whole(spark):
         assert r.kept_doc_id == i - 30 and rows[i - 30][1][r.kept_start :].startswith(passages[i - 30])
 
 
+def test_whole_lines_go_whatever_their_length(spark):
+    rows = [
+        (1, "alpha one\nShare this page\nbeta two"), (2, "gamma three\nshare THIS page.\ndelta four"), (3, "share this page now\nwe share this page\nalpha\nShare this page"),
+        (4, "Menu\nepsilon five\nMenu"), (5, "-\n\n-"),
+    ]
+    got = substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = dict(rows)
+    assert sorted((r.doc_id, texts[r.doc_id][r.start : r.end], r.n_words, r.kept_doc_id, r.kept_start) for r in got) == [
+        (2, "share THIS page", 3, 1, 10), (3, "Share this page", 3, 1, 10), (4, "Menu", 1, 4, 0),
+    ]
+
+
 # line dedup
 def test_line_dedup(documents, texts):
     lines, expected, index, seen = [], set(), defaultdict(list), set()
@@ -271,6 +283,28 @@ def test_line_dedup(documents, texts):
         assert r.text == "\n".join(x for j, x in enumerate(texts[r.doc_id].split("\n")) if (r.doc_id, j) not in expected)
 
 
+def test_short_lines_are_compared_too(spark, sf, documents, texts):
+    lines, expected = {}, set()
+    for i in sorted(texts):
+        for j, line in enumerate(texts[i].split("\n")):
+            s = frozenset(spaced(line))
+            if not 1 <= len(s) < 5:  # sets of up to 4 words meet no other set at 0.8 but one of 5 words around them
+                continue
+            if s in lines:
+                expected.add((i, j))
+            lines.setdefault(s, (i, j))
+    fives = {frozenset(spaced(x)) for t in texts.values() for x in t.split("\n")}
+    near = {s - {w} for s in fives if len(s) == 5 for w in s}
+    met = {(i, j) for i in texts for j, x in enumerate(texts[i].split("\n")) if frozenset(spaced(x)) in near}
+    short = {(i, j) for i in texts for j, x in enumerate(texts[i].split("\n")) if 1 <= len(set(spaced(x))) < 5}
+    got = {(r.doc_id, r.line) for r in queries.op6_line_dedup(spark, sf).collect()}
+    assert expected and (got & short) - met == expected - met
+    docs = spark.createDataFrame([(1, "Menu\nAll rights reserved."), (2, "x\nall RIGHTS reserved.\n\n \nmenu"), (3, "a b c d e"), (4, "d c b a")], "doc_id long, text string")
+    docs = docs.withColumn("n_chars", F.length("text").cast("long"))
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, sf).collect()}
+    assert got == {1: "Menu\nAll rights reserved.", 2: "x\n\n ", 3: "a b c d e", 4: ""}
+
+
 # decontamination
 def smith_waterman(a, b):
     best, before = 0, [0] * (len(a) + 1)
