@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import Words, bit_table, in_table, materialize, mix, signed, slices
+from tallyframe.scratch import discard
 
 _BREAK = np.zeros(256, np.int64)
 _BREAK[list(b"\n\r.,;:!?|")] = 1
@@ -107,7 +108,7 @@ def repeated_spans(docs: DataFrame, min_words: int = 8, min_run: int = 25) -> Da
 
     schema = "h1 long, h2 long, doc_id long, text_key long, whole int, w0 int, w1 int, c0 int, c1 int"
     units = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(cut, schema)
-    units = materialize(units, "units")
+    units = stored = materialize(units, "units")
     often = units.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
     table = bit_table(often, "h1", bits=26)
 
@@ -123,6 +124,7 @@ def repeated_spans(docs: DataFrame, min_words: int = 8, min_run: int = 25) -> Da
         F.col("first.doc_id").alias("kept"), F.col("first.text_key").alias("kept_key"), F.col("first.w0").alias("kept_w0"), F.col("first.c0").alias("kept_c0"),
     ).distinct()
     later = materialize(later, "later")
+    discard(stored)
     lines = later.where("whole = 1").select("doc_id", "text_key", "w0", "w1", "c0", "c1", "kept", "kept_c0")
     runs = merged(later.where("whole = 0").withColumn("ahead", F.col("w0") - F.col("kept_w0")), ["doc_id", "text_key", "kept", "kept_key", "ahead"])
     columns = ["c0", "c1", "kept", "kept_c0"]
