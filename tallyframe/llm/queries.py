@@ -12,6 +12,7 @@ from tallyframe.llm import (
     line_dedup,
     ngram_join,
     packing,
+    periodic_runs,
     pii,
     quality,
     substring_dedup,
@@ -83,11 +84,16 @@ def op10_topk(spark, sf_dir):
     return topk.top_k(vectors.where(F.col("id") % 100 == 0), vectors, 10)
 
 
+def op13_periodic_runs(spark, sf_dir):
+    """Periodic runs of every document, a tenth of which are made periodic first."""
+    return periodic_runs.digest(periodic_runs.find_runs(periodic_runs.planted(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_ngram_jaccard_join, op3_pii, op4_packing, op5_substring_dedup,
-        op6_line_dedup, op7_decontamination, op8_quality, op9_url_filter, op10_topk,
+        op6_line_dedup, op7_decontamination, op8_quality, op9_url_filter, op10_topk, op13_periodic_runs,
     )
 } | {"pipeline": corpus_pipeline.run}
 
