@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyframe.llm import (
+    chat_template,
     decontaminate,
     licenses,
     line_dedup,
@@ -84,6 +85,15 @@ def op10_topk(spark, sf_dir):
     return topk.top_k(vectors.where(F.col("id") % 100 == 0), vectors, 10)
 
 
+def op12_chat_format(spark, sf_dir):
+    """Every conversation, and one whose texts hold control strings, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], rows.schema)
+    layout = chat_template.Layout()
+    return chat_template.digest(chat_template.formatted(rows.union(more), layout.template()), layout)
+
+
 def op13_periodic_runs(spark, sf_dir):
     """Periodic runs of every document, a tenth of which are made periodic first."""
     return periodic_runs.digest(periodic_runs.find_runs(periodic_runs.planted(table(spark, sf_dir, "documents"))))
@@ -93,7 +103,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_ngram_jaccard_join, op3_pii, op4_packing, op5_substring_dedup,
-        op6_line_dedup, op7_decontamination, op8_quality, op9_url_filter, op10_topk, op13_periodic_runs,
+        op6_line_dedup, op7_decontamination, op8_quality, op9_url_filter, op10_topk, op12_chat_format, op13_periodic_runs,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -123,6 +133,22 @@ ORACLES = {
         SELECT s.doc_id, len(s.sh) AS n_shingles, min(r.r) AS component_id
         FROM s JOIN r ON r.d = s.doc_id GROUP BY s.doc_id, s.sh
     """,
+    "op12_chat_format": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (
+            SELECT *, replace(replace(replace(replace(replace(role || '|' || text, '\', '\\'),
+                '<s>', '<\:s>'), '</s>', '<\:/s>'), '[INST]', '[\:INST]'), '[/INST]', '[\:/INST]') AS escaped
+            FROM t)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(3 + sum(length(escaped) - 1 + 17) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id
+    """,
     "op10_topk": """
         WITH v AS MATERIALIZED (
             SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
