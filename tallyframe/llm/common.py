@@ -51,13 +51,15 @@ def _table(word: str) -> tuple[np.ndarray, np.ndarray]:
     inside = np.ones(256, bool)
     if word == "space":  # [^\x20\x09-\x0D]+
         inside[[32, *range(9, 14)]] = False
+    elif word == "phrase":  # words of pieces: neither space nor tab, nor what ends a piece
+        inside[[32, *range(9, 14), *b".,;:!?"]] = False
     else:  # [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing
         inside[: 0x30] = inside[0x3A:0x61] = inside[0x7B:0x80] = False
         inside = inside[low]
     return inside, low
 
 
-_TABLES = {kind: _table(kind) for kind in ("space", "alnum")}
+_TABLES = {kind: _table(kind) for kind in ("space", "phrase", "alnum")}
 
 
 def mix(x: np.ndarray) -> np.ndarray:

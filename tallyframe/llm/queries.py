@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tallyframe.llm import (
     chat_template,
+    collocations,
     decontaminate,
     licenses,
     line_dedup,
@@ -85,6 +86,11 @@ def op10_topk(spark, sf_dir):
     return topk.top_k(vectors.where(F.col("id") % 100 == 0), vectors, 10)
 
 
+def op11_collocations(spark, sf_dir):
+    """The 2,000 phrases of each language whose words belong together most."""
+    return collocations.mine(table(spark, sf_dir, "documents"), 100, 2_000)
+
+
 def op12_chat_format(spark, sf_dir):
     """Every conversation, and one whose texts hold control strings, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -103,7 +109,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_ngram_jaccard_join, op3_pii, op4_packing, op5_substring_dedup,
-        op6_line_dedup, op7_decontamination, op8_quality, op9_url_filter, op10_topk, op12_chat_format, op13_periodic_runs,
+        op6_line_dedup, op7_decontamination, op8_quality, op9_url_filter, op10_topk, op11_collocations, op12_chat_format, op13_periodic_runs,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -133,6 +139,35 @@ ORACLES = {
         SELECT s.doc_id, len(s.sh) AS n_shingles, min(r.r) AS component_id
         FROM s JOIN r ON r.d = s.doc_id GROUP BY s.doc_id, s.sh
     """,
+    "op11_collocations": r"""
+        WITH p AS MATERIALIZED (
+            SELECT lang, row_number() OVER () AS piece, regexp_extract_all(part, '[^\x20\x09]+') AS ws
+            FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\x0A-\x0D]')) AS part FROM documents)),
+        g AS (
+            SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase
+            FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i
+                  FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(ws) >= k)),
+        c AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+        t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM p GROUP BY lang),
+        w AS MATERIALIZED (SELECT lang, k AS size, phrase, a, string_split(phrase, ' ') AS ws FROM c WHERE k > 1),
+        gone AS (
+            SELECT w.lang, c.phrase FROM w JOIN c ON c.lang = w.lang AND c.a = w.a AND w.size > 2
+            AND c.phrase IN (array_to_string(ws[1 : size - 1], ' '), array_to_string(ws[2 : size], ' '))),
+        s AS (
+            SELECT x.lang, x.phrase, x.a, l.a AS l, r.a AS r, t.n, x.k,
+                   CAST(CAST(1000 AS HUGEINT) * x.a * t.n // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+            FROM (SELECT *, unnest(range(1, size)) AS k FROM w) x
+            JOIN c l ON l.lang = x.lang AND l.phrase = array_to_string(x.ws[1 : x.k], ' ')
+            JOIN c r ON r.lang = x.lang AND r.phrase = array_to_string(x.ws[x.k + 1 : size], ' ')
+            JOIN t ON t.lang = x.lang),
+        m AS (
+            SELECT * FROM s ANTI JOIN gone USING (lang, phrase)
+            QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM m)
+        SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000
+    """,
     "op12_chat_format": r"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
