@@ -8,7 +8,7 @@ words by bound, best first. It is opened in bands, down to a bound T: all phrase
 open word are counted in one pass (which counts every prefix and suffix of those that do both), and what
 stays closed scores less than T. Once the ``top``-th surviving score of a language reaches its T, ties
 included, the language is settled; if there are enough scores but T is higher, T falls to the ``top``-th
-score and the next band settles it; else the next band is wider, and the third opens all words.
+score and the next band settles it; else the next band is wider, and the last opens all words.
 
 What cannot be frequent is not counted: all words of a phrase, and all neighbouring pairs, are frequent
 themselves. Both are looked up in bit tables of fixed size, which may let too much pass, never too little.
@@ -29,8 +29,8 @@ from tallyframe.llm.common import Words, bit_table, in_table, materialize, mix,
 from tallyframe.scratch import discard
 
 LONGEST = 5
-#: Share of a language's words that the first and the second band open.
-SHARES = (1 / 16, 1 / 2)
+#: Share of a language's words that each band opens at most; one more opens the rest.
+SHARES = (1 / 16, 1 / 8, 1 / 4, 1 / 2)
 #: Bytes of text whose occurrences are added up at a time.
 SLICE = 4 << 20
 _ENDS = np.zeros(256, np.int64)
@@ -194,7 +194,7 @@ def best(found: DataFrame, top: int) -> DataFrame:
 
 
 def bounds(words: DataFrame, totals: DataFrame) -> DataFrame:
-    """lang, n, and the bounds down to which the bands of SHARES open words: t0, t1."""
+    """lang, n, and the bounds down to which the bands of SHARES open words: t0, t1 and so on."""
     steps = words.groupBy("lang", F.floor(F.log2(F.col("a").cast("double")) * 2).alias("step")).agg(F.sum("a").alias("mass"), F.max("a").alias("most"))
     upto = F.sum("mass").over(Window.partitionBy("lang").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
     steps = steps.withColumn("upto", upto).join(totals, "lang")
