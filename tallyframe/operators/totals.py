@@ -64,3 +64,24 @@ def running_totals(
         for name in totals
     }
     return joined.withColumns(sums).drop("_run", *parts, *[f"{p}_in" for p in parts])
+
+
+def split_totals(df: DataFrame, totals: dict[str, Column], per_file: bool = False) -> DataFrame:
+    """Add the inclusive running sum of each of ``totals`` (whole numbers) over rows of text, in file order.
+
+    ``df`` holds (file, block, seq): the rows of one split, told by where it begins in its
+    file, stand in one task's share of the input and never outgrow it.  They are summed
+    there; what earlier splits bring in is a table with one row per split, scanned by
+    ``running_totals``.  No row is sampled and none leaves its split.  With ``per_file``
+    sums start anew with each file."""
+    parts = {f"_part_{name}": value.cast("bigint") for name, value in totals.items()}
+    placed = df.withColumns(parts)
+    split = ["file", "block"]
+    per_split = placed.groupBy(*split).agg(*[F.sum(p).alias(p) for p in parts])
+    reached = running_totals(
+        per_split, ["file"] if per_file else [], ["block"] if per_file else split, {f"{p}_in": F.col(p) for p in parts}
+    )
+    carried = reached.select(*split, *[(F.col(f"{p}_in") - F.col(p)).alias(f"{p}_in") for p in parts])
+    within = Window.partitionBy(*split).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = {name: F.sum(f"_part_{name}").over(within) + F.col(f"_part_{name}_in") for name in totals}
+    return placed.join(carried, split).withColumns(sums).drop(*parts, *[f"{p}_in" for p in parts])

@@ -135,6 +135,28 @@ def unbalanced(ledger: Ledger) -> DataFrame:
     return left.join(implied, "tindex", "left_anti").select("tindex", "commodity", "amount")
 
 
+def batch_errors(ledger: Ledger) -> DataFrame:
+    """What keeps a batch of entries from being appended: (rule, tindex, detail).
+
+    Every entry needs a date and two legs, every leg an account, an amount and a
+    commodity, every posting its entry, and the sums of an entry must be zero."""
+    heads, legs = ledger.transactions, ledger.postings
+    found = [
+        heads.where("date is null").select(F.lit("date").alias("rule"), "tindex", F.lit("").alias("detail")),
+        legs.where("coalesce(account, '') = ''").select(F.lit("account"), "tindex", F.lit("")),
+        legs.where("quantity is null").select(F.lit("amount"), "tindex", "account"),
+        legs.where("coalesce(commodity, '') = ''").select(F.lit("commodity"), "tindex", "account"),
+        legs.join(heads.select("tindex"), "tindex", "left_anti").select(F.lit("entry"), "tindex", "account"),
+        heads.join(legs.groupBy("tindex").agg(F.count("*").alias("n")), "tindex", "left")
+        .where("coalesce(n, 0) < 2").select(F.lit("postings"), "tindex", F.coalesce("n", F.lit(0)).cast("string")),
+        unbalanced(ledger).select(F.lit("unbalanced"), "tindex", F.concat_ws(" ", F.col("amount").cast("string"), "commodity")),
+    ]
+    out = found[0]
+    for rows in found[1:]:
+        out = out.union(rows)
+    return out
+
+
 def undeclared(ledger: Ledger) -> DataFrame:
     """Account and commodity names in use without a declaration, with their use count."""
     accounts = ledger.postings.groupBy("account").agg(F.count("*").alias("uses"))

@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Callable
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallyframe.functions import amounts as A, text as X
 from tallyframe.functions.accounts import depth_clip, depth_of
@@ -130,11 +130,12 @@ def txn_count(spark, path):
 
 @named
 def merge_amounts(spark, path):
-    """Lots of one order per commodity: the lines of an order are its cost lots."""
-    lots = books(spark, path).postings.where("leg < 1000").select(
-        "tindex", "commodity", "quantity", F.col("leg").alias("precision"), F.col("leg").alias("pos")
+    """All legs of an entry per kind of account; what moves between accounts of one kind is zero."""
+    lots = books(spark, path).postings.select(
+        "tindex", F.substring_index("account", ":", 1).alias("kind"), "commodity", "quantity",
+        F.col("leg").alias("precision"), F.col("leg").alias("pos"),
     )
-    return cents(reports.merge_amounts(lots, ["tindex"]), "quantity")
+    return cents(reports.merge_amounts(lots, ["tindex", "kind"]), "quantity")
 
 
 # -- report predicates -------------------------------------------------------
@@ -900,7 +901,7 @@ def page_profile(spark, path):
 # -- readers and writers -----------------------------------------------------
 
 
-def _order_json(spark, path):
+def _order_json(spark, path, *more):
     """Orders as transaction JSON, one document per order, with odd ones among them."""
     key = F.col("o_orderkey")
     total = F.col("o_totalprice")
@@ -920,7 +921,11 @@ def _order_json(spark, path):
         F.lit('{"paccount":"Assets:Bank","pdate":"2001-01-01","pamount":['), amount(minus, style, places),
         F.lit('],"pbalanceassertion":{"baamount":'), amount(number, style, places), F.lit("}}"),
     )
-    odd = F.lit('{"paccount":"","pamount":[]},42,{"paccount":"Bad:Amount","pamount":[{"acommodity":5}]}')
+    odd = F.concat(
+        F.lit('{"paccount":"","pamount":[]},42,{"paccount":"Bad:Amount","pamount":[{"acommodity":5}]},{"paccount":"Lots}]","pamount":['),
+        amount(F.lit("10"), style, places), F.lit(','), amount(minus, F.lit("1"), places), F.lit(','), amount(F.lit("0"), style, places),
+        F.lit("]}"),
+    )
     index = F.when(key % 11 == 0, F.concat(F.lit('"'), key.cast("string"), F.lit('"'))).otherwise(key.cast("string"))
     status = F.when(F.col("o_orderstatus") == "F", F.lit("Cleared")).otherwise(F.col("o_orderstatus"))
     doc = F.concat(
@@ -929,12 +934,16 @@ def _order_json(spark, path):
         F.lit('","tstatus":"'), status, F.lit('","ttags":[["priority","'), F.col("o_orderpriority"),
         F.lit('"],["bare",""],[7,"x"]],"tpostings":['), first, F.lit(","), second, F.lit(","), odd, F.lit("]}]"),
     )
-    return table(spark, path, "orders").select(F.when(key % 13 == 0, F.substring(doc, 3, 40)).otherwise(doc).alias("json"))
+    json = F.when(key % 13 == 0, F.substring(doc, 3, 40)).otherwise(doc).alias("json")
+    return table(spark, path, "orders").withColumn("bucket", F.floor(key / 100_000)).select(json, *more)
 
 
 @named
 def read_transactions_json(spark, path):
-    ledger = js.read_transactions(_order_json(spark, path))
+    return _json_rows(js.read_transactions(_order_json(spark, path)))
+
+
+def _json_rows(ledger):
     heads = ledger.transactions.select(
         "tindex", "date", "payee", "note", "status", X.tags_text(F.col("tags"), ", ").alias("tags_text")
     )
@@ -942,6 +951,22 @@ def read_transactions_json(spark, path):
     return cents(heads.join(legs, "tindex"), "quantity")
 
 
+@named
+def read_transactions_array(spark, path):
+    """The same documents as elements of large JSON arrays, a file per hundred thousand order keys."""
+    made = _order_json(spark, path, "bucket", "o_orderkey")
+    made = made.withColumn("json", F.regexp_replace("json", r"^\[|\]$", "")).where("json like '{%'")
+    by = Window.partitionBy("bucket").orderBy("o_orderkey")
+    first, last = F.lag("o_orderkey").over(by).isNull(), F.lead("o_orderkey").over(by).isNull()
+    lines = made.select(
+        F.concat(F.when(first, F.lit("[")).otherwise(F.lit(",")), "json", F.when(last, F.lit("]")).otherwise(F.lit(""))).alias("value"),
+        "bucket", "o_orderkey",
+    )
+    place = scratch_path(spark, "arrays")
+    lines.repartition("bucket").sortWithinPartitions("bucket", "o_orderkey").drop("o_orderkey").write.partitionBy("bucket").text(place)
+    return _json_rows(js.read_transactions(js.json_array_documents(spark, place)))
+
+
 @named
 def read_assertions_json(spark, path):
     rows = js.read_transactions(_order_json(spark, path)).assertions
@@ -1025,6 +1050,41 @@ def read_journal(spark, path):
     return cents(heads.join(legs, "tindex").drop("tindex"), "quantity")
 
 
+def _appended(spark, path) -> str:
+    """Books appended as two batches, entries with even numbers first; one batch comes twice."""
+    place, ledger = scratch_path(spark, "batches"), stored_books(spark, path)
+    half = lambda n: ledger.having(
+        transactions=ledger.transactions.where(F.col("tindex") % 2 == n), postings=ledger.postings.where(F.col("tindex") % 2 == n)
+    )
+    for name, n in (("even", 0), ("odd", 1), ("even", 0)):
+        out.append_journal(half(n), place, name)
+    return place
+
+
+def _appended_rows(ledger):
+    heads = ledger.transactions.select(
+        F.col("tindex").alias("position"), "date", "payee", "note", "status", X.tags_text(F.col("tags"), ", ").alias("tags_text"),
+        F.regexp_extract("source_file", r"/batch=0*(\d+)-", 1).cast("int").alias("batch"),
+    )
+    legs = ledger.postings.groupBy(F.col("tindex").alias("position"), "account", "commodity").agg(
+        F.count("*").alias("legs"), F.sum("quantity").alias("quantity")
+    )
+    return cents(heads.join(legs, "position"), "quantity")
+
+
+@named
+def journal_append(spark, path):
+    """Two batches of the books, one of them sent twice, read back with the order of their entries."""
+    return _appended_rows(src.read_journal(src.journal_lines(spark, _appended(spark, path))))
+
+
+@named
+def journal_months(spark, path):
+    """Three months of an appended journal; no other folder is read."""
+    lines = src.journal_lines(spark, _appended(spark, path), dt.date(1996, 2, 10), dt.date(1996, 5, 1))
+    return _appended_rows(src.read_journal(lines))
+
+
 @named
 def render_assertions(spark, path):
     return out.render_assertions(books(spark, path).assertions, two_decimals=True)

@@ -192,8 +192,11 @@ sql(
 sql("txn_count", "SELECT count(*) AS transactions FROM txn")
 sql(
     "merge_amounts",
-    f"""SELECT tindex, commodity, {total()} AS quantity, max(leg) AS precision, min(leg) AS first_seen
-    FROM post WHERE leg < 1000 GROUP BY ALL""",
+    f""", m AS (SELECT tindex, {ONE} AS kind, commodity, {total()} AS quantity, max(leg) AS precision, min(leg) AS first_seen
+        FROM post GROUP BY ALL),
+    w AS (SELECT *, count(*) FILTER (quantity <> 0) OVER k AS moving, min(first_seen) OVER k AS earliest FROM m
+          WINDOW k AS (PARTITION BY tindex, kind))
+    SELECT * EXCLUDE (moving, earliest) FROM w WHERE quantity <> 0 OR (moving = 0 AND first_seen = earliest)""",
 )
 
 # -- report predicates -------------------------------------------------------
@@ -799,10 +802,12 @@ ORACLES["read_transactions_json"] = (
     + """, l AS (
     SELECT k, 1 AS leg, CAST(NULL AS DATE) AS pdate, 'Expenses:Orders' AS account, 'USD' AS commodity, total AS quantity, p AS precision, false AS is_assertion FROM o
     UNION ALL SELECT k, 2, date '2001-01-01', 'Assets:Bank', 'USD', -total, p, true FROM o
-    UNION ALL SELECT k, 5, NULL, 'Bad:Amount', NULL, NULL, NULL, false FROM o)
+    UNION ALL SELECT k, 5, NULL, 'Bad:Amount', NULL, NULL, NULL, false FROM o
+    UNION ALL SELECT k, 6, NULL, 'Lots}]', 'USD', 10 - total, p, false FROM o)
 SELECT o.k AS tindex, date, payee, note, status, 'priority: ' || note || ', bare' AS tags_text, leg, pdate, account, commodity,
     quantity, precision, is_assertion FROM o JOIN l ON o.k = l.k"""
 )
+ORACLES["read_transactions_array"] = ORACLES["read_transactions_json"]
 ORACLES["read_assertions_json"] = (
     PARSED
     + """ SELECT k AS tindex, 2 AS leg, date '2001-01-01' AS date, 'Assets:Bank' AS account, total AS quantity,
@@ -841,6 +846,13 @@ sql(
     account, commodity, count(*) AS legs, {total()} AS quantity FROM post p JOIN txn t ON p.tindex = t.tindex
     GROUP BY t.tindex, t.date, payee, note, status, segment, priority, account, commodity""",
 )
+APPENDED = f""", h AS (SELECT *, CAST(tindex % 2 + 1 AS INTEGER) AS batch FROM txn {{where}}),
+    n AS (SELECT *, row_number() OVER (ORDER BY year(date), month(date), batch, date, tindex) AS position FROM h)
+    SELECT position, n.date, payee, note, status, coalesce('priority: ' || priority || ', segment: ' || segment, '') AS tags_text,
+    batch, account, commodity, count(*) AS legs, {total()} AS quantity FROM post p JOIN n ON p.tindex = n.tindex
+    GROUP BY position, n.date, payee, note, status, segment, priority, batch, account, commodity"""
+sql("journal_append", APPENDED.format(where=""))
+sql("journal_months", APPENDED.format(where="WHERE date >= date '1996-02-01' AND date < date '1996-05-01'"))
 sql(
     "render_assertions",
     """SELECT date, tindex, strftime(date, '%Y-%m-%d') || ' * Balance Assertion' || chr(10) || '    ' || account

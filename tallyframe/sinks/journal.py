@@ -6,13 +6,17 @@ does not matter.
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.functions.journal import assertion_text, header_text, posting_text, price_text, tag_line
 from tallyframe.functions.text import name_key
 from tallyframe.model import Ledger
-from tallyframe.operators.validate import undeclared
-from tallyframe.sources.storage import month_routed
+from tallyframe.operators.validate import batch_errors, undeclared
+from tallyframe.sources.storage import MANIFESTS, batches, file_system, month_routed
 
 LINE_ORDER = ["date", "tindex", "part", "side", "leg", "pos", "line"]
 
@@ -47,23 +51,54 @@ def render_journal(ledger: Ledger, two_decimals: bool = False, blank_lines: bool
     return out
 
 
-def write_journal(lines: DataFrame, path: str) -> None:
-    """Month folders of text in journal order.
+def write_journal(lines: DataFrame, path: str, *folders: str) -> None:
+    """Month folders of text in journal order, and further folder columns below them.
 
     Range partitioning on the whole line order lets a big month, or a big transaction,
     continue in the next part file; part files of a folder read in name order."""
     routed = month_routed(lines)
-    order = ["year", "month", *LINE_ORDER]
+    # Folders lead the order: the writer would else sort by them and lose the rest.
+    order = ["year", "month", *folders, *LINE_ORDER]
     (
         routed.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .select("line", "year", "month")
+        .select("line", "year", "month", *folders)
         .write.mode("append")
-        .partitionBy("year", "month")
+        .partitionBy("year", "month", *folders)
         .text(path)
     )
 
 
+def append_journal(ledger: Ledger, path: str, batch: str) -> bool:
+    """Append entries to their months as one batch; False where that batch is there already.
+
+    The batch is checked first and refused whole.  Its lines go to a folder of its own
+    below each month, numbered so that batches read one after the other however many part
+    files each has.  Readers see it once its manifest is there, which is written last and
+    never over another one: what a lost writer leaves is passed over, the same batch again
+    changes nothing, and of two writers of one number the later one fails and may retry."""
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
+        raise ValueError(f"bad batch name {batch!r}")
+    spark = ledger.transactions.sparkSession
+    known = batches(spark, path)
+    last = 0
+    if known is not None:
+        last, same = known.agg(F.coalesce(F.max("number"), F.lit(0)), F.count(F.when(F.col("batch") == batch, 1))).first()
+        if same:
+            return False
+    wrong = batch_errors(ledger).limit(5).collect()
+    if wrong:
+        raise ValueError("append refused: " + "; ".join(f"{r.rule} of {r.tindex} {r.detail}".strip() for r in wrong))
+    folder = f"{last + 1:06d}-{batch}-{uuid.uuid4().hex[:8]}"
+    lines = render_journal(ledger, blank_lines=True).withColumn("batch", F.lit(folder))
+    write_journal(lines, path, "batch")
+    system, place = file_system(spark, f"{path.rstrip('/')}/{MANIFESTS}/{last + 1:06d}.json")
+    stream = system.create(place, False)  # fails where another writer took the number
+    stream.write(bytearray(json.dumps({"number": last + 1, "batch": batch, "folder": folder}).encode()))
+    stream.close()
+    return True
+
+
 def render_assertions(assertions: DataFrame, two_decimals: bool = False) -> DataFrame:
     digits = None if two_decimals else F.col("precision")
     text = assertion_text(F.col("date"), F.col("account"), F.col("quantity"), F.col("commodity"), digits)

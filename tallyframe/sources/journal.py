@@ -2,12 +2,14 @@
 
 Journals are read line by line, so one huge file splits over many tasks.  What a line
 belongs to follows from running counts of header, posting and break lines in file
-order; those counts come from ``running_totals`` and need no file or transaction to fit
+order; those counts come from ``split_totals`` and need no file or transaction to fit
 into one task.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallyframe.functions.dates import iso_date
@@ -24,21 +26,40 @@ from tallyframe.functions.journal import (
 )
 from tallyframe.functions.text import split_description
 from tallyframe.model import ASSERTIONS, COSTED, POSTINGS, PRICE, PRICES, QUANTITY, TOTAL, TRANSACTIONS, Ledger, conform
-from tallyframe.operators.totals import running_totals
+from tallyframe.operators.totals import split_totals
 from tallyframe.scratch import materialize
+from tallyframe.sources.storage import batches, has_months
 
 
-def journal_lines(spark: SparkSession, path: str) -> DataFrame:
+def journal_lines(
+    spark: SparkSession, path: str, begin: dt.date | None = None, end: dt.date | None = None
+) -> DataFrame:
     """Lines of text files with their position: (file, block, seq, line).
 
     ``block`` is where the split begins in the file and ``seq`` grows inside a split,
-    so the three order the lines of a folder whatever the split size."""
-    return spark.read.text(path, recursiveFileLookup=True).select(
+    so the three order the lines of a folder whatever the split size.  Where the sinks
+    wrote the folder, bounds prune it to the months that overlap [begin, end) before files
+    are listed, and only batches with a manifest are read; other folders are read whole."""
+    place = [
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),
         F.col("value").alias("line"),
-    )
+    ]
+    if not has_months(spark, path):
+        return spark.read.text(path, recursiveFileLookup=True).select(*place)
+    committed = batches(spark, path)
+    folders = "year int, month string" + ("" if committed is None else ", batch string")
+    text = spark.read.schema(f"value string, {folders}").text(path)
+    month = F.col("year") * 12 + F.col("month").cast("int")
+    if begin is not None:
+        text = text.where(month >= begin.year * 12 + begin.month)
+    if end is not None:
+        last = end - dt.timedelta(days=1)
+        text = text.where(month <= last.year * 12 + last.month)
+    if committed is None:
+        return text.select(*place)
+    return text.select(*place, "batch").join(committed.select(F.col("folder").alias("batch")), "batch", "left_semi").drop("batch")
 
 
 def price_directives(lines: DataFrame) -> DataFrame:
@@ -87,10 +108,8 @@ def read_journal(lines: DataFrame) -> Ledger:
     indented, comment, header = F.col("indented"), F.col("comment"), F.col("header")
     posting = indented & ~comment
     flag = lambda c: c.cast("int")
-    counted = running_totals(
+    counted = split_totals(
         clean,
-        [],
-        ["file", "block", "seq"],
         {
             "number": F.lit(1),
             "segment": flag(~indented),

@@ -28,6 +28,34 @@ def read_months(
     return df.where(in_window(F.col("date"), begin, end)).drop("year", "month")
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of ``path`` and the path as it names it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
+
+
+def has_months(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` holds year folders as the sinks write them."""
+    system, place = file_system(spark, path)
+    return system.exists(place) and any(s.getPath().getName().startswith("year=") for s in system.listStatus(place))
+
+
+#: Where a journal that is appended to in batches keeps one manifest per batch, written last.
+MANIFESTS = "_batches"
+MANIFEST = "number int, batch string, folder string"
+
+
+def batches(spark: SparkSession, path: str) -> DataFrame | None:
+    """(number, batch, folder) of committed batches, None where there is no manifest folder.
+
+    A manifest that a lost writer left half written parses to nothing and counts for nothing."""
+    folder = f"{path.rstrip('/')}/{MANIFESTS}"
+    system, place = file_system(spark, folder)
+    if not system.exists(place):
+        return None
+    return spark.read.schema(MANIFEST).json(folder).where("folder is not null")
+
+
 def stored_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, length) below a folder; file contents are never read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
