@@ -410,13 +410,28 @@ def test_pipeline(spark, sf, documents, texts):
     assert names == ["quality classifier", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "packing"]
     from tallyframe.scratch import materialize
 
-    kept = []
+    kept, read = [], []
     for name, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, sf), "test-stage")
         kept.append({r.doc_id for r in docs.select("doc_id").collect()})
         if name != "packing":
             assert docs.columns == documents.columns
-    assert kept[0] > kept[2] >= kept[3] == kept[4] and kept[0] == kept[1]
+            read.append({r.doc_id: r.text for r in docs.collect()})
+    # line dedup: what stays has lines of its own, what goes has none that is not in an earlier document
+    lines = [(i, t) for i in sorted(read[0]) for t in (read[0][i] or "").split("\n") if t.strip()]
+    first = {}
+    for i, line in lines:
+        first.setdefault(tuple(sorted(set(spaced(line)))), i)
+    assert kept[1] < kept[0]
+    for i in kept[0]:
+        own = {t for t, f in first.items() if f == i}
+        if i in kept[1]:
+            assert not (texts[i] or "").strip() or read[1][i].strip()
+        else:  # each of its lines equals or nearly equals one of an earlier document
+            assert all(any(f < i and 100 * len(set(t) & set(o)) >= 80 * len(set(t) | set(o)) for o, f in first.items()) for t in own)
+    # n-gram join: one document of each group of its own input
+    assert kept[2] == {root for _, root in components_of(read[1], 5, 80).values()}
+    assert kept[2] >= kept[3] == kept[4]
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     clean = [i for i in texts if labels.get(i) == 1]
     assert sum(i in kept[0] for i in clean) >= 0.97 * len(clean)
