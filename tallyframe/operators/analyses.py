@@ -154,6 +154,9 @@ def recurring(ledger: Ledger, q: Query, least: int = 3) -> DataFrame:
 def budget_status(ledger: Ledger, budget: DataFrame, q: Query) -> DataFrame:
     """``budget(account, commodity, monthly)`` against each month's spending.
 
+    Every month from the first with spending to the last has a row per budget, quiet ones too;
+    without any spending there is one row without a month.
+
     A budgeted account takes in its subaccounts: every posting is counted once for each
     of its own path prefixes, at most as many as the path is deep."""
     rows = select_postings(_only(ledger, "Expenses"), q)
@@ -167,7 +170,9 @@ def budget_status(ledger: Ledger, budget: DataFrame, q: Query) -> DataFrame:
         .groupBy("account", "commodity", "period")
         .agg(F.sum("amount").cast(TOTAL).alias("spent"))
     )
-    joined = budget.join(rolled, ["account", "commodity"], "left")
+    first, last = spent.agg(F.min("period"), F.max("period")).first()
+    month = F.lit(None).cast("date") if first is None else F.explode(F.sequence(F.lit(first), F.lit(last), F.expr("interval 1 month")))
+    joined = budget.select("*", month.alias("period")).join(rolled, ["account", "commodity", "period"], "left")
     return joined.select(
         "account",
         "commodity",

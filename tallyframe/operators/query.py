@@ -146,9 +146,17 @@ def check_terms(terms: list[str]) -> None:
             raise ValueError(f"query term {term!r} must not start with '-'")
 
 
+# What the query language reserves before a colon.
+PREFIXES = (
+    "acct", "all", "amt", "any", "code", "cur", "date", "date2", "depth", "desc", "expr", "inacct", "not", "note",
+    "payee", "real", "status", "tag", "type",
+)
+
+
 def _split_term(term: str) -> tuple[str, str]:
+    """Field and value; what begins with no reserved prefix is an account pattern, colons and all."""
     field, colon, value = term.partition(":")
-    return (field, value) if colon else ("acct", term)
+    return (field, value) if colon and field in PREFIXES else ("acct", term)
 
 
 def date_bounds(terms: list[str]) -> tuple[dt.date | None, dt.date | None]:

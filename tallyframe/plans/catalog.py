@@ -24,6 +24,8 @@ from tallyframe.sources.tables import OrderBooks, table
 TODAY = dt.date(2001, 8, 1)
 BASE = "USD"
 YEAR = 1997
+#: First and last month of the books.
+MONTHS = (dt.date(1995, 1, 1), dt.date(2024, 12, 1))
 
 Named = dict[str, Callable[[SparkSession, str], DataFrame]]
 QUERIES: Named = {}
@@ -48,7 +50,7 @@ def cents(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def q(**given) -> Query:
-    return Query(**{"today": TODAY, **given})
+    return Query(**given)
 
 
 # -- balances ----------------------------------------------------------------
@@ -80,15 +82,13 @@ QUERIES["bal_yearly"] = _periodic("yearly", depth=2, invert=True)
 
 @named
 def bal_monthly_filled(spark, path):
-    first, last = dt.date(YEAR, 1, 1), dt.date(YEAR, 12, 1)
-    window = q(period="monthly", begin=first, end=dt.date(YEAR + 1, 1, 1))
-    sums = reports.periodic_balance(books(spark, path), window)
-    return cents(reports.fill_periods(sums, "monthly", first, last), "amount")
+    sums = reports.periodic_balance(books(spark, path), q(period="monthly"))
+    return cents(reports.fill_periods(sums, "monthly", *MONTHS), "amount")
 
 
 @named
 def bal_pivot(spark, path):
-    years = [dt.date(y, 1, 1) for y in range(1995, 2002)]
+    years = [dt.date(y, 1, 1) for y in range(MONTHS[0].year, MONTHS[1].year + 1)]
     wide = reports.pivot_periods(reports.periodic_balance(books(spark, path), q(period="yearly", depth=2)), years)
     return wide.select(
         "account", "commodity", *[F.col(f"`{y}`").cast("decimal(28,2)").alias(f"y{y.year}") for y in years]
@@ -97,7 +97,7 @@ def bal_pivot(spark, path):
 
 @named
 def invert(spark, path):
-    return cents(reports.balance(books(spark, path), q(account="^income|^liab", today=None, invert=True)), "amount")
+    return cents(reports.balance(books(spark, path), q(account="^income|^liab", invert=True)), "amount")
 
 
 @named
@@ -113,7 +113,7 @@ def balance_sheet(spark, path):
 @named
 def bs_monthly(spark, path):
     held = reports.historical_balances(
-        books(spark, path), q(account="^(assets|liabilities)", period="monthly"), TODAY
+        books(spark, path), q(account="^(assets|liabilities)", period="monthly", today=TODAY), TODAY
     )
     return cents(held, "amount")
 
@@ -254,6 +254,13 @@ def _all_prices(spark, path):
 
 @named
 def prices_all(spark, path):
+    """Every price, declared or inferred."""
+    rows = _all_prices(spark, path)
+    return rows.select("date", "commodity", F.col("price").cast("decimal(18,4)").alias("price"), "target", "source")
+
+
+@named
+def prices_latest(spark, path):
     latest = pricing.latest_prices(_all_prices(spark, path))
     return latest.select("commodity", "target", F.col("price").cast("decimal(18,4)").alias("price"), "date", "source")
 
@@ -314,7 +321,7 @@ def sheet_with_assertions(spark, path):
 
 @named
 def net_worth_trend(spark, path):
-    return pricing.net_worth_trend(books(spark, path), BASE, q(period="monthly"), TODAY)
+    return pricing.net_worth_trend(books(spark, path), BASE, q(period="monthly", today=TODAY), TODAY)
 
 
 # -- the register ------------------------------------------------------------
@@ -719,7 +726,7 @@ def edit_summary(spark, path):
 @named
 def edit_dry_run(spark, path):
     """Changes of a dry run next to what keeps the books from being valid afterwards."""
-    ledger = stored_books(spark, path).having(assertions=None)
+    ledger = stored_books(spark, path)
     result = edit.apply_edit(ledger, MOVE, "", dry_run=True)
     return (
         result.changes.groupBy(F.concat(F.lit("change "), "side").alias("what"))
@@ -745,7 +752,7 @@ def biggest_purchase(spark, path):
 @named
 def compare_months(spark, path):
     first, last = dt.date(1995, 1, 1), dt.date(2001, 8, 1)
-    rows = analyses.compare_months(books(spark, path), q(), first, last)
+    rows = analyses.compare_months(books(spark, path), q(today=TODAY), first, last)
     return cents(rows, "amount", "previous", "change")
 
 
@@ -771,10 +778,10 @@ def tag_cost(spark, path):
 
 @named
 def duplicates(spark, path):
-    """Event income looks alike when one user pays the same sum twice in a day; to have
-    hits at any size the day's income is compared in whole tens."""
+    """Postings look alike when one payee moves the same sum on an account twice in a day;
+    to have hits at any size, sums are compared in whole tens."""
     ledger = books(spark, path)
-    coarse = ledger.postings.where("account in ('Income:Sales', 'Assets:Savings')").withColumn(
+    coarse = ledger.postings.withColumn(
         "quantity", F.round(F.col("quantity") / 10).cast("decimal(28,8)")
     )
     return cents(analyses.duplicates(ledger.having(postings=coarse)), "quantity")
@@ -832,11 +839,12 @@ def _marked_messages(spark, path):
         F.lit('[[attachment]]{"name": "f'), n.cast("string"), F.lit('.pdf", "path": "files/f'), n.cast("string"),
         F.lit('.pdf", "size": '), (n * 7).cast("string"), F.lit("}"),
     )
-    text = (
+    more = (
         F.when(n % 3 == 0, F.concat(F.lit("see :account["), label, F.lit("]{name=x} and :tag[trip]\n"), marker))
         .when(n % 3 == 1, F.concat(marker, F.lit("\n[[attachment]]{broken")))
-        .otherwise(F.concat(F.col("text"), F.lit("\npay :payee[Shop "), n.cast("string"), F.lit("] at 10:30 :foo[x]")))
+        .otherwise(F.concat(F.lit("pay :payee[Shop "), n.cast("string"), F.lit("] at 10:30 :foo[x]")))
     )
+    text = F.concat(F.col("text"), F.lit("\n"), more)
     return table(spark, path, "conversations").select("conv_id", "turn", text.alias("text"))
 
 
@@ -1172,10 +1180,9 @@ def output_formats(spark, path):
 
 @named
 def preview(spark, path):
-    """The head a long report is shown by; all of it is stored."""
+    """The whole report, from where its preview says it is stored."""
     report = reports.balance(books(spark, path), q()).select(
         "account", "commodity", F.col("amount").cast("decimal(28,2)").alias("amount")
     )
     shown = sink.preview(report.orderBy("account", "commodity"), inline_chars=0)
-    lines = shown.text.split("\n")[1:-1]
-    return spark.createDataFrame([(line,) for line in lines], "line string")
+    return spark.read.parquet(shown.path).select("line")

@@ -86,7 +86,7 @@ def total(column: str = "quantity") -> str:
     return f"CAST(sum({column}) AS {MONEY})"
 
 
-def balances(where: str = "true", source: str = "now", account: str = "account", sign: str = "") -> str:
+def balances(where: str = "true", source: str = "post", account: str = "account", sign: str = "") -> str:
     return f"""SELECT {account} AS account, commodity, CAST({sign}sum(quantity) AS {MONEY}) AS amount FROM {source}
     WHERE {where} GROUP BY ALL HAVING sum(quantity) <> 0"""
 
@@ -112,7 +112,7 @@ def periodic(name: str, unit: str, where: str = "true", account: str = "account"
     sql(
         name,
         f"""SELECT {account} AS account, commodity, CAST(date_trunc('{unit}', date) AS DATE) AS period,
-        CAST({sign}sum(quantity) AS {MONEY}) AS amount FROM now WHERE {where} GROUP BY ALL""",
+        CAST({sign}sum(quantity) AS {MONEY}) AS amount FROM post WHERE {where} GROUP BY ALL""",
     )
 
 
@@ -125,20 +125,20 @@ sql(
     "bal_monthly_filled",
     f""", sums AS (
         SELECT account, commodity, CAST(date_trunc('month', date) AS DATE) AS period, {total()} AS amount
-        FROM post WHERE date >= date '1997-01-01' AND date < date '1998-01-01' GROUP BY ALL),
+        FROM post GROUP BY ALL),
     spine AS (
         SELECT a.account, a.commodity, CAST(m AS DATE) AS period
         FROM (SELECT DISTINCT account, commodity FROM sums) a,
-             generate_series(date '1997-01-01', date '1997-12-01', INTERVAL 1 MONTH) g(m))
+             generate_series(date '1995-01-01', date '2024-12-01', INTERVAL 1 MONTH) g(m))
     SELECT account, commodity, period, coalesce(amount, 0) AS amount FROM spine LEFT JOIN sums USING (account, commodity, period)""",
 )
 sql(
     "bal_pivot",
     f"SELECT {TWO} AS account, commodity, "
     + ", ".join(
-        f"CAST(coalesce(sum(quantity) FILTER (year(date) = {y}), 0) AS {MONEY}) AS y{y}" for y in range(1995, 2002)
+        f"CAST(coalesce(sum(quantity) FILTER (year(date) = {y}), 0) AS {MONEY}) AS y{y}" for y in range(1995, 2025)
     )
-    + " FROM now GROUP BY ALL",
+    + " FROM post GROUP BY ALL",
 )
 sql("invert", balances("regexp_matches(account, '^income|^liab', 'i')", source="post", sign="-"))
 
@@ -201,7 +201,7 @@ sql(
 
 # -- report predicates -------------------------------------------------------
 
-LINES = "(SELECT now.*, payee, note, status, segment, priority FROM now JOIN (SELECT * EXCLUDE (date) FROM txn) USING (tindex))"
+LINES = "(SELECT post.*, payee, note, status, segment, priority FROM post JOIN (SELECT * EXCLUDE (date) FROM txn) USING (tindex))"
 sql("q_account", balances("regexp_matches(account, 'brand#1[0-4]$|bank', 'i')"))
 sql("q_desc", balances("regexp_matches(payee || ' | ' || note, '00[0-9] . [12]-', 'i')", source=LINES))
 sql("q_payee", balances("regexp_matches(payee, '^customer#0+[0-9]{2}$', 'i')", source=LINES))
@@ -242,23 +242,23 @@ sql(
     "reg",
     f"""SELECT tindex, leg, date, account, commodity, quantity AS amount,
     CAST(sum(quantity) OVER (PARTITION BY commodity ORDER BY date, tindex, leg, account, quantity
-        ROWS UNBOUNDED PRECEDING) AS {MONEY}) AS total FROM now""",
+        ROWS UNBOUNDED PRECEDING) AS {MONEY}) AS total FROM post""",
 )
 sql(
     "reg_monthly",
     f""", s AS (SELECT {TWO} AS account, commodity, CAST(date_trunc('month', date) AS DATE) AS period,
-        {total()} AS amount FROM now GROUP BY ALL)
+        {total()} AS amount FROM post GROUP BY ALL)
     SELECT *, CAST(sum(amount) OVER (PARTITION BY commodity ORDER BY period, account ROWS UNBOUNDED PRECEDING)
         AS {MONEY}) AS total FROM s""",
 )
 sql(
     "aregister",
-    f""", c AS (SELECT tindex, date, commodity, {total()} AS change FROM now
+    f""", c AS (SELECT tindex, date, commodity, {total()} AS change FROM post
         WHERE account = 'Assets:Bank' OR account LIKE 'Assets:Bank:%' GROUP BY ALL),
     r AS (SELECT *, CAST(sum(change) OVER (PARTITION BY commodity ORDER BY date, tindex ROWS UNBOUNDED PRECEDING)
         AS {MONEY}) AS balance FROM c),
     o AS (SELECT tindex, string_agg(account, ', ' ORDER BY account) AS other_accounts
-        FROM (SELECT DISTINCT tindex, account FROM now WHERE account NOT LIKE 'Assets:Bank:%') GROUP BY tindex)
+        FROM (SELECT DISTINCT tindex, account FROM post WHERE account NOT LIKE 'Assets:Bank:%') GROUP BY tindex)
     SELECT r.tindex, r.date, payee, coalesce(other_accounts, '') AS other_accounts, commodity, change, balance
     FROM r JOIN txn ON txn.tindex = r.tindex LEFT JOIN o ON o.tindex = r.tindex WHERE r.date >= date '1998-01-01'""",
 )
@@ -291,6 +291,11 @@ INFERRED = """inf AS (SELECT CAST(l_shipdate AS DATE) AS date, 'PART' || l_partk
     l_orderkey * 8 + l_linenumber AS seq FROM lineitem WHERE l_quantity > 0)"""
 sql(
     "prices_all",
+    f""", {INFERRED} SELECT date, commodity, CAST(price AS DECIMAL(18,4)) AS price, target, 'declared' AS source FROM price
+    UNION ALL SELECT date, commodity, price, target, 'inferred' FROM inf""",
+)
+sql(
+    "prices_latest",
     f""", {INFERRED}, every AS (
         SELECT date, commodity, target, CAST(price AS DECIMAL(18,4)) AS price, 'declared' AS source, 0 AS seq FROM price
         UNION ALL SELECT date, commodity, target, price, 'inferred', seq FROM inf)
@@ -657,10 +662,12 @@ sql(
 )
 sql(
     "edit_dry_run",
-    MOVED
+    CHECKED
+    + MOVED
     + f""", {CHART} SELECT 'change before' AS what, count(*) AS n FROM gone UNION ALL SELECT 'change after', count(*) FROM gone
     UNION ALL SELECT 'undeclared commodity', count(*) FROM undecl WHERE kind = 'commodity' HAVING count(*) > 0
-    UNION ALL SELECT 'undeclared account', count(DISTINCT account) FROM edited WHERE account NOT IN (SELECT account FROM chart)""",
+    UNION ALL SELECT 'undeclared account', count(DISTINCT account) FROM edited WHERE account NOT IN (SELECT account FROM chart)
+    UNION ALL SELECT 'assertion', count(*) FROM checked WHERE late = 1 AND balance <> asserted HAVING count(*) > 0""",
 )
 
 # -- composed analyses -------------------------------------------------------
@@ -690,7 +697,7 @@ sql(
 )
 sql(
     "spending_by_month",
-    f"""SELECT CAST(date_trunc('month', date) AS DATE) AS period, commodity, {total()} AS amount FROM now
+    f"""SELECT CAST(date_trunc('month', date) AS DATE) AS period, commodity, {total()} AS amount FROM post
     WHERE {EXPENSE} GROUP BY ALL""",
 )
 sql(
@@ -705,7 +712,7 @@ sql("tag_cost", balances(f"{EXPENSE} AND priority LIKE '%URGENT%'", source=LINES
 sql(
     "duplicates",
     f""", c AS (SELECT DISTINCT post.tindex, post.date, payee, account, commodity, CAST(round(quantity / 10) AS {MONEY}) AS quantity
-        FROM post JOIN txn ON post.tindex = txn.tindex WHERE account IN ('Income:Sales', 'Assets:Savings'))
+        FROM post JOIN txn ON post.tindex = txn.tindex)
     SELECT date, payee, account, commodity, quantity, count(*) AS transactions, min(tindex) AS first_tindex,
            max(tindex) AS last_tindex FROM c GROUP BY ALL HAVING count(*) > 1""",
 )
@@ -725,10 +732,12 @@ sql(
         CAST(sum(CAST(p_retailprice AS DECIMAL(18,2))) AS DECIMAL(28,6)) AS s FROM part GROUP BY ALL),
     plan AS (SELECT account, commodity, CAST(round(s / 100 + 1e-9, 2) AS {MONEY}) AS budget FROM b),
     r AS (SELECT {TWO} AS account, commodity, CAST(date_trunc('month', date) AS DATE) AS period, {total()} AS spent
-          FROM now WHERE {EXPENSE} GROUP BY ALL)
+          FROM post WHERE {EXPENSE} GROUP BY ALL),
+    m AS (SELECT CAST(unnest(generate_series(CAST(min(period) AS TIMESTAMP), CAST(max(period) AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE)
+          AS period FROM r)
     SELECT account, commodity, period, budget, CAST(coalesce(spent, 0) AS {MONEY}) AS spent,
            CAST(budget - coalesce(spent, 0) AS {MONEY}) AS "left"
-    FROM plan LEFT JOIN r USING (account, commodity)""",
+    FROM plan CROSS JOIN m LEFT JOIN r USING (account, commodity, period)""",
 )
 sql("uncategorized", balances("regexp_matches(account, 'expenses:standard', 'i')"))
 
@@ -760,19 +769,16 @@ FROM m WHERE n % 3 < 2"""
 )
 ORACLES["mentions_plain"] = (
     MESSAGES
-    + r""", t AS (SELECT conv_id, turn, n,
-    '[[attachment]]{"name": "f' || n || '.pdf", "path": "files/f' || n || '.pdf", "size": ' || (n * 7) || '}' AS marker,
-    text || chr(10) || 'pay :payee[Shop ' || n || '] at 10:30 :foo[x]' AS said,
-    text || chr(10) || 'pay Shop ' || n || ' at 10:30 :foo[x]' AS plain FROM m),
-u AS (SELECT conv_id, turn, n, regexp_replace(said, '^\s+|\s+$', '', 'g') AS said, plain, marker,
-    trim(regexp_replace(plain, '\s+', ' ', 'g')) AS line FROM t)
-SELECT conv_id, turn,
-    md5(CASE n % 3 WHEN 0 THEN 'see acc' || n || ' and trip' || chr(10) || marker
-                   WHEN 1 THEN marker || chr(10) || '[[attachment]]{broken' ELSE plain END) AS plain,
-    md5(CASE n % 3 WHEN 0 THEN 'see :account[acc' || n || ']{name=x} and :tag[trip]' WHEN 1 THEN '' ELSE said END) AS visible,
-    CASE n % 3 WHEN 0 THEN 'see acc' || n || ' and trip' WHEN 1 THEN 'f' || n || '.pdf'
-         ELSE CASE WHEN length(line) > 60 THEN rtrim(line[1:60]) || '…' ELSE line END END AS title
-FROM u"""
+    + r""", t AS (SELECT conv_id, turn, n, text || chr(10) AS head,
+    '[[attachment]]{"name": "f' || n || '.pdf", "path": "files/f' || n || '.pdf", "size": ' || (n * 7) || '}' AS marker FROM m),
+u AS (SELECT conv_id, turn, n, head || CASE n % 3 WHEN 0 THEN 'see :account[acc' || n || ']{name=x} and :tag[trip]' WHEN 1 THEN ''
+           ELSE 'pay :payee[Shop ' || n || '] at 10:30 :foo[x]' END AS said,
+       head || CASE n % 3 WHEN 0 THEN 'see acc' || n || ' and trip' WHEN 1 THEN '' ELSE 'pay Shop ' || n || ' at 10:30 :foo[x]' END AS plain,
+       CASE n % 3 WHEN 0 THEN chr(10) || marker WHEN 1 THEN marker || chr(10) || '[[attachment]]{broken' ELSE '' END AS tail FROM t),
+v AS (SELECT *, trim(regexp_replace(plain, '\s+', ' ', 'g')) AS line FROM u)
+SELECT conv_id, turn, md5(plain || tail) AS plain, md5(regexp_replace(said, '^\s+|\s+$', '', 'g')) AS visible,
+    CASE WHEN line = '' THEN 'f' || n || '.pdf' WHEN length(line) > 60 THEN rtrim(line[1:60]) || '…' ELSE line END AS title
+FROM v"""
 )
 ORACLES["first_events"] = """SELECT user_id, event_type, event_id FROM (
     SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1"""
@@ -899,7 +905,6 @@ sql(
 )
 sql(
     "preview",
-    f""", b AS ({balances()}), l AS (SELECT account || ',' || commodity || ',' || amount AS line, account, commodity FROM b),
-    c AS (SELECT line, sum(length(line) + 1) OVER (ORDER BY account, commodity ROWS UNBOUNDED PRECEDING) AS used FROM l)
-    SELECT line FROM c WHERE used - 1 <= 2000""",
+    f""", b AS ({balances()}), l AS (SELECT account || ',' || commodity || ',' || amount AS line, account, commodity FROM b)
+    SELECT line FROM l""",
 )

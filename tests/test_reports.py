@@ -285,4 +285,10 @@ def test_date_terms_bound_both_sides(spark, books, tmp_path):
 
 def test_unknown_terms_are_refused(books):
     with pytest.raises(ValueError):
-        matching_transactions(books, ["colour:red"])
+        matching_transactions(books, ["real:1"])
+
+
+def test_bare_terms_are_account_patterns(books):
+    found = lambda *terms: {r.tindex for r in matching_transactions(books, list(terms)).collect()}
+    assert found("expenses:food") == {4, 5} and found("expenses:food", "payee:aroma") == {5}
+    assert found("^assets:cash:uah$") == {3} and found("colour:red") == set()
