@@ -22,6 +22,9 @@ QUANTITY = "decimal(28,8)"
 TOTAL = "decimal(34,8)"
 COSTED = "decimal(24,8)"
 PRICE = "decimal(18,8)"
+# A market price keeps what its line says, tiny ones too: it is compared, shown and turned
+# into a rate, but never summed.
+RATE = "decimal(38,18)"
 
 TAGS = "array<struct<name:string,value:string>>"
 AMOUNT = f"struct<quantity:{QUANTITY},commodity:string,precision:int>"
@@ -54,7 +57,7 @@ POSTINGS = {
 PRICES = {
     "date": "date",
     "commodity": "string",
-    "price": PRICE,
+    "price": RATE,
     "target": "string",
     "source": "string",
     "seq": "bigint",

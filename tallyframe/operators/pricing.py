@@ -14,7 +14,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyframe.functions.dates import PERIOD_STEPS, period_start
-from tallyframe.model import PRICES, TOTAL, Ledger, conform
+from tallyframe.model import PRICES, RATE, TOTAL, Ledger, conform
 from tallyframe.operators.query import Query
 from tallyframe.operators.reports import historical_balances, sheet_rows
 from tallyframe.scratch import materialize
@@ -149,7 +149,7 @@ def price_asof(needs: DataFrame, prices: DataFrame) -> DataFrame:
     pairs = daily.select("commodity", "target").distinct()
     asked = needs.select("commodity", "date").distinct().join(pairs, "commodity")
     line = daily.withColumn("asked", F.lit(0)).unionByName(
-        asked.withColumns({"asked": F.lit(1), "price": F.lit(None).cast("decimal(18,8)")})
+        asked.withColumns({"asked": F.lit(1), "price": F.lit(None).cast(RATE)})
     )
     # A price set on the asked date counts: it sorts before the question.
     upto = (

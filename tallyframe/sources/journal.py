@@ -25,7 +25,7 @@ from tallyframe.functions.journal import (
     symbol_of,
 )
 from tallyframe.functions.text import split_description
-from tallyframe.model import ASSERTIONS, COSTED, POSTINGS, PRICE, PRICES, QUANTITY, TOTAL, TRANSACTIONS, Ledger, conform
+from tallyframe.model import ASSERTIONS, COSTED, POSTINGS, PRICE, PRICES, QUANTITY, RATE, TOTAL, TRANSACTIONS, Ledger, conform
 from tallyframe.operators.totals import split_totals
 from tallyframe.scratch import materialize
 from tallyframe.sources.storage import batches, has_months
@@ -63,15 +63,18 @@ def journal_lines(
 
 
 def price_directives(lines: DataFrame) -> DataFrame:
-    """``P`` lines; a line without date, commodity, number and target is no price."""
+    """``P`` lines; a line without date, commodity, number and target is no price.
+
+    Prices keep 18 places; a finer one is an error, not a rounded price."""
+    too_fine = F.col("a.precision") > 18
     part = lambda i: F.regexp_extract("line", PRICE_LINE, i)
     split = evaluated(
         lines.where(F.col("line").rlike(PRICE_LINE)), day=part(1), name=part(2), amount=F.trim(part(3))
     )
-    rows = evaluated(split, date=iso_date(F.col("day")), a=parse_amount(F.col("amount"))).select(
+    rows = evaluated(split, date=iso_date(F.col("day")), a=parse_amount(F.col("amount"), RATE)).select(
         "date",
         F.regexp_replace("name", '^"|"$', "").alias("commodity"),
-        F.col("a.quantity").cast(PRICE).alias("price"),
+        F.when(too_fine, F.raise_error(F.lit("a price has more than 18 places"))).otherwise(F.col("a.quantity")).alias("price"),
         F.col("a.commodity").alias("target"),
         F.lit("declared").alias("source"),
         *([F.col("seq")] if "seq" in lines.columns else []),

@@ -255,3 +255,16 @@ def test_file_catalog_of_a_folder(spark, tmp_path):
     (folder / "bill.pdf").write_bytes(b"x" * 1500)
     row = storage.file_catalog(storage.stored_files(spark, str(tmp_path / "files"))).first()
     assert (row.name, row.year, row.month, row.label, row.kind, row.size) == ("bill.pdf", "2026", "03", "PDF", "document", "1.5 KB")
+
+
+@pytest.mark.parametrize("number", ["0.0000000121", "0.123456789012", "12345678901234567890.5", "0.000000000000000001", "7"])
+def test_prices_keep_every_place(spark, number):
+    line = f'P 2026-07-22 "SXR8" {number} EUR'
+    prices = src.price_directives(spark.createDataFrame([(line, 1)], "line string, seq long"))
+    assert prices.first().price == D(number) and out.render_prices(prices).first().line == line
+
+
+def test_a_price_too_fine_is_an_error(spark):
+    prices = src.price_directives(spark.createDataFrame([("P 2026-07-22 X 0.0000000000000000001 EUR",)], "line string"))
+    with pytest.raises(Exception, match="more than 18 places"):
+        prices.collect()
