@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import materialize, slices
 
 WINDOWS = (4096, 2048, 1024, 512)
-#: Words whose ids a Python worker remembers; beyond it starts anew.
-REMEMBER = 400_000
+#: Bytes of words and ids that a task remembers in each of two generations.
+REMEMBER = 40 << 20
+#: Bytes a remembered word costs beyond its letters and ids: two objects and its place in a table.
+PER_WORD = 160
 #: Lanes whose layout is sent to every task; that of more lanes is joined by a shuffle.
 BROADCAST_LANES = 50_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # split() parts words here, the tokenizer does not
@@ -47,7 +49,8 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.inner, self.known = Tokenizer.from_file(path), {}
+        self.inner = Tokenizer.from_file(path)
+        self.forget()
         # The same merges without normalising, for many plain words in one call; their ends are told by the ids.
         self.bare = Tokenizer(self.inner.model)
         self.bare.pre_tokenizer = pre_tokenizers.Sequence(
@@ -75,10 +78,16 @@ class WordTokenizer:
             out.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in got)))
         return [out[w] for w in words]
 
+    def forget(self) -> None:
+        self.known, self.older, self.held = {}, {}, 0
+
     def learn(self, words: set[str]) -> None:
-        """Ids of words not met before; a trailing full stop or comma is a token run of its own."""
-        if len(self.known) > REMEMBER:
-            self.known.clear()
+        """Ids of words not met lately; a trailing full stop or comma is a token run of its own."""
+        known, older, before = self.known, self.older, len(self.known)
+        if older:
+            kept = {w: older[w] for w in words if w in older}
+            known.update(kept)
+            words = words.difference(kept)
         todo, cut = set(), {}
         for w in words:
             stem = w[:-1]
@@ -87,10 +96,11 @@ class WordTokenizer:
                 todo.update((stem, w[-1]))
             else:
                 todo.add(w)
-        todo = [w for w in todo if w not in self.known]
-        self.known.update(zip(todo, self.encode(todo)))
-        known = self.known
+        todo = [w for w in todo if w not in known]
+        got = self.encode(todo)
+        known.update(zip(todo, got))
         known.update((w, known[stem] + known[w[-1]]) for w, stem in cut.items())
+        self.held += PER_WORD * (len(known) - before) + sum(map(len, words)) + sum(map(len, got))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -100,10 +110,10 @@ class WordTokenizer:
             if "<|" not in t and "Σ" not in t and unicodedata.is_normalized("NFC", t):
                 t = t.lower()
             split.append(_SPACE.findall(t) if _ODD_SPACE.search(t) else t.split())
-        new = {w for words in split for w in words if w not in self.known}
+        if self.held > REMEMBER:  # words in use move on to the new generation
+            self.known, self.older, self.held = {}, self.known, 0
+        new = set().union(*split).difference(self.known)
         if new:
-            if len(self.known) > REMEMBER:  # the ids of known words go too
-                new = {w for words in split for w in words}
             self.learn(new)
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
@@ -121,9 +131,12 @@ def tokens(docs: DataFrame, path: str, end_id: int, windows: tuple[int, ...] = W
 
     def encode(batches):
         lane, filled = TaskContext.get().partitionId(), dict.fromkeys(sizes, 0)
+        tokenizer = word_tokenizer(path)
+        # A worker outlives its task: words of an interrupted one go here, those of this one at its end.
+        tokenizer.forget()
         for part in slices(batches, limit=1 << 20):
             texts = [t or "" for t in part.column("text").to_pylist()]
-            ids = [x + close for x in word_tokenizer(path).ids(texts)]
+            ids = [x + close for x in tokenizer.ids(texts)]
             tier, before = [], []
             for x in ids:
                 n = len(x) // 4
@@ -135,6 +148,7 @@ def tokens(docs: DataFrame, path: str, end_id: int, windows: tuple[int, ...] = W
                  pa.array(before, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                 names=["doc_id", "lane", "tier", "before", "n", "ids"],
             )
+        tokenizer.forget()
 
     return docs.select("doc_id", "text").mapInArrow(
         encode, "doc_id long, lane long, tier int, before long, n long, ids binary"
@@ -199,10 +213,13 @@ def pack(
     def cut(batches):
         for part in batches:
             rows = {k: [] for k in SCHEMA}
-            for r in range(part.num_rows):
-                doc, lane, tier, before, n, ids, total, starts, regions = (part.column(c)[r].as_py() for c in COLUMNS)
+            blob = part.column("ids")
+            ends = np.frombuffer(blob.buffers()[1], "<i4")[blob.offset : blob.offset + len(blob) + 1].tolist()
+            data = memoryview(blob.buffers()[2] or b"")
+            plain = [part.column(c).to_pylist() for c in COLUMNS if c != "ids"]
+            for r, (doc, lane, tier, before, n, total, starts, regions) in enumerate(zip(*plain)):
                 pos = first = starts[sizes.index(tier)] + before
-                view = memoryview(ids)
+                view = data[ends[r] : ends[r + 1]]
                 while pos < first + n:
                     begin, size, number = place(pos, total, regions, sizes)
                     end = min(begin + size, first + n)
