@@ -62,10 +62,11 @@ def edit_targets(ledger: Ledger, edit: Edit) -> DataFrame:
     return heads.select("tindex")
 
 
-def rewrite(ledger: Ledger, edit: Edit) -> Ledger:
+def rewrite(ledger: Ledger, edit: Edit, targets: DataFrame | None = None) -> Ledger:
     """The ledger after the edit.  Only rows that hold the old value meet the targets in
-    a join; all others pass through unshuffled."""
-    targets = edit_targets(ledger, edit).withColumn("_hit", F.lit(True))
+    a join; all others pass through unshuffled.  ``targets`` may be given where the ledger
+    is only a part of the books they were found in."""
+    targets = (edit_targets(ledger, edit) if targets is None else targets).withColumn("_hit", F.lit(True))
 
     def replaced(frame: DataFrame, column: str, old_rows, new) -> DataFrame:
         candidates = frame.where(F.coalesce(old_rows, F.lit(False))).join(targets, "tindex", "left")
