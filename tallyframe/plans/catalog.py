@@ -17,7 +17,7 @@ from tallyframe.operators.assertions import assertion_check, failed_assertions,
 from tallyframe.operators.query import Query, matching_transactions, posting_lines, print_report
 from tallyframe.plans.net_worth import net_worth_sheet
 from tallyframe.scratch import scratch_path
-from tallyframe.sinks import journal as out, tables as sink
+from tallyframe.sinks import journal as out, tables as sink, versions
 from tallyframe.sources import journal as src, json_reports as js, storage
 from tallyframe.sources.tables import OrderBooks, table
 
@@ -735,6 +735,32 @@ def edit_dry_run(spark, path):
     )
 
 
+@named
+def version_edits(spark, path):
+    """Order books in versions: accounts moved, then payees renamed; an edit of the version before is
+    refused.  Rows that the first and the last version do not share, told from folders they do not share."""
+    folder = scratch_path(spark, "versions")
+    ledger = books(spark, path)
+    first = versions.create(Ledger(ledger.transactions, ledger.postings), folder)
+    second = versions.commit_edit(spark, folder, MOVE, first)
+    versions.commit_edit(spark, folder, RENAME, second)
+    try:
+        versions.commit_edit(spark, folder, MARK, second)
+    except versions.Conflict:
+        last = versions.version(spark, folder)
+    else:
+        raise AssertionError("an edit of an old version was stored")
+    legs = versions.version_diff(spark, first, last, "postings").select(
+        F.lit("postings").alias("frame"), "side", "tindex", "leg", F.col("account").alias("value"), "copies"
+    )
+    heads = versions.version_diff(spark, first, last, "transactions").select(
+        F.lit("transactions").alias("frame"), "side", "tindex", F.lit(None).cast("int").alias("leg"),
+        F.col("payee").alias("value"), "copies",
+    )
+    rows = legs.unionByName(heads)
+    return rows.groupBy(*[c for c in rows.columns if c != "copies"]).agg(F.sum("copies").alias("copies"))
+
+
 # -- composed analyses -------------------------------------------------------
 
 

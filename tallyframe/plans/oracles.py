@@ -382,15 +382,15 @@ sql(
 # -- the register ------------------------------------------------------------
 
 SPLIT = """, k AS (SELECT *, regexp_matches(account, '^(assets?|liabilit(y|ies))(:|$)', 'i') AS sheet FROM post),
-split AS (SELECT tindex, leg, account, commodity, quantity,
+split AS MATERIALIZED (SELECT tindex, leg, account, commodity, quantity,
     CASE WHEN count(*) FILTER (sheet) OVER t = 0 THEN true
          WHEN count(*) FILTER (sheet) OVER t > 1 AND count(*) FILTER (sheet AND quantity < 0) OVER t > 0
               THEN sheet AND quantity < 0
          ELSE sheet END AS shown FROM k WINDOW t AS (PARTITION BY tindex))"""
 sql("split_legs", SPLIT + " SELECT * FROM split")
-HAS = "EXISTS (SELECT 1 FROM post p WHERE p.tindex = txn.tindex AND {})"
+HAS = "txn.tindex IN (SELECT tindex FROM post WHERE {})"
 HAY = """contains(lower(concat_ws(chr(10), payee, note, 'segment: ' || segment, 'priority: ' || priority)), '{0}')
-    OR EXISTS (SELECT 1 FROM post p WHERE p.tindex = txn.tindex AND contains(lower(account), '{0}'))"""
+    OR txn.tindex IN (SELECT tindex FROM post WHERE contains(lower(account), '{0}'))"""
 sql("reg_search", heads(HAY.format("brand#11")))
 sql("reg_search_tag", heads(HAY.format("segment: mach")))
 sql("reg_date", heads("date BETWEEN date '1999-03-10' AND date '1999-03-20'"))
@@ -624,7 +624,7 @@ UNION ALL SELECT item, 'target', 'Price ' || item || ': no target for ' || c FRO
 
 # -- corrections -------------------------------------------------------------
 
-MOVED = """, hit AS (SELECT tindex FROM txn WHERE payee LIKE 'Customer#%' AND year(date) = 1997
+MOVED = """, hit AS MATERIALIZED (SELECT tindex FROM txn WHERE payee LIKE 'Customer#%' AND year(date) = 1997
         AND tindex IN (SELECT tindex FROM post WHERE account LIKE '%Brand#5')
         AND tindex IN (SELECT tindex FROM post WHERE account = 'Expenses:ECONOMY:Brand#5')),
 edited AS (SELECT * REPLACE (CASE WHEN account = 'Expenses:ECONOMY:Brand#5' AND tindex IN (SELECT tindex FROM hit)
@@ -652,6 +652,14 @@ sql(
     + """ SELECT 'before' AS side, tindex, leg, account, commodity, quantity, count(*) AS copies FROM gone GROUP BY ALL
     UNION ALL SELECT 'after', tindex, leg, 'Expenses:Moved', commodity, quantity, count(*) FROM gone GROUP BY ALL""",
 )
+sql(
+    "version_edits",
+    MOVED
+    + """ SELECT 'postings' AS frame, side, tindex, leg, CASE side WHEN 'before' THEN account ELSE 'Expenses:Moved' END AS value,
+        count(*) AS copies FROM gone, (VALUES ('before'), ('after')) s(side) GROUP BY ALL
+    UNION ALL SELECT 'transactions', side, tindex, NULL, CASE side WHEN 'before' THEN 'Internal Transfer' ELSE 'Own Transfer' END,
+        count(*) FROM renamed, (VALUES ('before'), ('after')) s(side) GROUP BY ALL""",
+)
 sql(
     "edit_summary",
     MOVED
