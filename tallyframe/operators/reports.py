@@ -21,7 +21,8 @@ def _signed(q: Query, column: str = "amount"):
     return -F.col(column) if q.invert else F.col(column)
 
 
-def _named(postings: DataFrame, q: Query) -> DataFrame:
+def named(postings: DataFrame, q: Query) -> DataFrame:
+    """Account names cut to the depth asked for."""
     if q.depth is None:
         return postings
     return postings.withColumn("account", depth_clip(F.col("account"), q.depth))
@@ -29,13 +30,13 @@ def _named(postings: DataFrame, q: Query) -> DataFrame:
 
 def balance(ledger: Ledger, q: Query = Query()) -> DataFrame:
     """Balance per account and commodity; zero balances are not listed."""
-    rows = _named(select_postings(ledger, q), q)
+    rows = named(select_postings(ledger, q), q)
     sums = rows.groupBy("account", "commodity").agg(F.sum("quantity").cast(TOTAL).alias("amount"))
     return sums.where("amount <> 0").withColumn("amount", _signed(q))
 
 
 def _per_period(ledger: Ledger, q: Query) -> DataFrame:
-    rows = _named(select_postings(ledger, q), q).withColumn("period", period_start(F.col("date"), q.period))
+    rows = named(select_postings(ledger, q), q).withColumn("period", period_start(F.col("date"), q.period))
     return rows.groupBy("account", "commodity", "period").agg(F.sum("quantity").cast(TOTAL).alias("amount"))
 
 
@@ -112,16 +113,23 @@ def balance_sheet(ledger: Ledger, q: Query = Query()) -> DataFrame:
     return _with_totals(rows).unionByName(_net(rows, "Liabilities"))
 
 
-def historical_balances(ledger: Ledger, q: Query, last: dt.date) -> DataFrame:
+def historical_balances(
+    ledger: Ledger, q: Query, last: dt.date, since: dt.date | None = None, held: DataFrame | None = None
+) -> DataFrame:
     """Balance at the end of every period up to the one holding ``last``.
 
     History before ``q.begin`` counts.  The window of an account spans its periods,
-    never its postings, and quiet periods repeat the balance before them."""
+    never its postings, and quiet periods repeat the balance before them.  Where ``held``
+    (account, commodity, period, amount) says what there was before ``since``, postings
+    older than that are not read."""
     everything = Query(
         account=q.account, description=q.description, payee=q.payee, amount=q.amount, tag=q.tag,
-        status=q.status, end=q.end, today=q.today, period=q.period, depth=q.depth, invert=q.invert,
+        status=q.status, begin=since, end=q.end, today=q.today, period=q.period, depth=q.depth, invert=q.invert,
     )
     steps = _per_period(ledger, everything)
+    if held is not None:
+        steps = steps.unionByName(held.select(*steps.columns))
+        steps = steps.groupBy("account", "commodity", "period").agg(F.sum("amount").cast(TOTAL).alias("amount"))
     by = Window.partitionBy("account", "commodity").orderBy("period")
     step = F.expr(f"interval {PERIOD_STEPS[q.period]}")
     final = period_start(F.lit(last), q.period)
@@ -143,7 +151,7 @@ def historical_balances(ledger: Ledger, q: Query, last: dt.date) -> DataFrame:
 
 def posting_register(ledger: Ledger, q: Query = Query()) -> DataFrame:
     """Postings in journal order with a running total per commodity."""
-    rows = _named(select_postings(ledger, q), q).select(
+    rows = named(select_postings(ledger, q), q).select(
         "date", "tindex", "leg", "pos", "account", "commodity", _signed(q, "quantity").cast(TOTAL).alias("amount")
     )
     return running_totals(
@@ -162,12 +170,15 @@ def periodic_register(ledger: Ledger, q: Query) -> DataFrame:
     ).withColumn("total", F.col("total").cast(TOTAL))
 
 
-def account_register(ledger: Ledger, root: str, q: Query = Query()) -> DataFrame:
+def account_register(
+    ledger: Ledger, root: str, q: Query = Query(), since: dt.date | None = None, held: DataFrame | None = None
+) -> DataFrame:
     """One row per transaction and commodity touching ``root`` or a subaccount.
 
-    The running balance is historical: it starts before ``q.begin``."""
+    The running balance is historical: it starts before ``q.begin``, from ``held`` (account,
+    commodity, amount) where that says what there was before ``since``."""
     inside = in_subtree(F.col("account"), root)
-    upto = ledger.postings.where(in_window(F.col("date"), None, q.stop))
+    upto = ledger.postings.where(in_window(F.col("date"), since, q.stop))
     changes = (
         upto.where(inside)
         .groupBy("tindex", "date", "commodity")
@@ -175,6 +186,11 @@ def account_register(ledger: Ledger, root: str, q: Query = Query()) -> DataFrame
     )
     run = running_totals(changes, ["commodity"], ["date", "tindex"], {"balance": F.col("change")})
     run = run.where(in_window(F.col("date"), q.begin, None))
+    if held is not None:
+        carried = held.where(inside).groupBy(F.col("commodity").alias("_held")).agg(F.sum("amount").alias("_amount"))
+        brought = F.coalesce("_amount", F.lit(0)).cast(TOTAL)
+        run = run.join(carried, F.col("commodity").eqNullSafe(F.col("_held")), "left")
+        run = run.withColumn("balance", F.col("balance").cast(TOTAL) + brought).drop("_held", "_amount")
     # Distinct names only: bounded by the chart of accounts, however many legs there are.
     others = (
         upto.where(~inside)

@@ -12,7 +12,7 @@ from tallyframe.functions import amounts as A, text as X
 from tallyframe.functions.accounts import depth_clip, depth_of
 from tallyframe.functions.dates import period_start, prefix_range, preset_range
 from tallyframe.model import AMOUNT, Ledger
-from tallyframe.operators import analyses, edit, events as ev, lists, pricing, register as reg, reports, sessions, validate
+from tallyframe.operators import analyses, checkpoints, edit, events as ev, lists, pricing, register as reg, reports, sessions, validate
 from tallyframe.operators.assertions import assertion_check, failed_assertions, last_asserted
 from tallyframe.operators.query import Query, matching_transactions, posting_lines, print_report
 from tallyframe.plans.net_worth import net_worth_sheet
@@ -219,6 +219,30 @@ def aregister(spark, path):
     return cents(rows, "change", "balance")
 
 
+def _checkpoints(spark, ledger, begin: dt.date) -> str:
+    """Monthly checkpoints up to ``begin``, the last half year of them folded in a second time."""
+    folder = scratch_path(spark, "checkpoints")
+    checkpoints.fold(ledger, folder, begin)
+    checkpoints.fold(ledger, folder, begin, since=begin - dt.timedelta(days=180))
+    return folder
+
+
+@named
+def aregister_checkpoint(spark, path):
+    """The register of ``aregister``, from a stored balance instead of all history."""
+    ledger, begin = books(spark, path), dt.date(1998, 1, 1)
+    folder = _checkpoints(spark, ledger, begin)
+    return cents(checkpoints.account_register(ledger, folder, "Assets:Bank", q(begin=begin)), "change", "balance")
+
+
+@named
+def bs_monthly_checkpoint(spark, path):
+    """Month-end balances since 1998, from a stored balance instead of all history."""
+    ledger, begin = books(spark, path), dt.date(1998, 1, 1)
+    query = q(account="^(assets|liabilities)", period="monthly", begin=begin, today=TODAY)
+    return cents(checkpoints.historical_balances(ledger, _checkpoints(spark, ledger, begin), query, TODAY), "amount")
+
+
 @named
 def check_assertions(spark, path):
     return cents(assertion_check(books(spark, path)), "balance", "asserted")

@@ -172,6 +172,11 @@ sql(
     "bs_monthly",
     f", {HELD} SELECT account, commodity, CAST(period AS DATE) AS period, CAST(amount AS {MONEY}) AS amount FROM held WHERE amount <> 0",
 )
+sql(
+    "bs_monthly_checkpoint",
+    f""", {HELD} SELECT account, commodity, CAST(period AS DATE) AS period, CAST(amount AS {MONEY}) AS amount FROM held
+    WHERE amount <> 0 AND period >= date '1998-01-01'""",
+)
 sql(
     "stats",
     """, t AS (SELECT *, date > date '2001-08-01' - 30 AND date <= date '2001-08-01' AS in30,
@@ -262,6 +267,7 @@ sql(
     SELECT r.tindex, r.date, payee, coalesce(other_accounts, '') AS other_accounts, commodity, change, balance
     FROM r JOIN txn ON txn.tindex = r.tindex LEFT JOIN o ON o.tindex = r.tindex WHERE r.date >= date '1998-01-01'""",
 )
+ORACLES["aregister_checkpoint"] = ORACLES["aregister"]
 CHECKED = f""", e AS (
     SELECT date, tindex, 1 AS leg, 0 AS late, account, commodity, quantity, NULL AS asserted FROM post
     WHERE (account, commodity) IN (SELECT (account, commodity) FROM asrt)
