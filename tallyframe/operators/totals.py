@@ -2,17 +2,77 @@
 
 A window over a hot account or commodity would put its whole history into one task.
 Here the rows are range-partitioned on (keys, order): a key of any size spreads over
-as many runs as it needs.  Each run sums on its own, and the balance a key brings into
+as many runs as it needs, and there are as many as the bytes read ask for.  Each run sums on its own, and the balance a key brings into
 a run is added from a table with at most one row per run.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DecimalType
 
 from tallyframe.scratch import materialize
 
+#: Input bytes, as stored, that one run of a large table stands for.
+RUN_BYTES = 256 << 20
+#: Runs that one window may carry over; more are carried in two levels.
+ONE_LEVEL = 4096
+#: Sizes from here on mean that Spark does not know one.
+UNKNOWN_BYTES = 1 << 60
+
+
+def run_count(df: DataFrame) -> int | None:
+    """Runs that suit the size of what ``df`` reads; None where the configured number of shuffle
+    partitions, which adaptive execution may lower, is enough.
+
+    Leaves of the plan are added up, as estimates above joins multiply."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    runs = sum(s for s in sizes if s < UNKNOWN_BYTES) // RUN_BYTES
+    return runs if runs > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def _brought_in(per_run: DataFrame, keys: list[str], parts: list[str], runs: int) -> DataFrame:
+    """(_run, keys, part_in): what earlier runs of a key sum to, where there are any.
+
+    Runs are contiguous in key order, so only the first key of a run can have begun in an
+    earlier one: at most one row per run comes of it.  Many runs are summed by blocks of
+    neighbours, blocks are carried over first and runs within their block: no window then
+    holds more than about the square root of all runs."""
+    before = lambda by, order: (
+        Window.partitionBy(*(by or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    if runs <= ONE_LEVEL:
+        carried = per_run.select(
+            "_run", *keys,
+            F.count("*").over(before(keys, "_run")).alias("_earlier"),
+            *[F.sum(p).over(before(keys, "_run")).alias(f"{p}_in") for p in parts],
+        )
+        return carried.where("_earlier > 0").drop("_earlier")
+    blocked = per_run.withColumn("_block", F.floor(F.col("_run") / math.isqrt(runs)))
+    block = [*keys, "_block"]
+    per_block = blocked.groupBy(*block).agg(*[F.sum(p).alias(p) for p in parts])
+    of_blocks = per_block.select(
+        *[F.col(c).alias(f"_of_{c}") for c in block],
+        F.count("*").over(before(keys, "_block")).alias("_blocks"),
+        *[F.sum(p).over(before(keys, "_block")).alias(f"{p}_far") for p in parts],
+    ).where("_blocks > 0")
+    same = F.lit(True)
+    for c in block:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    near = blocked.select(
+        "_run", *block,
+        F.count("*").over(before(block, "_run")).alias("_earlier"),
+        *[F.sum(p).over(before(block, "_run")).alias(f"{p}_near") for p in parts],
+    )
+    joined = near.join(of_blocks, same, "left").where("_earlier > 0 or _blocks > 0")
+    plus = lambda p: F.when(F.col(f"{p}_near").isNull(), F.col(f"{p}_far")).when(
+        F.col(f"{p}_far").isNull(), F.col(f"{p}_near")
+    ).otherwise(F.col(f"{p}_near") + F.col(f"{p}_far"))
+    return joined.select("_run", *keys, *[plus(p).alias(f"{p}_in") for p in parts])
+
 
 def running_totals(
     df: DataFrame,
@@ -23,8 +83,10 @@ def running_totals(
 ) -> DataFrame:
     """Add the inclusive running sum of each of ``totals`` per ``keys`` in ``order``.
 
-    Unless ``runs`` is given, adaptive execution merges neighbouring ranges to a sensible
-    size; ranges stay in order, which is all that counts."""
+    Unless ``runs`` is given it follows from the bytes read (``run_count``); for less than the
+    shuffle partitions hold, adaptive execution merges neighbouring ranges to a sensible size.
+    Ranges stay in order, which is all that counts."""
+    runs = runs or run_count(df)
     parts = {f"_part_{name}": value for name, value in totals.items()}
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     placed = (
@@ -37,20 +99,7 @@ def running_totals(
     placed = materialize(placed, "runs")
 
     per_run = placed.groupBy("_run", *keys).agg(*[F.sum(p).alias(p) for p in parts])
-    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_run")
-    before = earlier.rowsBetween(Window.unboundedPreceding, -1)
-    # Runs are contiguous in key order, so only the first key of a run can have begun
-    # in an earlier one: at most one row per run is left.
-    carried = (
-        per_run.select(
-            "_run",
-            *keys,
-            F.row_number().over(earlier).alias("_nth"),
-            *[F.sum(p).over(before).alias(f"{p}_in") for p in parts],
-        )
-        .where("_nth > 1")
-        .drop("_nth")
-    )
+    carried = _brought_in(per_run, keys, list(parts), runs or 0)
     # Sums of decimals get the widest type; narrowed first, they add without losing scale.
     kinds = {p: placed.schema[p].dataType for p in parts}
     room = {p: f"decimal(34,{k.scale})" if isinstance(k, DecimalType) else "bigint" for p, k in kinds.items()}

@@ -7,7 +7,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from tallyframe.operators import pricing, reports
+from tallyframe.operators import pricing, reports, totals
 from tallyframe.operators.totals import running_totals
 from tallyframe.streaming.once import once_stream
 
@@ -37,6 +37,50 @@ def test_hot_key_is_spread_over_runs(spark):
     assert "_run" in plan and "windowspecdefinition(_run" in plan
 
 
+def test_many_runs_are_carried_in_two_levels(spark, monkeypatch):
+    """A hot key, keys that fill no run, null keys and null amounts, over more runs than one window may hold."""
+    rng = random.Random(3)
+    rows = [
+        (rng.choice(("hot", "hot", "hot", f"k{rng.randrange(60)}", None)), i, rng.choice((None, *range(-40, 40))))
+        for i in range(3000)
+    ]
+    df = spark.createDataFrame(rows, "k string, i int, v int").repartition(5)
+    monkeypatch.setattr(totals, "ONE_LEVEL", 10)
+    found = running_totals(df, ["k"], ["i"], {"total": F.coalesce("v", F.lit(0)), "known": F.col("v")}, runs=40)
+    sums, known = defaultdict(int), defaultdict(int)
+    want = {}
+    for k, i, v in sorted(rows, key=lambda r: r[1]):
+        sums[k] += v or 0
+        known[k] += v or 0
+        want[i] = sums[k]
+    got = {r.i: r.total for r in found.collect()}
+    some = {i for i, r in enumerate(rows) if rows[i][0] is not None}
+    assert {i: got[i] for i in some} == {i: want[i] for i in some}
+    numbered = running_totals(df, [], ["i"], {"n": F.lit(1)}, runs=40).collect()
+    assert all(r.n == r.i + 1 for r in numbered)
+
+
+def test_hundred_thousand_runs(spark):
+    """No window over the runs of one key holds more than about their square root."""
+    runs = 100_000
+    per_run = spark.range(runs).select(F.col("id").cast("int").alias("_run"), F.lit("hot").alias("k"), F.lit(2).cast("long").alias("p"))
+    carried = totals._brought_in(per_run, ["k"], ["p"], runs)
+    assert carried.where("p_in <> 2 * _run").isEmpty() and carried.count() == runs - 1
+    plan = carried._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("_block" in line for line in windows)
+
+
+def test_runs_follow_from_bytes_read(spark, tmp_path, monkeypatch):
+    spark.range(50_000).withColumn("v", F.rand(1)).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    size = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    assert totals.run_count(table) is None  # small: the configured number is enough
+    monkeypatch.setattr(totals, "RUN_BYTES", size // 50)
+    assert 48 <= totals.run_count(table) <= 52
+    assert totals.run_count(table.alias("a").join(table.alias("b"), "id")) <= 104  # not multiplied
+
+
 def test_numbering_without_keys(spark):
     df = spark.range(3000).select((F.col("id") * 7919 % 3001).alias("x"))
     numbered = running_totals(df, [], ["x"], {"n": F.lit(1)}, runs=9).orderBy("x").collect()
