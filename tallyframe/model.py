@@ -53,6 +53,7 @@ POSTINGS = {
     "cost_quantity": QUANTITY,
     "cost_commodity": "string",
     "is_assertion": "boolean",
+    "kind": "string",
 }
 PRICES = {
     "date": "date",
@@ -75,6 +76,10 @@ ASSERTIONS = {
 # Transaction states, in display order.
 STATUSES = ("Cleared", "Pending", "Unmarked")
 
+# Kinds of postings besides real ones, and the brackets their accounts are written in.
+# A virtual posting balances nothing, balanced virtual ones balance among themselves; NULL is real.
+KINDS = {"virtual": "()", "balanced": "[]"}
+
 # Leg number of a balancing leg whose siblings carry their own line numbers.
 LAST_LEG = 1_000_000
 

@@ -107,32 +107,36 @@ def check_dates(texts: DataFrame, column: str) -> DataFrame:
 def unbalanced(ledger: Ledger) -> DataFrame:
     """(transaction, commodity) sums that are not zero.
 
-    A costed amount counts in the commodity it cost.  Two uncosted commodities of
+    Virtual postings balance nothing; balanced virtual ones do so among themselves, real ones
+    likewise.  A costed amount counts in the commodity it cost.  Two uncosted commodities of
     opposite sign are an implied conversion and balance each other."""
     costed = F.col("cost_quantity").isNotNull()
+    group = ["tindex", "side"]
     sums = (
-        ledger.postings.select(
+        ledger.postings.where("coalesce(kind, 'real') <> 'virtual'")
+        .select(
             "tindex",
+            (F.coalesce("kind", F.lit("real")) == "balanced").alias("side"),
             F.when(costed, F.col("cost_commodity")).otherwise(F.col("commodity")).alias("commodity"),
             F.when(costed, (F.col("quantity").cast(COSTED) * F.col("cost_quantity").cast(PRICE)).cast(TOTAL))
             .otherwise(F.col("quantity").cast(TOTAL))
             .alias("amount"),
             costed.alias("costed"),
         )
-        .groupBy("tindex", "commodity")
+        .groupBy(*group, "commodity")
         .agg(F.sum("amount").cast(TOTAL).alias("amount"), F.max("costed").alias("costed"))
     )
     left = sums.where("amount <> 0")
-    costs = sums.groupBy("tindex").agg(F.max("costed").alias("any_cost"))
-    shape = left.groupBy("tindex").agg(
+    costs = sums.groupBy(*group).agg(F.max("costed").alias("any_cost"))
+    shape = left.groupBy(*group).agg(
         F.count("*").alias("n"), F.min("amount").alias("low"), F.max("amount").alias("high")
     )
     implied = (
         shape.where("n = 2 and low < 0 and high > 0")
-        .join(costs.where(~F.col("any_cost")), "tindex", "left_semi")
-        .select("tindex")
+        .join(costs.where(~F.col("any_cost")), group, "left_semi")
+        .select(*group)
     )
-    return left.join(implied, "tindex", "left_anti").select("tindex", "commodity", "amount")
+    return left.join(implied, group, "left_anti").select("tindex", "commodity", "amount")
 
 
 def batch_errors(ledger: Ledger) -> DataFrame:

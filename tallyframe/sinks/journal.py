@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyframe.functions.journal import assertion_text, header_text, posting_text, price_text, tag_line
+from tallyframe.functions.journal import assertion_text, bracketed, header_text, posting_text, price_text, tag_line
 from tallyframe.functions.text import name_key
 from tallyframe.model import Ledger
 from tallyframe.operators.validate import batch_errors, undeclared
@@ -41,7 +41,7 @@ def render_journal(ledger: Ledger, two_decimals: bool = False, blank_lines: bool
     tagged = heads.select("date", "tindex", F.posexplode(ordered).alias("n", "tag"))
     out = out.unionByName(rows(tagged, 1, zero, F.col("n"), zero, tag_line(F.col("tag.t"))))
     digits = None if two_decimals else F.col("precision")
-    text = posting_text(F.col("account"), F.col("quantity"), F.col("commodity"), digits)
+    text = posting_text(bracketed(F.col("account"), F.col("kind")), F.col("quantity"), F.col("commodity"), digits)
     side = F.when(F.col("quantity") < 0, 0).otherwise(1)
     out = out.unionByName(
         rows(ledger.postings.where("quantity is not null"), 2, side, F.col("leg"), F.col("pos"), text)

@@ -19,6 +19,7 @@ from tallyframe.functions.journal import (
     PRICE_LINE,
     evaluated,
     header_date,
+    kind_of,
     parse_amount,
     parse_tags,
     state_of_mark,
@@ -175,19 +176,19 @@ def read_journal(lines: DataFrame) -> Ledger:
     rest, name = F.col("rest"), F.col("name")
     texts = evaluated(
         split,
-        virtual=name.rlike(r"^\(.*\)$"),
+        kind=kind_of(name),
         amount_text=F.trim(F.regexp_extract(rest, r"^([^@=]*)", 1)),
         at=F.regexp_extract(rest, r"(@@?)", 1),
         cost_text=F.trim(F.regexp_extract(rest, r"@@?\s*([^=]*)", 1)),
         asserted_text=F.trim(F.regexp_extract(rest, r"=+\*?\s*([^@]*)", 1)),
     )
-    bracketed = F.col("virtual") | name.rlike(r"^\[.*\]$")
+    bracketed = F.col("kind") != "real"
     legs = evaluated(texts, a=parse_amount(F.col("amount_text")), c=parse_amount(F.col("cost_text"))).select(
         "tindex",
         (F.col("legs") - F.col("legs_before")).cast("int").alias("leg"),
         "date",
         F.when(bracketed, F.substring(name, F.lit(2), F.length(name) - 2)).otherwise(name).alias("account"),
-        "virtual",
+        "kind",
         state_of_mark(F.col("mark"), None).alias("status"),
         "amount_text",
         "at",
@@ -199,17 +200,17 @@ def read_journal(lines: DataFrame) -> Ledger:
         F.col("at") == "@@", F.try_divide(F.col("c.quantity"), F.abs("a.quantity")).cast(QUANTITY)
     ).otherwise(F.col("c.quantity"))
     legs = legs.select(
-        "tindex", "leg", "date", "account", "virtual", "status", "amount_text", "asserted_text",
+        "tindex", "leg", "date", "account", "kind", "status", "amount_text", "asserted_text",
         "a.quantity", "a.commodity", "a.precision",
         unit.alias("cost_quantity"), F.col("c.commodity").alias("cost_commodity"),
     )
     legs = materialize(legs, "legs")  # parsed once, read by amounts, sums and assertions
     written = legs.where("quantity is not null")
-    # An amount left out is minus the sum of the others, per commodity, at cost.
+    # An amount left out is minus the sum of the others of its kind, per commodity, at cost.
     costed = F.col("cost_quantity").isNotNull()
     sums = (
-        written.where(~F.col("virtual"))
-        .groupBy("tindex", F.when(costed, F.col("cost_commodity")).otherwise(F.col("commodity")).alias("commodity"))
+        written.where("kind <> 'virtual'")
+        .groupBy("tindex", F.col("kind").alias("side"), F.when(costed, F.col("cost_commodity")).otherwise(F.col("commodity")).alias("commodity"))
         .agg(
             F.sum(
                 F.when(costed, (F.col("quantity").cast(COSTED) * F.col("cost_quantity").cast(PRICE)).cast(TOTAL)).otherwise(
@@ -221,19 +222,26 @@ def read_journal(lines: DataFrame) -> Ledger:
         .where("sum <> 0")
     )
     place = Window.partitionBy("tindex", "leg").orderBy("commodity")  # as long as there are commodities
+    blank = legs.where("amount_text = ''").select("tindex", "leg", "date", "account", "kind", "status", "asserted_text")
+    # A balanced virtual posting that has none of its kind to balance takes up the real ones.
+    others = written.where("kind = 'balanced'").select("tindex").distinct().withColumn("others", F.lit(True))
+    sided = (
+        blank.where("kind = 'balanced'")
+        .join(others, "tindex", "left")
+        .withColumn("side", F.when(F.col("others"), F.lit("balanced")).otherwise(F.lit("real")))
+        .drop("others")
+    ).unionByName(blank.where("kind <> 'balanced'").withColumn("side", F.col("kind")))
     elided = (
-        legs.where("amount_text = ''")
-        .select("tindex", "leg", "date", "account", "status", "asserted_text")
-        .join(sums, "tindex", "left")
+        sided.join(sums, ["tindex", "side"], "left")
         .select(
             "tindex", "leg", (F.row_number().over(place) - 1).alias("pos"), "date", "account", "status", "commodity",
             (-F.col("sum")).cast(QUANTITY).alias("quantity"), "precision",
-            (F.col("asserted_text") != "").alias("is_assertion"),
+            (F.col("asserted_text") != "").alias("is_assertion"), "kind",
         )
     )
     postings = written.withColumns(
         {"pos": F.lit(0), "is_assertion": F.col("asserted_text") != ""}
-    ).drop("virtual", "amount_text", "asserted_text")
+    ).drop("amount_text", "asserted_text")
     postings = conform(postings, POSTINGS).unionByName(conform(elided, POSTINGS))
 
     said = parse_amount(F.col("asserted_text"))
