@@ -25,10 +25,10 @@ def session_titles(messages: DataFrame) -> DataFrame:
     return session_summary(messages).select("conv_id", session_title(F.col("first_message")).alias("title"))
 
 
-def session_groups(sessions: DataFrame, today: dt.date) -> DataFrame:
+def session_groups(sessions: DataFrame, today: dt.date, *ties: str) -> DataFrame:
     """``sessions(.., modified)`` by recency with a Today / Yesterday / Earlier label.
 
-    A session without a time counts as new."""
+    A session without a time counts as new; equal times follow the columns ``ties``."""
     start = F.lit(today.isoformat()).cast("timestamp_ntz")
     modified = F.col("modified")
     label = (
@@ -36,4 +36,4 @@ def session_groups(sessions: DataFrame, today: dt.date) -> DataFrame:
         .when(modified >= start - F.expr("interval 1 day"), F.lit("Yesterday"))
         .otherwise(F.lit("Earlier"))
     )
-    return sessions.withColumn("label", label).orderBy(modified.desc_nulls_first())
+    return sessions.withColumn("label", label).orderBy(modified.desc_nulls_first(), *ties)

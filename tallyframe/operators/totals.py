@@ -34,7 +34,7 @@ def run_count(df: DataFrame) -> int | None:
     return runs if runs > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
 
 
-def _brought_in(per_run: DataFrame, keys: list[str], parts: list[str], runs: int) -> DataFrame:
+def brought_in(per_run: DataFrame, keys: list[str], parts: list[str], runs: int) -> DataFrame:
     """(_run, keys, part_in): what earlier runs of a key sum to, where there are any.
 
     Runs are contiguous in key order, so only the first key of a run can have begun in an
@@ -99,7 +99,7 @@ def running_totals(
     placed = materialize(placed, "runs")
 
     per_run = placed.groupBy("_run", *keys).agg(*[F.sum(p).alias(p) for p in parts])
-    carried = _brought_in(per_run, keys, list(parts), runs or 0)
+    carried = brought_in(per_run, keys, list(parts), runs or 0)
     # Sums of decimals get the widest type; narrowed first, they add without losing scale.
     kinds = {p: placed.schema[p].dataType for p in parts}
     room = {p: f"decimal(34,{k.scale})" if isinstance(k, DecimalType) else "bigint" for p, k in kinds.items()}

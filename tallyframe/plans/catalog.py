@@ -14,6 +14,7 @@ from tallyframe.functions.dates import period_start, prefix_range, preset_range
 from tallyframe.model import AMOUNT, Ledger
 from tallyframe.operators import analyses, checkpoints, edit, events as ev, lists, pricing, register as reg, reports, sessions, validate
 from tallyframe.operators.assertions import assertion_check, failed_assertions, last_asserted
+from tallyframe.operators.positions import page, with_position
 from tallyframe.operators.query import Query, matching_transactions, posting_lines, print_report
 from tallyframe.plans.net_worth import net_worth_sheet
 from tallyframe.scratch import scratch_path
@@ -432,18 +433,33 @@ def facet_counts(spark, path):
 
 @named
 def facet_options(spark, path):
-    return reg.facet_options(books(spark, path))
+    return with_position(reg.facet_options(books(spark, path)))
 
 
 @named
 def reg_order(spark, path):
-    return reg.register_order(books(spark, path).transactions).select("tindex", "date", "payee")
+    return with_position(reg.register_order(books(spark, path).transactions).select("tindex", "date", "payee"))
+
+
+@named
+def reg_order_rising(spark, path):
+    """Oldest first: a day then lists payees Z-A."""
+    rows = reg.register_order(books(spark, path).transactions, descending=False)
+    return with_position(rows.select("tindex", "date", "payee"))
+
+
+@named
+def reg_page(spark, path):
+    """The third page of the register by payee, 500 transactions a page."""
+    rows = reg.register_sorted(reg.register_rows(books(spark, path)), "payee")
+    return page(with_position(rows.select("tindex", "payee", "lead_account")), 3, 500)
 
 
 @named
 def reg_sorted(spark, path):
     rows = reg.register_sorted(reg.register_rows(books(spark, path)), "amount", descending=True)
-    return cents(rows.select("tindex", "payee", "lead_account", "lead_quantity", "tags_text"), "lead_quantity")
+    rows = rows.select("tindex", "payee", "lead_account", "lead_quantity", "tags_text")
+    return cents(with_position(rows), "lead_quantity")
 
 
 @named
@@ -455,22 +471,22 @@ def nw_search(spark, path):
 @named
 def nw_order(spark, path):
     rows = net_worth_sheet(books(spark, path), BASE, as_of=TODAY)
-    return reg.sheet_order(rows, "asserted", descending=True).select("section", "account", "asserted_on")
+    return with_position(reg.sheet_order(rows, "asserted", descending=True).select("section", "account", "asserted_on"))
 
 
 @named
 def list_accounts(spark, path):
-    return lists.list_accounts(books(spark, path))
+    return with_position(lists.list_accounts(books(spark, path)))
 
 
 @named
 def list_payees(spark, path):
-    return lists.list_payees(books(spark, path))
+    return with_position(lists.list_payees(books(spark, path)))
 
 
 @named
 def list_tags(spark, path):
-    return lists.list_tags(books(spark, path))
+    return with_position(lists.list_tags(books(spark, path)))
 
 
 # -- scalar functions --------------------------------------------------------
@@ -877,8 +893,10 @@ def session_title(spark, path):
 def session_groups(spark, path):
     """Users as sessions, last seen at their last event."""
     seen = table(spark, path, "events").groupBy("user_id").agg(F.max("ts").alias("modified"))
-    rows = sessions.session_groups(seen, dt.date(2024, 1, 30))
-    return rows.select("user_id", F.date_format("modified", "yyyy-MM-dd HH:mm:ss").alias("modified"), "label")
+    rows = sessions.session_groups(seen, dt.date(2024, 1, 30), "user_id")
+    return with_position(
+        rows.select("user_id", F.date_format("modified", "yyyy-MM-dd HH:mm:ss").alias("modified"), "label")
+    )
 
 
 def _marked_messages(spark, path):

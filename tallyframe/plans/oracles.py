@@ -91,6 +91,10 @@ def balances(where: str = "true", source: str = "post", account: str = "account"
     WHERE {where} GROUP BY ALL HAVING sum(quantity) <> 0"""
 
 
+def place(order: str) -> str:
+    return f"row_number() OVER (ORDER BY {order}) AS position"
+
+
 def heads(where: str, columns: str = "tindex, date, payee, note, status") -> str:
     return f"SELECT {columns} FROM txn WHERE {where}"
 
@@ -372,7 +376,10 @@ net_sheet AS (SELECT n.section, n.account, n.txt AS holding_text,
     LEFT JOIN lst ON lst.account = n.account)"""
 )
 sql("sheet_with_assertions", SHEET + " SELECT * FROM net_sheet")
-sql("nw_order", SHEET + " SELECT section, account, asserted_on FROM net_sheet")
+sql(
+    "nw_order",
+    SHEET + " SELECT section, account, asserted_on, " + place("asserted_on DESC NULLS LAST, account") + " FROM net_sheet",
+)
 sql(
     "net_worth_trend",
     f""", m AS (SELECT CAST(m AS DATE) AS d FROM generate_series(timestamp '1995-01-01', timestamp '2001-08-01', INTERVAL 1 MONTH) g(m)),
@@ -461,29 +468,41 @@ sql(
 )
 sql(
     "facet_options",
-    """SELECT DISTINCT 'payee' AS facet, payee AS value FROM txn WHERE payee <> ''
+    f"""SELECT facet, value, {place("facet, CASE value WHEN 'Cleared' THEN 1 WHEN 'Pending' THEN 2 WHEN 'Unmarked' THEN 3 ELSE 0 END, lower(value), value")}
+    FROM (SELECT DISTINCT 'payee' AS facet, payee AS value FROM txn WHERE payee <> ''
     UNION ALL SELECT DISTINCT 'account', account FROM post UNION ALL SELECT DISTINCT 'commodity', commodity FROM post
-    UNION ALL SELECT DISTINCT 'status', status FROM txn UNION ALL SELECT 'tag', 'segment' UNION ALL SELECT 'tag', 'priority'""",
+    UNION ALL SELECT DISTINCT 'status', status FROM txn UNION ALL SELECT 'tag', 'segment' UNION ALL SELECT 'tag', 'priority')""",
 )
-sql("reg_order", heads("true", "tindex, date, payee"))
+sql("reg_order", heads("true", "tindex, date, payee, " + place("date DESC, lower(payee), tindex")))
+sql("reg_order_rising", heads("true", "tindex, date, payee, " + place("date, lower(payee) DESC, tindex")))
 sql(
     "reg_sorted",
     SPLIT
     + f""", lead AS (SELECT tindex, account, quantity FROM (SELECT *, row_number() OVER (PARTITION BY tindex
         ORDER BY leg, account, quantity) AS n FROM split WHERE shown) WHERE n = 1)
     SELECT txn.tindex, payee, account AS lead_account, CAST(quantity AS {MONEY}) AS lead_quantity,
-           coalesce('segment: ' || segment || ' priority: ' || priority, '') AS tags_text
+           coalesce('segment: ' || segment || ' priority: ' || priority, '') AS tags_text,
+           {place("quantity DESC, txn.tindex")}
     FROM txn JOIN lead ON txn.tindex = lead.tindex""",
 )
+sql(
+    "reg_page",
+    SPLIT
+    + f""", lead AS (SELECT tindex, account FROM (SELECT *, row_number() OVER (PARTITION BY tindex
+        ORDER BY leg, account, quantity) AS n FROM split WHERE shown) WHERE n = 1)
+    SELECT * FROM (SELECT txn.tindex, payee, account AS lead_account, {place("lower(payee), txn.tindex")}
+    FROM txn JOIN lead ON txn.tindex = lead.tindex) WHERE position BETWEEN 1001 AND 1500""",
+)
 sql(
     "nw_search",
     f"""SELECT account, commodity, CAST(CASE WHEN {KIND} = 'Liabilities' THEN -1 ELSE 1 END * sum(quantity) AS {MONEY}) AS amount,
     {KIND} AS section FROM post WHERE {KIND} IN ('Assets', 'Liabilities') AND contains(lower(account), 'bank:m')
     GROUP BY account, commodity HAVING sum(quantity) <> 0""",
 )
-sql("list_accounts", "SELECT DISTINCT account AS name FROM post")
-sql("list_payees", "SELECT DISTINCT payee AS name FROM txn WHERE trim(payee) <> ''")
-sql("list_tags", "SELECT 'segment' AS name UNION ALL SELECT 'priority'")
+NAMES = "SELECT name, " + place("lower(name), name") + " FROM ({})"
+sql("list_accounts", NAMES.format("SELECT DISTINCT account AS name FROM post"))
+sql("list_payees", NAMES.format("SELECT DISTINCT payee AS name FROM txn WHERE trim(payee) <> ''"))
+sql("list_tags", NAMES.format("SELECT 'segment' AS name UNION ALL SELECT 'priority'"))
 
 # -- scalar functions --------------------------------------------------------
 
@@ -768,7 +787,8 @@ SELECT conv_id, CASE WHEN title = '' THEN NULL WHEN length(title) > 60 THEN rtri
 ORACLES["session_groups"] = """
 WITH s AS (SELECT user_id, max(ts) AS m FROM events GROUP BY user_id)
 SELECT user_id, strftime(m, '%Y-%m-%d %H:%M:%S') AS modified, CASE WHEN m >= timestamp '2024-01-30' THEN 'Today'
-    WHEN m >= timestamp '2024-01-29' THEN 'Yesterday' ELSE 'Earlier' END AS label FROM s"""
+    WHEN m >= timestamp '2024-01-29' THEN 'Yesterday' ELSE 'Earlier' END AS label,
+    row_number() OVER (ORDER BY m DESC, user_id) AS position FROM s"""
 MESSAGES = "WITH m AS (SELECT conv_id, turn, text, conv_id * 100 + turn AS n FROM conversations)"
 ORACLES["mentions"] = (
     MESSAGES

@@ -64,7 +64,7 @@ def test_hundred_thousand_runs(spark):
     """No window over the runs of one key holds more than about their square root."""
     runs = 100_000
     per_run = spark.range(runs).select(F.col("id").cast("int").alias("_run"), F.lit("hot").alias("k"), F.lit(2).cast("long").alias("p"))
-    carried = totals._brought_in(per_run, ["k"], ["p"], runs)
+    carried = totals.brought_in(per_run, ["k"], ["p"], runs)
     assert carried.where("p_in <> 2 * _run").isEmpty() and carried.count() == runs - 1
     plan = carried._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line]
