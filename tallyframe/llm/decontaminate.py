@@ -22,6 +22,8 @@ from tallyframe.llm.common import Words, bit_table, in_table, materialize, rolli
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: An n-gram is a seed unless it occurs more than this many times as often as its item's median n-gram.
 COMMON = 8
+#: Words of an item, less what their edits cost, that are a match whatever share of the item they are.
+RUN_WORDS = 30
 
 
 def align(text: np.ndarray, item: np.ndarray) -> tuple[int, int]:
@@ -42,8 +44,8 @@ def align(text: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def item_table(benchmark: DataFrame, min_words: int) -> DataFrame:
-    """Distinct word sequences of the test items: words (packed hashes), size, and the item_ids that have them."""
+def item_table(benchmark: DataFrame, n: int) -> DataFrame:
+    """Word sequences of the test items of ``n`` words and more: item_id, size, words (packed hashes), item (their id)."""
 
     def work(batches):
         for part in slices(batches):
@@ -56,7 +58,7 @@ def item_table(benchmark: DataFrame, min_words: int) -> DataFrame:
             )
 
     found = benchmark.select("item_id", "text").mapInArrow(work, "item_id long, size long, words binary")
-    return materialize(found.where(F.col("size") >= min_words).withColumn("item", F.xxhash64("words")), "items")
+    return materialize(found.where(F.col("size") >= n).withColumn("item", F.xxhash64("words")), "items")
 
 
 def seeds_of(items: DataFrame, n: int) -> DataFrame:
@@ -82,12 +84,14 @@ def contaminated(
 
     Words are runs of a-z, 0-9 and anything beyond ASCII in lower case. ``score`` is the alignment
     score over that of the whole item; matches of ``threshold`` and more are returned, the best of each
-    document and item, ties at the earliest place. Items of fewer than ``min_words`` words identify no
-    passage and are not searched for; null and empty texts match nothing. Equal items are each
+    document and item, ties at the earliest place. So are matches that score as ``RUN_WORDS`` equal
+    words do, whatever share of a long item that is. Items of fewer than ``min_words`` words match only
+    where they stand word by word (score 1); those of fewer than ``n`` words have no n-gram, identify no
+    passage and are not searched for. Null and empty texts match nothing. Equal items are each
     reported. Rows equal in doc_id and text are one document; a null doc_id stays null, and
     ``text_key`` (xxhash64 of the text) tells its rows apart. Other columns are not read.
     """
-    items = item_table(benchmark, min_words)
+    items = item_table(benchmark, n)
     seeds = materialize(seeds_of(items, n), "all-seeds")
     widest = items.agg(F.max("size")).first()[0] or 0
     table = bit_table(seeds, "seed")
@@ -152,7 +156,7 @@ def contaminated(
             for doc, key, item, at, around, words, size in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "item", "at", "around", "words", "size"))):
                 text, own = np.frombuffer(around, np.uint64), np.frombuffer(words, np.uint64)
                 best, end = align(text, own)
-                if best < threshold * MATCH * size:
+                if best < MATCH * (size if size < min_words else min(threshold * size, RUN_WORDS)):
                     continue
                 _, back = align(text[: end + 1][::-1], own[::-1])
                 for column, value in zip(out.values(), (doc, key, item, best / (MATCH * size), at + end - back, at + end)):
