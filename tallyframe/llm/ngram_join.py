@@ -51,8 +51,11 @@ def differing(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def shingled(docs: DataFrame, k: int) -> DataFrame:
-    """row (a number of its own), doc_id, n (set size), sid (id of the set, null if empty), parity, shingles (sorted, packed)."""
+def shingled(docs: DataFrame, k: int, keyed: bool = False) -> DataFrame:
+    """row (a number of its own), doc_id, n (set size), sid (id of the set, null if empty), parity, shingles (sorted, packed).
+
+    With ``keyed`` also text_key, the xxhash64 of the text."""
+    key = ["text_key"] if keyed else []
 
     def work(batches):
         task, number = TaskContext.get().partitionId(), 0
@@ -63,12 +66,13 @@ def shingled(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(task << 33 | number, (task << 33 | number) + len(n)), pa.int64()), part.column("doc_id").cast(pa.int64()),
                  pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array([parity(s) for s in sets], pa.binary()),
-                 pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["row", "doc_id", "n", "sid", "parity", "shingles"],
+                 pa.array([s.tobytes() for s in sets], pa.binary()), *[part.column(c) for c in key]],
+                names=["row", "doc_id", "n", "sid", "parity", "shingles", *key],
             )
             number += len(n)
 
-    return docs.select("doc_id", "text").mapInArrow(work, "row long, doc_id long, n long, sid long, parity binary, shingles binary")
+    columns = "row long, doc_id long, n long, sid long, parity binary, shingles binary" + "".join(f", {c} long" for c in key)
+    return docs.select("doc_id", "text", *[F.xxhash64("text").alias(c) for c in key]).mapInArrow(work, columns)
 
 
 def bucket_ranks(sets: DataFrame) -> np.ndarray:
@@ -305,6 +309,24 @@ def links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None
     return comp
 
 
+def set_components(sets: DataFrame, percent: int) -> DataFrame:
+    """sid, comp (a sid of its component), component_id (the component's smallest doc_id) for every set of ``shingled``."""
+    # every class of equal sets, with its smallest id
+    classes = sets.where("sid is not null").groupBy("sid").agg(
+        F.min("doc_id").alias("least"), F.min_by(F.struct("row", "n", "parity"), "row").alias("one")
+    ).select("sid", "least", "one.*")
+    classes = materialize(classes, "set-classes")
+    comp = links(sets.where("sid is not null"), classes, percent)
+    classes = classes.select("sid", "least")
+    if comp is None:
+        return classes.select("sid", F.col("sid").alias("comp"), F.col("least").alias("component_id"))
+    classes = classes.join(comp, classes["sid"] == comp["node"], "left").select(
+        "sid", "least", F.coalesce("component", "sid").alias("comp")
+    )
+    names = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
+    return materialize(classes.join(names, "comp").select("sid", "comp", "component_id"), "components")
+
+
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id, sid for every row of ``docs``.
 
@@ -316,21 +338,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     no row of it has one. No rows give no rows; other columns are not read.
     """
     sets = materialize(shingled(docs, k), "shingles")
-    # every class of equal sets, with its smallest id
-    classes = sets.where("sid is not null").groupBy("sid").agg(
-        F.min("doc_id").alias("least"), F.min_by(F.struct("row", "n", "parity"), "row").alias("one")
-    ).select("sid", "least", "one.*")
-    classes = materialize(classes, "set-classes")
-    comp = links(sets.where("sid is not null"), classes, percent)
-    classes = classes.select("sid", "least")
-    if comp is not None:
-        classes = classes.join(comp, classes["sid"] == comp["node"], "left").select(
-            "sid", "least", F.coalesce("component", "sid").alias("comp")
-        )
-        names = classes.groupBy("comp").agg(F.min("least").alias("component_id"))
-        classes = materialize(classes.join(names, "comp").select("sid", "component_id"), "components")
-    else:
-        classes = classes.select("sid", F.col("least").alias("component_id"))
+    classes = set_components(sets, percent).drop("comp")
     linked = sets.select("doc_id", "n", "sid").where("sid is not null").join(classes, "sid").select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", "sid"
     )
@@ -339,17 +347,28 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the later members of each group: the row of the smallest doc_id stays, unchanged.
+    """``docs`` without the later members of each group of near copies: one row of a group stays, unchanged.
 
-    Rows that repeat doc_id and text are one document. Rows without a doc_id cannot be named in a
-    group and stay, those with equal texts once.
+    That is the row of the smallest doc_id, of the smallest xxhash64 of its text where one doc_id has
+    several texts in a group; rows without a doc_id come last. Rows are told apart by doc_id and
+    text, so another text under a removed row's doc_id stays. Rows that repeat both are one document
+    and stay once. Null texts and texts without words are nobody's copy. No rows give no rows; other columns are kept
+    whatever their names.
     """
-    found = materialize(near_duplicates(docs.where("doc_id is not null"), k, percent), "near-duplicates")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 or doc_id is null").select("doc_id")
-    if twice.isEmpty():
+    sets = materialize(shingled(docs, k, keyed=True), "shingles")
+    classes = set_components(sets, percent)
+    members = sets.where("sid is not null").select("doc_id", "text_key", "sid").join(classes, "sid")
+    members = materialize(members.select("comp", "doc_id", "text_key"), "members")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    first = members.groupBy("comp").agg(F.min(place).alias("first"))
+    later = members.join(first, "comp").where(~place.eqNullSafe(F.col("first")))
+    gone = materialize(later.select("doc_id", "text_key").distinct(), "near-copies")
+    key = F.xxhash64(docs["text"])
+    same = lambda some: docs["doc_id"].eqNullSafe(some["doc_id"]) & (key == some["text_key"])
+    out = docs.join(gone, same(gone), "left_anti")
+    again = sets.groupBy("doc_id", "text_key").agg(F.count("*").alias("rows")).where("rows > 1")
+    again = materialize(again.select("doc_id", "text_key"), "repeats")
+    if again.isEmpty():
         return out
-    several = twice.withColumnRenamed("doc_id", "which")
-    again = out.join(several, out["doc_id"].eqNullSafe(several["which"]), "left_semi").dropDuplicates(["doc_id", "text"])
-    return out.join(several, out["doc_id"].eqNullSafe(several["which"]), "left_anti").union(again)
+    once = out.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.join(again, same(again), "left_anti").union(once)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -146,6 +147,23 @@ def test_keep_one(odd):
     assert len(kept) == len({(r.doc_id, r.text) for r in kept}) and {3} == {r.doc_id for r in kept if r.text and r.text.endswith("ten") and r.doc_id and r.doc_id < 5}
 
 
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    rng = np.random.default_rng(4)
+    a, b, c = (" ".join(f"{p}{w}" for w in rng.integers(0, 400, 80)) for p in "abc")
+    near = lambda t, n: t + f" and {n} more"
+    rows = [
+        (5, a), (7, near(a, 1)), (7, b), (7, b), (9, near(b, 1)),  # 7 goes as a copy of 5, its other text stays
+        (3, c), (3, near(c, 1)), (None, near(c, 2)), (None, "alone " * 9), (None, "alone " * 9), (4, None), (4, None), (4, ""),
+    ]
+    docs = spark.createDataFrame([(d, t, "k", "t") for d, t in rows], "doc_id long, text string, text_key string, comp string")
+    kept = ngram_join.keep_one(docs, 5, 80)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(got) == len(set(got)) == 6
+    assert {(5, a), (7, b), (None, "alone " * 9), (4, None), (4, "")} <= set(got)
+    assert len({(3, c), (3, near(c, 1))} & set(got)) == 1 and not {(7, near(a, 1)), (9, near(b, 1)), (None, near(c, 2))} & set(got)
+
+
 # pii
 PII = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -180,6 +198,27 @@ def test_pii(spark, documents, texts):
         assert set(told.split(",")) <= set(r.spans.split(","))
 
 
+def test_long_secrets_are_proposed(spark):
+    keys = {n: ("a1B2c3" * 200)[:n] for n in (19, 20, 80, 128, 129, 140, 1_000)}
+    docs = spark.createDataFrame([(n, f"the secret token {k} here") for n, k in keys.items()], "doc_id long, text string")
+    proposed = docs.select("doc_id", F.explode(pii.found(F.col("text"), "secret")).alias("m"))
+    assert {r.doc_id: (r.start, r.end) for r in proposed.select("doc_id", "m.*").collect()} == {n: (17, 17 + n) for n in keys if n >= 20}
+    spans = {r.doc_id: r.spans for r in pii.digest(pii.find(docs)).collect()}
+    assert all(("secret" in spans[n]) == ("secret" in spans[80]) for n in keys if n >= 20)
+
+
+def test_many_spans_in_one_text(spark):
+    """A table of figures in one text: every number is a match of a pattern."""
+    texts = {n: " ".join(f"{i}.7," for i in range(n)) for n in (1, 2, 3, 5, 50, 40_000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: r.out for r in docs.select("doc_id", pii.found(F.col("text"), "card").alias("out")).collect()}
+    assert time.time() - start < 20
+    for n, text in texts.items():
+        want = [(m.start(), m.end(), m[0]) for m in re.finditer(PII["card"], text)]
+        assert [(m.start, m.end, m.match) for m in got[n]] == want
+
+
 def test_expectation_maximisation_trusts_good_labelers():
     counts = {("x", 1, 1, 0): 900.0, ("x", -1, -1, 0): 900.0, ("x", 1, -1, 0): 20.0, ("x", -1, -1, 1): 10.0}
     truth = pii.expectation_maximisation(counts)
@@ -339,6 +378,23 @@ def test_decontamination(spark, documents, texts):
     assert decontaminate.contaminated(docs, benchmark.limit(0)).count() == 0
 
 
+def test_short_items_and_long_runs(spark):
+    rng = np.random.default_rng(6)
+    word = lambda n: [f"w{w}" for w in rng.integers(0, 10_000, n)]
+    short, long, few = word(4), word(300), word(2)
+    benchmark = spark.createDataFrame([(1, " ".join(short)), (2, " ".join(long)), (3, " ".join(few)), (4, None)], "item_id long, text string")
+    docs = {
+        10: word(50) + short + word(50), 11: word(50) + short[:2] + ["else"] + short[2:] + word(9), 12: word(20) + short[:3] + word(20),
+        20: word(40) + long[100:240] + word(40), 21: word(40) + long[10:34] + word(40), 22: word(9) + long[50:81],
+        30: word(30) + few + word(30),
+    }
+    rows = [(d, " ".join(w)) for d, w in docs.items()]
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(10, 1), (20, 2), (22, 2)}
+    places = {r.doc_id: (r.first_word, r.last_word) for r in found}
+    assert places == {10: (50, 53), 20: (40, 179), 22: (9, 39)}
+
+
 # quality
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
