@@ -15,13 +15,14 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tallyframe.functions.dates import iso_date
 from tallyframe.functions.journal import (
     HEADER,
-    POSTING,
     PRICE_LINE,
     evaluated,
     header_date,
+    if_has,
     kind_of,
     parse_amount,
     parse_tags,
+    posting_fields,
     state_of_mark,
     symbol_of,
 )
@@ -104,7 +105,7 @@ def read_journal(lines: DataFrame) -> Ledger:
     first posting hold its tags.  ``tindex`` counts headers over all files, in order."""
     line = F.col("line")
     clean = evaluated(
-        lines.withColumn("line", F.regexp_replace("line", "\r$", "")),
+        lines.withColumn("line", if_has(line, "\r", F.regexp_replace("line", "\r$", ""), line)),
         indented=line.rlike(r"^\s+\S"),
         comment=line.rlike(r"^\s*;"),
         header=line.rlike(HEADER),
@@ -140,6 +141,7 @@ def read_journal(lines: DataFrame) -> Ledger:
         state_of_mark(F.col("mark"), "Unmarked").alias("status"),
         parse_tags(F.regexp_extract("text", r";(.*)$", 1)).alias("own_tags"),
     ).where("date is not null")
+    heads = materialize(heads, "heads")  # parsed once, read by bodies, tags and transactions
     body = counted.where(indented).select("line", "comment", "segment", "number", "legs")
     inside = body.join(heads.select("segment", "tindex", "date", "legs_before"), "segment")
 
@@ -166,24 +168,24 @@ def read_journal(lines: DataFrame) -> Ledger:
         )
     )
 
-    field = lambda i: F.regexp_extract("line", POSTING, i)
+    field = F.col("fields")
     split = evaluated(
-        inside.where(~comment),
-        mark=field(1),
-        name=F.trim(field(2)),
-        rest=F.trim(F.regexp_replace(field(3), r"\s*;.*$", "")),
-    )
-    rest, name = F.col("rest"), F.col("name")
+        evaluated(inside.where(~comment), fields=posting_fields(line)),
+        mark=field["mark"],
+        name=F.trim(field["name"]),
+        rest=F.trim(if_has(field["rest"], ";", F.regexp_replace(field["rest"], r"\s*;.*$", ""), field["rest"])),
+    ).drop("fields")
+    rest, name, none = F.col("rest"), F.col("name"), F.lit("")
     texts = evaluated(
         split,
         kind=kind_of(name),
-        amount_text=F.trim(F.regexp_extract(rest, r"^([^@=]*)", 1)),
-        at=F.regexp_extract(rest, r"(@@?)", 1),
-        cost_text=F.trim(F.regexp_extract(rest, r"@@?\s*([^=]*)", 1)),
-        asserted_text=F.trim(F.regexp_extract(rest, r"=+\*?\s*([^@]*)", 1)),
+        amount_text=F.trim(F.when(rest.contains("@") | rest.contains("="), F.regexp_extract(rest, r"^([^@=]*)", 1)).otherwise(rest)),
+        at=if_has(rest, "@", F.regexp_extract(rest, r"(@@?)", 1), none),
+        cost_text=if_has(rest, "@", F.trim(F.regexp_extract(rest, r"@@?\s*([^=]*)", 1)), none),
+        asserted_text=if_has(rest, "=", F.trim(F.regexp_extract(rest, r"=+\*?\s*([^@]*)", 1)), none),
     )
     bracketed = F.col("kind") != "real"
-    legs = evaluated(texts, a=parse_amount(F.col("amount_text")), c=parse_amount(F.col("cost_text"))).select(
+    legs = evaluated(texts, a=parse_amount(F.col("amount_text")), c=F.when(F.col("cost_text") != "", parse_amount(F.col("cost_text")))).select(
         "tindex",
         (F.col("legs") - F.col("legs_before")).cast("int").alias("leg"),
         "date",
