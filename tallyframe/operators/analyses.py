@@ -12,6 +12,7 @@ from tallyframe.functions.dates import period_start
 from tallyframe.model import TOTAL, Ledger
 from tallyframe.operators.query import Query, matches, posting_lines, select_postings
 from tallyframe.operators.reports import balance, fill_periods, periodic_balance
+from tallyframe.operators.totals import spread
 
 
 def _only(ledger: Ledger, *types: str) -> Ledger:
@@ -106,7 +107,7 @@ def duplicates(ledger: Ledger) -> DataFrame:
     One posting per transaction is kept before the groups are counted, which spreads a
     group over its transactions and leaves the final count to map-side partials."""
     alike = ["date", "payee", "account", "commodity", "quantity"]
-    once = posting_lines(ledger).select("tindex", *alike).distinct()
+    once = posting_lines(ledger, spread(ledger.postings, "tindex")).select("tindex", *alike).distinct()
     return (
         once.groupBy(*alike)
         .agg(
