@@ -17,6 +17,7 @@ from tallyframe.functions.accounts import is_balance_sheet
 from tallyframe.functions.dates import in_range
 from tallyframe.functions.text import name_key, search_text, tag_text, tags_text
 from tallyframe.model import STATUSES, Ledger, keys_of
+from tallyframe.operators.totals import spread
 from tallyframe.scratch import materialize
 
 
@@ -73,11 +74,11 @@ def hide_assertions(ledger: Ledger) -> DataFrame:
     An entry that asserts and moves money stays."""
     asserting = keys_of(ledger.assertions)
     moving = (
-        ledger.postings.where(F.col("quantity") != 0)
+        spread(ledger.postings.where(F.col("quantity") != 0), "tindex")
         .join(asserting, "tindex", "left_semi")
     )
     only = asserting.join(keys_of(moving), "tindex", "left_anti")
-    return ledger.transactions.join(only, "tindex", "left_anti")
+    return spread(ledger.transactions, "tindex").join(only, "tindex", "left_anti")
 
 
 def _any(condition) -> Column:
