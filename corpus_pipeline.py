@@ -27,11 +27,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that match an earlier one, however short.
 
+    Every row stays; a document of which nothing is left has an empty text."""
+    return line_dedup.without_duplicate_lines(docs, min_words=1)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The result of ``line_stage`` without the documents it emptied.
+
     A document goes when nothing but white space is left of what had more before: all of it
     stands in earlier documents. Null, empty and blank texts stay as they are; of equal rows
     (doc_id and text) all keep their lines, for a row does not come before itself.
     """
-    left = line_dedup.without_duplicate_lines(docs.withColumn("_worded", docs["text"].rlike(r"\S")), min_words=1)
+    left = line_stage(spark, docs.withColumn("_worded", docs["text"].rlike(r"\S")), sf_dir)
     return left.where(~F.coalesce(F.col("_worded"), F.lit(False)) | F.col("text").rlike(r"\S")).drop("_worded")
 
 
@@ -60,7 +67,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("quality classifier", quality_stage),
-    ("line dedup", line_stage),
+    ("line dedup", line_dedup_stage),
     ("n-gram Jaccard join", near_duplicate_stage),
     ("benchmark decontamination", decontamination_stage),
     ("packing", packing_stage),
