@@ -20,6 +20,8 @@ from tallyframe.llm.common import Words, mix, slices, small_batches
 FIT_ROWS = 8_000
 BYTE_BITS, SHAPE_BITS = 16, 12
 WIDTH = (1 << BYTE_BITS) + (1 << SHAPE_BITS)
+#: Bytes of text whose n-grams a scoring task takes at a time; their arrays need some fifty times that.
+SCORE_BYTES = 1 << 18
 
 
 def grams(column: pa.Array) -> list[np.ndarray]:
@@ -165,7 +167,7 @@ def scorer(model):
     def score(text: pd.Series) -> pd.Series:
         out = []
         batch = pa.RecordBatch.from_arrays([pa.Array.from_pandas(text, type=pa.large_string())], names=["text"])
-        for part in slices([batch]):
+        for part in slices([batch], limit=SCORE_BYTES):
             m = margins(grams(part.column("text")), narrow[0], narrow[1], bias)
             out.append(1 / (1 + np.exp(-np.clip(slope * m + shift, -50, 50))))
         return pd.Series(np.concatenate(out) if out else np.zeros(0))

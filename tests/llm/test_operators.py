@@ -14,6 +14,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from check_oracles import compare, connect
 from tallyframe.llm import (
+    common,
     decontaminate, licenses, line_dedup, ngram_join, packing, pii, quality, queries, substring_dedup, topk, url_filter,
 )
 
@@ -491,3 +492,11 @@ def test_pipeline(spark, sf, documents, texts):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     clean = [i for i in texts if labels.get(i) == 1]
     assert sum(i in kept[0] for i in clean) >= 0.97 * len(clean)
+
+
+def test_stages_hand_few_rows_to_python(spark, sf):
+    """A stage's result is written in small Arrow batches: workers keep the memory of the largest one through later stages."""
+    size = F.pandas_udf(lambda x: x * 0 + len(x), "long")
+    rows = spark.range(0, 5_000, 1, 1).select(size("id").alias("n"))
+    assert corpus_pipeline.materialize(rows, "sizes").agg(F.max("n")).first()[0] <= common.BATCH_ROWS
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
