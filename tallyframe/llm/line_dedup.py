@@ -5,12 +5,14 @@ by hash bucket, and one 64-bit number per word carries its bucket's rank and the
 that sorting numbers sorts by rarity and equal numbers are equal words. Two lines of Jaccard
 similarity ``percent`` and more share one of their first few words in this order (prefix filter), at
 places and with lengths that leave room for the overlap (positional and length filters), and differ
-in few bits of a parity word. Up to the smaller of their last prefix words both prefixes are whole, so
+in few bits of two parity words. Up to the smaller of their last prefix words both prefixes are whole, so
 what they share there bounds the overlap as well. What passes is verified on the full sets.
 
 Lines of equal sets are one class, named by its first line. To decide that a line goes, one earlier
-match is enough: first each class is compared with the earliest class of its three rarest words; only
-what that leaves open is joined in full. So groups of near copies do not meet pairwise.
+match is enough: first each class is compared with the earliest classes of its words, as far as sets of one
+size may first meet there. A match with the earliest class of one of its three rarest words settles it; else
+it is joined in full, but with classes before its best match only. So groups of near copies do not meet
+pairwise.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 
 from tallyframe.scratch import discard, materialize
 
+#: Earliest classes of a word that its other classes are compared with first.
+LEADERS = 8
 RARITY_BITS = 18
 FILTER_BITS = 22
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -90,7 +94,7 @@ def ordered_sets(lines: DataFrame, ranks: Column, min_words: int) -> DataFrame:
 
 
 def prefix_rows(classes: DataFrame) -> DataFrame:
-    """One row per class and prefix word: key (the word), at (its place), set, n, parity and the other columns."""
+    """One row per class and prefix word: key (the word), at (its place), set, n, even, odd and the other columns."""
     return classes.select(*[c for c in classes.columns if c != "keys"], F.posexplode("keys").alias("at", "key"))
 
 
@@ -100,7 +104,7 @@ def fits(percent: int) -> str:
     return (
         f"a.key = b.key and a.set <> b.set and least(a.n, b.n) * 100L >= {percent}L * greatest(a.n, b.n) "
         f"and least(a.n - a.at, b.n - b.at) * {100 + percent}L >= {need} "
-        f"and bit_count(a.parity ^ b.parity) * {100 + percent}L <= {100 - percent}L * (a.n + b.n)"
+        f"and (bit_count(a.even ^ b.even) + bit_count(a.odd ^ b.odd)) * {100 + percent}L <= {100 - percent}L * (a.n + b.n)"
     )
 
 
@@ -112,18 +116,17 @@ def room(percent: int) -> str:
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ranks: Column, percent: int, min_words: int) -> DataFrame:
-    """Those of the distinct ``pairs`` (a, b: sets, a_open, b_open) that reach the threshold and whose later line is open.
+    """Those of the distinct ``pairs`` (a, b: sets, settles) that reach the threshold and whose line a is the earlier one.
 
-    a, b, a_first, similarity: a is the set of the earlier line.
+    a, b, settles, a_first, similarity.
     """
-    ends = classes.select("set", "first", "n", "keys")
+    bits = bit_filter(pairs.select(F.explode(F.array("a", "b")).alias("key")))
+    ends = classes.where(may_hold(bits, F.col("set"))).select("set", "first", "n", "keys")
+    ends = materialize(ends, "line-ends")
     both = pairs.join(ends.toDF("a", "a_first", "a_n", "a_keys"), "a").join(ends.toDF("b", "b_first", "b_n", "b_keys"), "b")
-    both = both.where(f"if(a_first < b_first, b_open, a_open) = 1 and {room(percent)}")
-    turned = F.col("b_first") < F.col("a_first")
-    pick = lambda x, y, name: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(name)
-    both = materialize(both.select(
-        pick("a", "b", "a"), pick("b", "a", "b"), pick("a_first", "b_first", "a_first"), pick("b_first", "a_first", "b_first")
-    ), "line-pairs")
+    both = both.where(f"a_first < b_first and {room(percent)}").select("a", "b", "settles", "a_first", "b_first")
+    both = materialize(both, "line-pairs")
+    discard(ends)
     places = both.select(F.col("a_first").alias("f")).union(both.select(F.col("b_first").alias("f"))).select("f.*")
     keys = F.explode(F.array("text_key", line_key(F.col("doc_id"), F.col("text_key"), F.col("line")))).alias("key")
     bits = bit_filter(places.select(keys).distinct())
@@ -134,9 +137,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ranks: Colum
     items = materialize(items.groupBy("set").agg(F.first("items").alias("items")), "line-words")
     met = both.join(items.toDF("a", "a_items"), "a").join(items.toDF("b", "b_items"), "b")
     common = F.size(F.array_intersect("a_items", "b_items"))
-    met = met.select("a", "b", "a_first", common.alias("common"), (F.size("a_items") + F.size("b_items") - common).alias("all"))
+    met = met.select("a", "b", "settles", "a_first", common.alias("common"), (F.size("a_items") + F.size("b_items") - common).alias("all"))
     met = met.where(f"common * 100L >= {percent}L * all")
-    met = materialize(met.select("a", "b", "a_first", (F.col("common") / F.col("all")).alias("similarity")), "line-matches")
+    met = materialize(met.select("a", "b", "settles", "a_first", (F.col("common") / F.col("all")).alias("similarity")), "line-matches")
     discard(both)
     discard(items)
     return met
@@ -161,38 +164,54 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> D
     ranks = rarity(docs)
     sets = ordered_sets(lines_of(docs), ranks, min_words)
     kept = F.floor((F.lit(percent) * F.size("items") + 99) / 100)
-    parity = F.aggregate("items", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(
-        F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+    # which of 128 buckets hold an odd number of the set's words; a bucket is even or odd by the bit above the lowest six
+    parity = lambda side: F.aggregate("items", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(
+        F.call_function("shiftleft", F.shiftright(x, 6).bitwiseAND(1).bitwiseXOR(1 - side), x.bitwiseAND(63).cast("int"))
     ))
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "line")
     sets = materialize(
         sets.select(
-            place.alias("place"), F.xxhash64("items").alias("set"), F.size("items").alias("n"), parity.alias("parity"),
+            place.alias("place"), F.xxhash64("items").alias("set"), F.size("items").alias("n"), parity(0).alias("even"), parity(1).alias("odd"),
             F.slice("items", F.lit(1), (F.size("items") - kept + 1).cast("int")).alias("keys"),
         ), "line-sets",
     )
     classes = materialize(
-        sets.groupBy("set").agg(F.min("place").alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("keys").alias("keys")),
+        sets.groupBy("set").agg(F.min("place").alias("first"), *[F.first(c).alias(c) for c in ("n", "even", "odd", "keys")]),
         "line-classes",
     )
     places = materialize(sets.select("place", "set"), "line-places")
     discard(sets)
-    # each class against the earliest of its three rarest words
-    few = prefix_rows(classes).where("at < 3")
-    lead = few.groupBy("key").agg(F.min(F.struct("first", "set", "n", "at", "parity")).alias("l")).select("key", "l.*")
-    pairs = few.drop("first").alias("b").join(lead.drop("first").alias("a"), F.expr(fits(percent)))
-    pairs = pairs.select(F.col("a.set").alias("a"), F.col("b.set").alias("b"), F.lit(1).alias("a_open"), F.lit(1).alias("b_open")).distinct()
-    settled = verified(pairs, classes, docs, ranks, percent, min_words)
-    # what is still open against all; both sides read the same columns, so one shuffle serves them
-    done = settled.select(F.col("b").alias("set")).distinct().withColumn("open", F.lit(0))
-    rows = prefix_rows(classes.select("set", "n", "parity", "keys").join(done, "set", "left").select(
-        "set", "n", "parity", F.coalesce("open", F.lit(1)).alias("open"), "keys"
-    ))
-    order = "a.n <= b.n and (a.n < b.n or a.set < b.set) and a.open + b.open > 0 and "
-    pairs = rows.alias("a").join(rows.alias("b"), F.expr(order + fits(percent)))
-    pairs = pairs.select(*[F.col(f"{x}.set").alias(x) for x in "ab"], *[F.col(f"{x}.open").alias(f"{x}_open") for x in "ab"]).distinct()
+    # each class against the earliest ones of its words at places where a set of its size may meet it first
+    few = prefix_rows(classes.select("set", "first", "n", "even", "odd", "keys").where(
+        "first is not null and set is not null and n is not null and even is not null and odd is not null"  # none is; so both sides are one shuffle
+    )).where(f"at < 3 or at * {100 + percent} <= {100 - percent} * n").withColumn("rare", F.expr("cast(at < 3 as int)"))
+    order = Window.partitionBy("key").orderBy("first")
+    rarest = F.sum("rare").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    lead = few.withColumns({"turn": F.row_number().over(order), "leads": (F.col("rare") == 1) & (rarest == 1)})
+    lead = lead.where((F.col("turn") <= LEADERS) | F.col("leads"))
+    pairs = lead.alias("a").join(few.alias("b"), F.expr(f"a.first < b.first and {fits(percent)}"))
+    pairs = pairs.select(F.col("a.set").alias("a"), F.col("b.set").alias("b"), F.expr("cast(a.leads and b.rare = 1 as int)").alias("settles"))
+    pairs = materialize(pairs.groupBy("a", "b").agg(F.max("settles").alias("settles")), "line-leaders")
+    best = verified(pairs, classes, docs, ranks, percent, min_words).groupBy("b").agg(
+        F.min(F.struct((1 - F.col("settles")).alias("open"), "a_first", "similarity")).alias("m")
+    )
+    best = materialize(best.select("b", "m.*"), "line-best")
+    discard(pairs)
+    # what is not settled against all before its best match (upto <= doc); both sides read the same columns, so one shuffle serves them
+    last = F.lit((1 << 63) - 1)  # null doc_ids come last
+    doc = F.coalesce(F.col("first.doc_id"), last)
+    upto = F.when(F.col("open") == 0, F.lit(-1 << 63)).when(F.col("open") == 1, F.coalesce(F.col("a_first.doc_id"), last)).otherwise(doc)
+    met = may_hold(bit_filter(best.select(F.col("b").alias("key"))), F.col("set"))  # the others are spared the join
+    columns = ["set", "first", "n", "even", "odd", "keys"]
+    rows = classes.where(met).select(columns).join(best.withColumnRenamed("b", "set"), "set", "left").select(
+        *columns, F.coalesce(upto, doc).alias("upto")
+    ).union(classes.where(~met).select(*columns, doc.alias("upto")))
+    rows = prefix_rows(rows.select("set", "n", "even", "odd", doc.alias("doc"), "upto", "keys"))
+    pairs = rows.alias("a").join(rows.alias("b"), F.expr(f"greatest(a.doc, a.upto) <= least(b.doc, b.upto) and {fits(percent)}"))
+    pairs = pairs.select(F.col("a.set").alias("a"), F.col("b.set").alias("b"), F.lit(0).alias("settles")).distinct()
     pairs = materialize(pairs, "line-candidates")  # its shuffles go before the next ones begin
-    found = settled.union(verified(pairs, classes, docs, ranks, percent, min_words))
+    found = verified(pairs, classes, docs, ranks, percent, min_words).select("b", "a_first", "similarity")
+    found = best.select("b", "a_first", "similarity").union(found)
     found = found.groupBy("b").agg(F.min(F.struct("a_first", "similarity")).alias("m"))
     lines = places.join(classes.select("set", "first").join(found, classes["set"] == found["b"], "left"), "set")
     again = F.col("place") != F.col("first")

@@ -1,6 +1,7 @@
 """Operators against brute force, and on odd and empty tables."""
 
 import hashlib
+import os
 import re
 import time
 import zlib
@@ -323,6 +324,28 @@ def test_line_dedup(documents, texts):
         assert r.text == "\n".join(x for j, x in enumerate(texts[r.doc_id].split("\n")) if (r.doc_id, j) not in expected)
 
 
+def test_line_copies_do_not_meet_pairwise(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    base = [f"c{i}" for i in range(60)]
+    texts = {}
+    for i in range(400):  # near copies of one line; the three rarest words of each stand nowhere else
+        line = list(base)
+        for at in rng.choice(60, 3, replace=False):
+            line[at] = f"u{i}x{at}"
+        texts[i] = " ".join(line)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    pairs, verify = [], line_dedup.verified
+
+    def counted(some, *more):
+        pairs.append(some.count())
+        return verify(some, *more)
+
+    monkeypatch.setattr(line_dedup, "verified", counted)
+    got = {r.doc_id: r.kept_doc_id for r in line_dedup.duplicate_lines(docs).collect()}
+    assert got == dict.fromkeys(range(1, 400), 0)
+    assert sum(pairs) < 40 * len(texts)
+
+
 def test_short_lines_are_compared_too(spark, sf, documents, texts):
     lines, expected = {}, set()
     for i in sorted(texts):
