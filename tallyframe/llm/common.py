@@ -165,10 +165,11 @@ def bit_table(keys: DataFrame, column: str, bits: int = 24) -> np.ndarray:
     key = F.col(column).cast("long")
     cell = F.expr(f"shiftrightunsigned(`{column}` & {(1 << bits) - 1}L, 6)")
     bit = F.expr(f"shiftleft(1L, cast(`{column}` & 63L as int))")
-    found = (
-        keys.where(key.isNotNull()).select(cell.alias("cell"), bit.alias("bit"))
-        .groupBy("cell").agg(F.bit_or("bit").alias("bit")).toArrow()
-    )
+    with scratch.shuffles_dropped(keys.sparkSession):
+        found = (
+            keys.where(key.isNotNull()).select(cell.alias("cell"), bit.alias("bit"))
+            .groupBy("cell").agg(F.bit_or("bit").alias("bit")).toArrow()
+        )
     table = np.zeros(1 << (bits - 6), np.uint64)
     table[found["cell"].to_numpy()] = found["bit"].to_numpy().view(np.uint64)
     return table

@@ -14,6 +14,9 @@
    shared with the set before). The class's own set walks the tree once: overlaps of shared
    prefixes are counted once, and subtrees end where the rest cannot reach the threshold.
 
+Shingles take more room than the texts they come from, so they are not stored: a task builds them from
+the texts where it needs them. ``docs`` is read once for each such step.
+
 Set ids are 64-bit hashes: two different sets among n share one with odds of n**2 / 2**65.
 """
 
@@ -21,13 +24,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import Words, bit_table, in_table, materialize, mix, shingle_sets, signed, slices, small_batches
 from tallyframe.llm.components import components
-from tallyframe.scratch import discard
+from tallyframe.llm.line_dedup import bit_filter, may_hold
+from tallyframe.scratch import discard, shuffles_dropped
 
 ORDER_BITS = 16
 #: Candidates of one class that one prefix tree holds; more of them go to further trees.
@@ -51,47 +54,41 @@ def differing(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def shingled(docs: DataFrame, k: int, keyed: bool = False) -> DataFrame:
-    """row (a number of its own), doc_id, n (set size), sid (id of the set, null if empty), parity, shingles (sorted, packed).
+def set_id(shingles: np.ndarray) -> int | None:
+    return int(mix(np.bitwise_xor.reduce(mix(shingles + np.uint64(len(shingles)))).reshape(1)).view(np.int64)[0]) if len(shingles) else None
+
 
-    With ``keyed`` also text_key, the xxhash64 of the text."""
-    key = ["text_key"] if keyed else []
+def shingled(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, text_key (the xxhash64 of the text), n (set size), sid (id of the set, null if empty), parity."""
 
     def work(batches):
-        task, number = TaskContext.get().partitionId(), 0
         for part in slices(batches):
             sets = shingle_sets(Words(part.column("text")), k)
-            n = [len(s) for s in sets]
-            sid = [int(mix(np.bitwise_xor.reduce(mix(s + np.uint64(len(s)))).reshape(1)).view(np.int64)[0]) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(task << 33 | number, (task << 33 | number) + len(n)), pa.int64()), part.column("doc_id").cast(pa.int64()),
-                 pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array([parity(s) for s in sets], pa.binary()),
-                 pa.array([s.tobytes() for s in sets], pa.binary()), *[part.column(c) for c in key]],
-                names=["row", "doc_id", "n", "sid", "parity", "shingles", *key],
+                [part.column("doc_id").cast(pa.int64()), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([set_id(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary())],
+                names=["doc_id", "text_key", "n", "sid", "parity"],
             )
-            number += len(n)
 
-    columns = "row long, doc_id long, n long, sid long, parity binary, shingles binary" + "".join(f", {c} long" for c in key)
-    return docs.select("doc_id", "text", *[F.xxhash64("text").alias(c) for c in key]).mapInArrow(work, columns)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(
+        work, "doc_id long, text_key long, n long, sid long, parity binary"
+    )
 
 
-def bucket_ranks(sets: DataFrame) -> np.ndarray:
+def bucket_ranks(docs: DataFrame, k: int) -> np.ndarray:
     """Rank of each hash bucket by its number of shingles; 2**ORDER_BITS numbers whatever the input."""
     size = 1 << ORDER_BITS
 
     def count(batches):
         total = np.zeros(size, np.int64)
-        for batch in batches:
-            for s in batch.column("shingles"):
-                low = np.frombuffer(s.as_buffer(), np.uint64) & np.uint64(size - 1) if s.is_valid else np.zeros(0, np.uint64)
-                total += np.bincount(low.astype(np.int64), minlength=size) if len(low) > 4096 else 0
-                if len(low) <= 4096:
-                    np.add.at(total, low.astype(np.int64), 1)
+        for part in slices(batches):
+            sets = shingle_sets(Words(part.column("text")), k)
+            total += np.bincount((np.concatenate(sets) & np.uint64(size - 1)).astype(np.int64), minlength=size)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(total[hit], pa.int64())], names=["bucket", "n"])
 
-    with small_batches(sets.sparkSession):
-        found = sets.select("shingles").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    with small_batches(docs.sparkSession), shuffles_dropped(docs.sparkSession):
+        found = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(size, np.int64)
     total[found["bucket"].to_numpy()] = found["n"].to_numpy()
     ranks = np.empty(size, np.uint64)
@@ -105,28 +102,31 @@ def ordered(shingles: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return np.sort(ranks[low] << np.uint64(64 - ORDER_BITS) | shingles >> np.uint64(ORDER_BITS))
 
 
-def prefixes(sets: DataFrame, ranks: np.ndarray, percent: int) -> DataFrame:
-    """key, sid, n, at, p0-p3: the first shingles of each class, as many as a partner must hit at least one of."""
+def prefixes(docs: DataFrame, k: int, ranks: np.ndarray, percent: int) -> DataFrame:
+    """key, sid, n, at, before, p0-p3: the first shingles of each class, as many as a partner must hit at least one of.
+
+    ``before`` is the key at the place before."""
 
     def work(batches):
         done: set[int] = set()
-        for batch in batches:
+        for part in slices(batches):
             columns = [[] for _ in PREFIX_TYPES]
-            for sid, raw in zip(batch.column("sid").to_pylist(), batch.column("shingles")):
+            for s in shingle_sets(Words(part.column("text")), k):
+                sid = set_id(s)
                 if sid is None or sid in done:
                     continue
                 done.add(sid)
-                s = np.frombuffer(raw.as_buffer(), np.uint64)
                 n = len(s)
                 first = n - (percent * n + 99) // 100 + 1
                 odd = np.packbits((np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8), bitorder="little")
-                values = [signed(ordered(s, ranks)[:first]), np.full(first, sid), np.full(first, n, np.int32), np.arange(first, dtype=np.int32)]
+                keys = signed(ordered(s, ranks)[:first])
+                values = [keys, np.full(first, sid), np.full(first, n, np.int32), np.arange(first, dtype=np.int32), np.roll(keys, 1)]
                 for column, value in zip(columns, values + [np.full(first, w) for w in odd.view(np.int64)]):
                     column.append(value)
             if columns[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=list(PREFIX_TYPES))
 
-    return sets.select("sid", "shingles").mapInArrow(work, ", ".join(f"{k} {v}" for k, v in PREFIX_TYPES.items()))
+    return docs.select("text").mapInArrow(work, ", ".join(f"{k} {v}" for k, v in PREFIX_TYPES.items()))
 
 
 #: Pairs per row up to which all pairs of a key are looked at, rather than those with some more leaders.
@@ -135,7 +135,7 @@ PAIRS_A_ROW = 200
 LEADERS = 16
 #: Classes of one key that its leaders meet in one task.
 BLOCK_ROWS = 4096
-PREFIX_TYPES = {"key": "long", "sid": "long", "n": "int", "at": "int", "p0": "long", "p1": "long", "p2": "long", "p3": "long"}
+PREFIX_TYPES = {"key": "long", "sid": "long", "n": "int", "at": "int", "before": "long", "p0": "long", "p1": "long", "p2": "long", "p3": "long"}
 PREFIX_COLUMNS = [c for c in PREFIX_TYPES if c != "key"]
 
 
@@ -150,6 +150,10 @@ def fits(percent: int) -> str:
     )
 
 
+#: SQL: sets a and b do not share the keys right before this one too. Where they do, they meet there, and all that ``fits`` asks holds there.
+FIRST_OF_RUN = "(a.at = 0 or b.at = 0 or a.before <> b.before)"
+
+
 def walk(probe: np.ndarray, members: list[tuple[int, bytes]], percent: int) -> list[int]:
     """Members whose sets reach the threshold against ``probe``, by one walk over their prefix tree.
 
@@ -185,38 +189,42 @@ def walk(probe: np.ndarray, members: list[tuple[int, bytes]], percent: int) -> l
     return out
 
 
-def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, ranks: np.ndarray, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, ranks: np.ndarray, percent: int) -> DataFrame:
     """Those of the distinct candidate ``pairs`` (a, b) that reach the threshold."""
-    sketch = classes.select("sid", "row", "n", "parity")
-    both = pairs.join(sketch.toDF("a", "a_row", "a_n", "a_parity"), "a").join(sketch.toDF("b", "b_row", "b_n", "b_parity"), "b")
+    sketch = classes.select("sid", "text_key", "n", "parity")
+    both = pairs.join(sketch.toDF("a", "a_key", "a_n", "a_parity"), "a").join(sketch.toDF("b", "b_key", "b_n", "b_parity"), "b")
 
     def near(batches):
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("a_n", "b_n", "a_parity", "b_parity"))
             good = [differing(x, y) * (100 + percent) <= (100 - percent) * (n + m) for n, m, x, y in zip(*columns)]
-            yield batch.select(["a", "b", "a_row", "b_row"]).filter(pa.array(good, pa.bool_()))
+            yield batch.select(["a", "b", "a_key", "b_key"]).filter(pa.array(good, pa.bool_()))
 
-    both = both.select("a", "b", "a_row", "b_row", "a_n", "b_n", "a_parity", "b_parity").mapInArrow(
-        near, "a long, b long, a_row long, b_row long"
+    both = both.select("a", "b", "a_key", "b_key", "a_n", "b_n", "a_parity", "b_parity").mapInArrow(
+        near, "a long, b long, a_key long, b_key long"
     )
     both = materialize(both, "near-pairs")
-    ends = both.select(F.col("a_row").alias("row")).union(both.select(F.col("b_row").alias("row"))).distinct()
-    table = bit_table(ends, "row")
+    ends = both.select(F.col("a").alias("sid"), F.col("a_key").alias("key")).union(both.select("b", "b_key")).distinct()
+    table = bit_table(ends, "sid")
 
     def fetch(batches):
-        for batch in batches:
-            some = batch.filter(pa.array(in_table(table, batch.column("row").to_numpy())))
-            if some.num_rows:
-                items = [ordered(np.frombuffer(raw.as_buffer(), np.uint64), ranks).astype(">u8").tobytes() for raw in some.column("shingles")]
-                yield pa.RecordBatch.from_arrays([some.column("row"), pa.array(items, pa.binary())], names=["row", "items"])
-
-    items = sets.select("row", "shingles").mapInArrow(fetch, "row long, items binary").join(ends, "row", "left_semi")
-    items = materialize(items, "candidate-sets")
-    trees = both.groupBy("a").agg(F.first("a_row").alias("a_row"), F.ceil(F.count("*") / TREE_SETS).cast("long").alias("trees"))
-    members = both.drop("a_row").join(trees, "a").join(items, F.col("b_row") == items["row"]).select(
+        done: set[int] = set()
+        for part in slices(batches):
+            sets = {sid: s for s in shingle_sets(Words(part.column("text")), k) if (sid := set_id(s)) is not None and sid not in done}
+            done.update(sets)
+            sids = np.array(list(sets), np.int64)
+            sids = sids[in_table(table, sids)]
+            items = [ordered(sets[sid], ranks).astype(">u8").tobytes() for sid in sids.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(items, pa.binary())], names=["sid", "items"])
+
+    some = docs.where(may_hold(bit_filter(ends.select("key")), F.xxhash64("text"))).select("text")  # one text of each class will do
+    items = some.mapInArrow(fetch, "sid long, items binary").join(ends.select("sid"), "sid", "left_semi")
+    items = materialize(items.groupBy("sid").agg(F.first("items").alias("items")), "candidate-sets")
+    trees = both.groupBy("a").agg(F.ceil(F.count("*") / TREE_SETS).cast("long").alias("trees"))
+    members = both.select("a", "b").join(trees, "a").join(items, F.col("b") == items["sid"]).select(
         "a", F.pmod(F.xxhash64("b"), F.col("trees")).alias("tree"), "b", "items"
     )
-    probes = trees.join(items, F.col("a_row") == items["row"]).select(
+    probes = trees.join(items, F.col("a") == items["sid"]).select(
         "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("trees") - 1)).alias("tree"), F.lit(None).cast("long").alias("b"), "items"
     )
 
@@ -245,23 +253,25 @@ def with_turns(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, "key").withColumns({"turn": turn, "blocks": F.ceil(F.col("m") / BLOCK_ROWS).cast("long")}).drop("m")
 
 
-def links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None:
+def links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame | None:
     """node, component: the classes (sid) that the threshold connects; None if there are none.
 
-    ``sets`` are rows as of ``shingled``, ``classes`` one of them (row, sid, n, parity) for each sid.
+    ``classes`` (sid, text_key, n, parity) are those of the sets of ``docs``, one row for each sid.
     """
-    ranks = bucket_ranks(sets)
-    first = materialize(prefixes(sets, ranks, percent), "prefixes")
-    shared = first.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("key")
-    table = bit_table(shared, "key")
+    ranks = bucket_ranks(docs, k)
+    first = materialize(prefixes(docs, k, ranks, percent), "prefixes")
+    keys = first.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("key")
+    keys = materialize(keys, "shared-keys")
+    table = bit_table(keys, "key")
 
     def may_share(batches):
         for batch in batches:
             yield batch.filter(pa.array(in_table(table, batch.column("key").to_numpy())))
 
-    shared = first.mapInArrow(may_share, first.schema).join(shared, "key")
+    shared = first.mapInArrow(may_share, first.schema).join(keys, "key")
     shared = materialize(shared.distinct(), "shared-prefixes")
     discard(first)
+    discard(keys)
     found, comp, rounds = None, None, 0
     while True:
         if comp is None:
@@ -275,14 +285,15 @@ def links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None
         # pairs of a key in different components: all pairs less those within a component
         sizes = now.groupBy("key", "comp").agg(F.count("*").alias("m"))
         left = sizes.groupBy("key").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("pairs"), F.sum("m").alias("rows"))
-        left = left.agg(F.sum("pairs").alias("pairs"), F.sum("rows").alias("rows")).first()
+        with shuffles_dropped(now.sparkSession):
+            left = left.agg(F.sum("pairs").alias("pairs"), F.sum("rows").alias("rows")).first()
         if not left["pairs"]:
             break
         # looking at a pair costs far less than a round over all rows; either way every pair gets settled
         last = left["pairs"] <= (PAIRS_A_ROW if rounds else 1) * left["rows"]
         if last:
             a, b = now.alias("a"), now.alias("b")
-            pairs = a.join(b, F.expr(f"a.sid < b.sid and {fits(percent)}"))
+            pairs = a.join(b, F.expr(f"a.sid < b.sid and {FIRST_OF_RUN} and {fits(percent)}"))
             pairs = pairs.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"))
         elif not rounds:
             lead = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("sid").alias("h"), *PREFIX_COLUMNS, "comp")).alias("l"))
@@ -299,7 +310,7 @@ def links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None
             pairs = b.join(a, F.expr(f"a.block = b.block and (a.turn < b.turn or a.sid < b.sid) and {fits(percent)}"))
             pairs = pairs.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"))
             shared = shared.where(F.col("turn") > rounds)  # all others have led: every pair of theirs was looked at
-        new = materialize(verified(pairs.distinct(), classes, sets, ranks, percent), "links")
+        new = materialize(verified(pairs.distinct(), classes, docs, k, ranks, percent), "links")
         discard(stored)
         found = new if found is None else found.union(new)
         comp = materialize(components(found), "components")
@@ -309,14 +320,14 @@ def links(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None
     return comp
 
 
-def set_components(sets: DataFrame, percent: int) -> DataFrame:
-    """sid, comp (a sid of its component), component_id (the component's smallest doc_id) for every set of ``shingled``."""
-    # every class of equal sets, with its smallest id
+def set_components(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """sid, comp (a sid of its component), component_id (the component's smallest doc_id) for every set of ``sets``, the ``shingled`` ``docs``."""
+    # every class of equal sets, with its smallest id and one of its texts
     classes = sets.where("sid is not null").groupBy("sid").agg(
-        F.min("doc_id").alias("least"), F.min_by(F.struct("row", "n", "parity"), "row").alias("one")
-    ).select("sid", "least", "one.*")
+        F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.max("n").alias("n"), F.first("parity").alias("parity")
+    )
     classes = materialize(classes, "set-classes")
-    comp = links(sets.where("sid is not null"), classes, percent)
+    comp = links(docs, classes, k, percent)
     classes = classes.select("sid", "least")
     if comp is None:
         return classes.select("sid", F.col("sid").alias("comp"), F.col("least").alias("component_id"))
@@ -338,7 +349,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     no row of it has one. No rows give no rows; other columns are not read.
     """
     sets = materialize(shingled(docs, k), "shingles")
-    classes = set_components(sets, percent).drop("comp")
+    classes = set_components(docs, sets, k, percent).drop("comp")
     linked = sets.select("doc_id", "n", "sid").where("sid is not null").join(classes, "sid").select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", "sid"
     )
@@ -355,8 +366,8 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     and stay once. Null texts and texts without words are nobody's copy. No rows give no rows; other columns are kept
     whatever their names.
     """
-    sets = materialize(shingled(docs, k, keyed=True), "shingles")
-    classes = set_components(sets, percent)
+    sets = materialize(shingled(docs, k), "shingles")
+    classes = set_components(docs, sets, k, percent)
     members = sets.where("sid is not null").select("doc_id", "text_key", "sid").join(classes, "sid")
     members = materialize(members.select("comp", "doc_id", "text_key"), "members")
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")

@@ -119,6 +119,36 @@ def test_ngram_join_ends_on_keys_of_many_unlike_classes(spark):
     assert len({c for _, c in got.values()}) <= 2100
 
 
+def test_ngram_join_stores_no_shingles(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(map(str, rng.integers(0, 10**5, 3000))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stored, store = {}, ngram_join.materialize
+
+    def kept(df, label):
+        out = store(df, label)
+        stored[label] = sum(os.path.getsize(f.removeprefix("file:").replace("//", "/")) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", kept)
+    assert ngram_join.near_duplicates(docs, 3, 90).count() == 60
+    assert max(stored.values()) < 0.6 * sum(map(len, texts))
+
+
+def test_ngram_join_looks_once_at_keys_in_a_row(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = {}
+    for i in range(12):  # one word differs, so that nearly all keys are shared, one after the other
+        texts[i] = " ".join(words[: 30 * i] + [f"x{i}"] + words[30 * i + 1 :])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    ranks = ngram_join.bucket_ranks(docs, 1)
+    first = ngram_join.prefixes(docs, 1, ranks, 90).withColumn("comp", F.col("sid"))
+    a, b = first.alias("a"), first.alias("b")
+    every = a.join(b, F.expr(f"a.sid < b.sid and {ngram_join.fits(90)}")).select("a.sid", "b.sid").toDF("a", "b")
+    some = a.join(b, F.expr(f"a.sid < b.sid and {ngram_join.FIRST_OF_RUN} and {ngram_join.fits(90)}")).select("a.sid", "b.sid").toDF("a", "b")
+    assert set(every.collect()) == set(some.collect()) and 3 * some.count() < every.count()
+
+
 def test_ngram_join_all_turns(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "PAIRS_A_ROW", 0)  # rounds to the end
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 50)
