@@ -9,6 +9,10 @@ Blocks that occur elsewhere first are merged into runs along the first text, run
 by word to both sides, and what they cover in stretches of at least ``min_run`` words is the result.
 A passage of ``3 * WINDOW + min_words`` words and more always holds a whole block.
 
+Digests are made twice rather than stored: first to tell which occur more than once, in a table of bits,
+then for the blocks that may. Text of one word, or of a few in turn, equals one first block at every place;
+words next to that block are stored once and sent to all its places.
+
 Beside the blocks, whole lines are digested, whatever their length: a line that an earlier line equals
 goes, and so does a paragraph of such lines. ``min_run`` is for what starts or ends inside a line.
 """
@@ -17,11 +21,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import Words, bit_table, in_table, materialize, mix, signed, slices
-from tallyframe.scratch import discard
+from tallyframe.llm.common import Words, in_table, materialize, mix, signed, slices
+from tallyframe.llm.line_dedup import bit_filter, may_hold
+from tallyframe.scratch import discard, shuffles_dropped
 
 _BREAK = np.zeros(256, np.int64)
 _BREAK[list(b"\n\r.,;:!?|")] = 1
@@ -31,7 +36,11 @@ _FEED[list(b"\n\r")] = 1
 WINDOW = 12
 #: Words that a run is extended by at most to each side; a unit and a block are shorter.
 REACH = 64
-SIDES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+#: The table of digests that may repeat: bits in all (powers of two), and of each group that makes a part of it.
+TABLE_BITS, PART_BITS = 26, 16
+#: Digests that a task sorts before it hands them on.
+AT_ONCE = 1 << 20
+SIDES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32())]
 _FACTORS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd, so that powers can be divided by
 
 
@@ -46,8 +55,9 @@ def content_cuts(words: Words) -> np.ndarray:
     return cut
 
 
-def blocks(column: pa.Array, min_words: int) -> dict[str, np.ndarray]:
-    """All blocks and whole lines of some texts: row, h1, h2, whether a line, first word and word after, first code point and the one after."""
+def blocks(column: pa.Array, min_words: int, table: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Blocks and whole lines of some texts: h1 of all, or, of those that ``table`` has, row, h1, h2, whether a
+    line, first word and word after, first code point and the one after."""
     words = Words(column, "alnum")
     n = len(words.start)
     if not n:
@@ -71,21 +81,72 @@ def blocks(column: pa.Array, min_words: int) -> dict[str, np.ndarray]:
     whole = np.repeat([0, 1], [len(starts), len(lines)])
     starts, ends = np.concatenate((starts, lines)), np.concatenate((ends, lines[1:], [n]))
     row = np.concatenate((row, np.searchsorted(words.at, lines, "right") - 1))
-    out = {"whole": whole}
-    for name, factor, h in (("h1", _FACTORS[0], words.hash), ("h2", _FACTORS[1], mix(words.hash ^ np.uint64(0x5DEECE66D)))):
-        up, down = np.ones(n, np.uint64), np.ones(n, np.uint64)
+
+    def digester(factor, h):
+        up, down = np.ones(n, np.uint64), np.ones(n + 1, np.uint64)
         up[1:], down[1:] = np.uint64(factor), np.uint64(pow(factor, -1, 1 << 64))
         up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up, dtype=np.uint64)))
-        out[name] = signed(mix((total[ends] - total[starts]) * down[starts] + (ends - starts + (whole << 40)).astype(np.uint64)))
+        return lambda a, b, more: mix((total[b] - total[a]) * down[a] + (b - a + more).astype(np.uint64))
+
+    h1 = signed(digester(_FACTORS[0], words.hash)(starts, ends, whole << 40))
+    if table is None:
+        return {"h1": h1}
+    some = np.flatnonzero(in_table(table, h1))
+    starts, ends, row, whole, h1 = starts[some], ends[some], row[some], whole[some], h1[some]
+    h2 = signed(digester(_FACTORS[1], mix(words.hash ^ np.uint64(0x5DEECE66D)))(starts, ends, whole << 40))
     points = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
     base = points[words.offsets[row]]
-    return out | {
-        "row": row, "w0": starts - words.at[row], "w1": ends - words.at[row],
+    return {
+        "row": row, "h1": h1, "h2": h2, "whole": whole, "w0": starts - words.at[row], "w1": ends - words.at[row],
         "c0": points[words.start[starts]] - base, "c1": points[words.end[ends - 1]] - base,
     }
 
 
+def repeated(docs: DataFrame, min_words: int) -> np.ndarray:
+    """A table of bits (see ``in_table``) in which those of all h1 that occur more than once are set.
+
+    Tasks hand on their digests sorted into parts of the table, 32 more bits of each, none more than twice.
+    """
+    parts = 1 << (TABLE_BITS - PART_BITS)
+
+    def dealt(held):
+        h = np.concatenate(held).view(np.uint64)
+        low = h & np.uint64((1 << PART_BITS) - 1)
+        part = (h >> np.uint64(PART_BITS)) & np.uint64(parts - 1)
+        rest = (h >> np.uint64(TABLE_BITS)) & np.uint64((1 << (32 - PART_BITS)) - 1)
+        found, n = np.unique(part << np.uint64(32) | rest << np.uint64(PART_BITS) | low, return_counts=True)
+        found = np.repeat(found, np.minimum(n, 2))
+        at = np.searchsorted(found >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64)).astype("<i4") * 4
+        data = pa.BinaryArray.from_buffers(pa.binary(), parts, [None, pa.py_buffer(at), pa.py_buffer(found.astype("<u4"))])
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), data], names=["part", "digests"])
+
+    def deal(batches):
+        held = []
+        for part in slices(batches, limit=1 << 20):
+            held.append(blocks(part.column("text"), min_words)["h1"])
+            if sum(map(len, held)) >= AT_ONCE:
+                yield dealt(held)
+                held = []
+        if held:
+            yield dealt(held)
+
+    def again(rows: pa.Table) -> pa.Table:
+        found = np.sort(np.frombuffer(b"".join(rows.column("digests").to_pylist()), "<u4"))
+        bits = np.zeros(1 << PART_BITS, bool)
+        bits[found[1:][found[1:] == found[:-1]] & ((1 << PART_BITS) - 1)] = True
+        return pa.table({"part": rows.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()])})
+
+    with shuffles_dropped(docs.sparkSession):
+        found = docs.select("text").mapInArrow(deal, "part int, digests binary").where("length(digests) > 0").groupBy("part").applyInArrow(
+            again, "part int, bits binary"
+        ).toArrow()
+    table = np.zeros((parts, 1 << (PART_BITS - 6)), np.uint64)
+    for part, bits in zip(found["part"].to_pylist(), found["bits"].to_pylist()):
+        table[part] = np.frombuffer(bits, "<u8")
+    return table.reshape(-1)
+
+
 def repeated_spans(docs: DataFrame, min_words: int = 8, min_run: int = 25) -> DataFrame:
     """Spans to remove: doc_id, start, end (code points, end exclusive), n_words, kept_doc_id, kept_start, text_key.
 
@@ -96,35 +157,31 @@ def repeated_spans(docs: DataFrame, min_words: int = 8, min_run: int = 25) -> Da
     read. ``text_key`` (xxhash64 of the text) finds the rows of a span where doc_id does not.
     """
 
+    table = repeated(docs, min_words)
+    ints = ("whole", "w0", "w1", "c0", "c1")
+
     def cut(batches):
         for part in slices(batches, limit=1 << 20):
-            b = blocks(part.column("text"), min_words)
+            b = blocks(part.column("text"), min_words, table)
             at = pa.array(b["row"], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(b["h1"]), pa.array(b["h2"]), part.column("doc_id").cast(pa.int64()).take(at), part.column("text_key").take(at)]
-                + [pa.array(b[k].astype(np.int32)) for k in ("whole", "w0", "w1", "c0", "c1")],
-                names=["h1", "h2", "doc_id", "text_key", "whole", "w0", "w1", "c0", "c1"],
+                + [pa.array(b[k].astype(np.int32)) for k in ints],
+                names=["h1", "h2", "doc_id", "text_key", *ints],
             )
 
-    schema = "h1 long, h2 long, doc_id long, text_key long, whole int, w0 int, w1 int, c0 int, c1 int"
-    units = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(cut, schema)
-    units = stored = materialize(units, "units")
-    often = units.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
-    table = bit_table(often, "h1", bits=26)
-
-    def may_repeat(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(in_table(table, batch.column("h1").to_numpy())))
-
-    units = units.mapInArrow(may_repeat, schema)
+    units = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(
+        cut, ", ".join(["h1 long, h2 long, doc_id long, text_key long", *(f"`{k}` int" for k in ints)])
+    )
+    units = materialize(units, "units")
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "w0", "c0")
     first = units.select("h1", "h2", rank.alias("rank")).groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = units.join(first, ["h1", "h2"]).where(~rank.eqNullSafe(F.col("first"))).select(
         "doc_id", "text_key", "whole", "w0", "w1", "c0", "c1",
         F.col("first.doc_id").alias("kept"), F.col("first.text_key").alias("kept_key"), F.col("first.w0").alias("kept_w0"), F.col("first.c0").alias("kept_c0"),
-    ).distinct()
-    later = materialize(later, "later")
-    discard(stored)
+    )
+    later = materialize(later, "later")  # a place may be there twice, as a row of ``docs`` may
+    discard(units)
     lines = later.where("whole = 1").select("doc_id", "text_key", "w0", "w1", "c0", "c1", "kept", "kept_c0")
     runs = merged(later.where("whole = 0").withColumn("ahead", F.col("w0") - F.col("kept_w0")), ["doc_id", "text_key", "kept", "kept_key", "ahead"])
     columns = ["c0", "c1", "kept", "kept_c0"]
@@ -149,13 +206,15 @@ def merged(spans: DataFrame, keys: list[str], *more: str) -> DataFrame:
 
 
 def extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """``runs`` with all equal words before and after them: doc_id, text_key, w0, w1, c0, c1, kept, kept_c0."""
-    here = runs.select("doc_id", "text_key", "w0", "w1")
-    there = runs.select(F.col("kept").alias("doc_id"), F.col("kept_key").alias("text_key"), (F.col("w0") - F.col("ahead")).alias("w0"), (F.col("w1") - F.col("ahead")).alias("w1"))
-    asked = here.union(there).distinct().groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("w0", "w1")).alias("asked"))
-    asked = asked.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "asked")
+    """``runs`` with all equal words before and after them: doc_id, text_key, w0, w1, c0, c1, kept, kept_c0.
+
+    Words next to the first occurrences are stored, once for all runs that share one, and sent to the texts of the runs.
+    """
+    runs = runs.withColumns({"kept_w0": F.col("w0") - F.col("ahead"), "kept_w1": F.col("w1") - F.col("ahead")})
+    asked = runs.groupBy("kept", "kept_key").agg(F.collect_set(F.struct(F.col("kept_w0").alias("w0"), F.col("kept_w1").alias("w1"))).alias("asked"))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    texts = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("doc_id", "text_key", "text", "asked")
+    there = texts.where(may_hold(bit_filter(asked.select(F.col("kept_key").alias("key"))), F.col("text_key")))  # spares other texts the shuffle
+    there = there.join(asked, F.col("doc_id").eqNullSafe(F.col("kept")) & (F.col("text_key") == F.col("kept_key"))).select("doc_id", "text_key", "text", "asked")
 
     def look(batches):
         for part in slices(batches, limit=1 << 20):
@@ -168,47 +227,58 @@ def extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
                 for place in places:
                     w0, w1 = place["w0"], place["w1"]
                     low, high = max(at, at + w0 - REACH), min(end, at + w1 + REACH)
-                    # words outwards from the run; first code points up to it, last ones from it on
+                    # words outwards from the run; first code points up to it
                     rows.append((
                         doc, key, w0, w1, words.hash[low : at + w0][::-1].tobytes(), words.hash[at + w1 : high].tobytes(),
-                        (points[words.start[low : at + w0 + 1]] - base)[::-1].tolist(), (points[words.end[at + w1 - 1 : high]] - base).tolist(),
+                        (points[words.start[low : at + w0 + 1]] - base)[::-1].tolist(),
                     ))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [[]] * 8, SIDES)], names=["doc_id", "text_key", "w0", "w1", "before", "after", "starts", "ends"]
+                [pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [[]] * len(SIDES), SIDES)], names=["doc_id", "text_key", "w0", "w1", "before", "after", "starts"]
             )
 
     sides = materialize(
-        texts.mapInArrow(look, "doc_id long, text_key long, w0 int, w1 int, before binary, after binary, starts array<int>, ends array<int>")
+        there.mapInArrow(look, "doc_id long, text_key long, w0 int, w1 int, before binary, after binary, starts array<int>")
         .dropDuplicates(["doc_id", "text_key", "w0", "w1"]), "sides",
     )
-    a, b, r = sides.alias("a"), sides.alias("b"), runs.alias("r")
-    both = r.join(a, F.expr("r.doc_id <=> a.doc_id and r.text_key = a.text_key and r.w0 = a.w0 and r.w1 = a.w1")).join(
-        b, F.expr("r.kept <=> b.doc_id and r.kept_key = b.text_key and r.w0 - r.ahead = b.w0 and r.w1 - r.ahead = b.w1")
-    ).selectExpr(
-        "r.doc_id", "r.text_key", "r.w0", "r.w1", "r.kept", "a.before", "a.after", "a.starts", "a.ends",
-        "b.before as kept_before", "b.after as kept_after", "b.starts as kept_starts",
+    first = ["kept", "kept_key", "kept_w0", "kept_w1"]
+    wanted = runs.groupBy("doc_id", "text_key", *first).agg(F.collect_list("w0").alias("places"))
+    r, b = wanted.alias("r"), sides.alias("b")
+    met = r.join(b, F.expr("r.kept <=> b.doc_id and r.kept_key = b.text_key and r.kept_w0 = b.w0 and r.kept_w1 = b.w1")).selectExpr(
+        "r.doc_id", "r.text_key", "cast(null as string) as text", "r.places", "r.kept_w1 - r.kept_w0 as n", "r.kept", "b.before", "b.after", "b.starts",
     )
+    here = texts.where(may_hold(bit_filter(runs.select(F.col("text_key").alias("key")).distinct()), F.col("text_key")))
+    # a text, then its runs
+    both = here.unionByName(met, allowMissingColumns=True).repartition("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", F.col("text").isNull())
 
-    def common(x: bytes, y: bytes) -> int:
-        p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    def common(p: np.ndarray, q: np.ndarray) -> int:
         m = min(len(p), len(q))
         differ = np.flatnonzero(p[:m] != q[:m])
         return int(differ[0]) if len(differ) else m
 
     def grow(batches):
-        for batch in batches:
-            rows = batch.to_pylist()
-            left = [common(x["before"], x["kept_before"]) for x in rows]
-            right = [common(x["after"], x["kept_after"]) for x in rows]
-            values = [
-                [x["doc_id"] for x in rows], [x["text_key"] for x in rows], [x["w0"] - k for x, k in zip(rows, left)], [x["w1"] + k for x, k in zip(rows, right)],
-                [x["starts"][k] for x, k in zip(rows, left)], [x["ends"][k] for x, k in zip(rows, right)],
-                [x["kept"] for x in rows], [x["kept_starts"][k] for x, k in zip(rows, left)],
-            ]
+        words = points = None
+        for batch in slices(batches, limit=1 << 20):
+            rows = []
+            for x in batch.to_pylist():
+                if x["text"] is not None:
+                    words = Words(pa.array([x["text"]], pa.large_string()), "alnum")
+                    points = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
+                    continue
+                before, after = np.frombuffer(x["before"], np.uint64), np.frombuffer(x["after"], np.uint64)
+                for w0 in x["places"]:
+                    w1 = w0 + x["n"]
+                    left = common(words.hash[max(0, w0 - REACH) : w0][::-1], before)
+                    right = common(words.hash[w1 : w1 + REACH], after)
+                    rows.append((
+                        x["doc_id"], x["text_key"], w0 - left, w1 + right, points[words.start[w0 - left]], points[words.end[w1 + right - 1]], x["kept"], x["starts"][left],
+                    ))
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=["doc_id", "text_key", "w0", "w1", "c0", "c1", "kept", "kept_c0"])
+            columns = zip(*rows) if rows else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(columns, types)], names=["doc_id", "text_key", "w0", "w1", "c0", "c1", "kept", "kept_c0"])
 
-    return materialize(both.mapInArrow(grow, "doc_id long, text_key long, w0 int, w1 int, c0 int, c1 int, kept long, kept_c0 int"), "extended")
+    found = materialize(both.mapInArrow(grow, "doc_id long, text_key long, w0 int, w1 int, c0 int, c1 int, kept long, kept_c0 int"), "extended")
+    discard(sides)
+    return found
 
 
 def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:

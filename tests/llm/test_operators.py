@@ -333,6 +333,28 @@ def test_whole_lines_go_whatever_their_length(spark):
     ]
 
 
+def test_stored_are_blocks_that_repeat_and_words_at_first_places(spark, monkeypatch):
+    stored, write = {}, substring_dedup.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        stored[label] = out.count()
+        return out
+
+    monkeypatch.setattr(substring_dedup, "materialize", counted)
+    rng = np.random.default_rng(7)
+    def words(n):
+        return " ".join("".join(rng.choice(list("abcdefgh"), 7)) for _ in range(n))
+
+    once, again, short = words(300), words(60), words(11)
+    rows = [(1, f"{once}. {again} {'tick ' * 80}"), (2, f"{words(300)}. {again}. {short}. {words(9)}"), (3, f"{'tick ' * 200}. {short}. {words(20)}")]
+    got = {r.doc_id: r for r in substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    assert {k: texts[k][r.start : r.end] for k, r in got.items() if k != 1} == {2: again, 3: f"{'tick ' * 200}. {short}"}
+    assert stored["units"] < 420  # 300 of constant text, blocks of what stands twice
+    assert stored["sides"] < 20 < stored["runs"]  # each place of the constant text is a run, all from one first place
+
+
 # line dedup
 def test_line_dedup(documents, texts):
     lines, expected, index, seen = [], set(), defaultdict(list), set()
