@@ -16,6 +16,7 @@ from tallyframe.functions.journal import assertion_text, bracketed, header_text,
 from tallyframe.functions.text import name_key
 from tallyframe.model import Ledger
 from tallyframe.operators.validate import batch_errors, undeclared
+from tallyframe.scratch import shuffles_dropped
 from tallyframe.sources.storage import MANIFESTS, batches, file_system, month_routed
 
 LINE_ORDER = ["date", "tindex", "part", "side", "leg", "pos", "line"]
@@ -51,25 +52,27 @@ def render_journal(ledger: Ledger, two_decimals: bool = False, blank_lines: bool
     return out
 
 
-def write_journal(lines: DataFrame, path: str, *folders: str) -> None:
+def write_journal(lines: DataFrame, path: str, *folders: str, codec: str | None = None) -> None:
     """Month folders of text in journal order, and further folder columns below them.
 
     Range partitioning on the whole line order lets a big month, or a big transaction,
-    continue in the next part file; part files of a folder read in name order."""
+    continue in the next part file; part files of a folder read in name order.  ``codec``
+    compresses them; each is then read by one task."""
     routed = month_routed(lines)
     # Folders lead the order: the writer would else sort by them and lose the rest.
     order = ["year", "month", *folders, *LINE_ORDER]
-    (
-        routed.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .select("line", "year", "month", *folders)
-        .write.mode("append")
-        .partitionBy("year", "month", *folders)
-        .text(path)
-    )
+    with shuffles_dropped(lines.sparkSession):
+        (
+            routed.repartitionByRange(*order)
+            .sortWithinPartitions(*order)
+            .select("line", "year", "month", *folders)
+            .write.mode("append")
+            .partitionBy("year", "month", *folders)
+            .text(path, compression=codec)
+        )
 
 
-def append_journal(ledger: Ledger, path: str, batch: str) -> bool:
+def append_journal(ledger: Ledger, path: str, batch: str, codec: str | None = None) -> bool:
     """Append entries to their months as one batch; False where that batch is there already.
 
     The batch is checked first and refused whole.  Its lines go to a folder of its own
@@ -86,12 +89,13 @@ def append_journal(ledger: Ledger, path: str, batch: str) -> bool:
         last, same = known.agg(F.coalesce(F.max("number"), F.lit(0)), F.count(F.when(F.col("batch") == batch, 1))).first()
         if same:
             return False
-    wrong = batch_errors(ledger).limit(5).collect()
+    with shuffles_dropped(spark):
+        wrong = batch_errors(ledger).limit(5).collect()
     if wrong:
         raise ValueError("append refused: " + "; ".join(f"{r.rule} of {r.tindex} {r.detail}".strip() for r in wrong))
     folder = f"{last + 1:06d}-{batch}-{uuid.uuid4().hex[:8]}"
     lines = render_journal(ledger, blank_lines=True).withColumn("batch", F.lit(folder))
-    write_journal(lines, path, "batch")
+    write_journal(lines, path, "batch", codec=codec)
     system, place = file_system(spark, f"{path.rstrip('/')}/{MANIFESTS}/{last + 1:06d}.json")
     stream = system.create(place, False)  # fails where another writer took the number
     stream.write(bytearray(json.dumps({"number": last + 1, "batch": batch, "folder": folder}).encode()))
