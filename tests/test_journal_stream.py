@@ -4,6 +4,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
+from tallyframe.functions.journal import parse_amount, parsed_amounts
 from tallyframe.sinks import journal as out
 from tallyframe.sources import journal as src
 from tests.sample import sample_ledger
@@ -66,3 +69,13 @@ def test_counts_begin_anew_with_each_split():
         assert ends == [("a", 0, 6, 1, 0, True), ("a", 9, 2, 0, 2, False), ("b", 0, 1, 1, 0, True)]
     with pytest.raises(ValueError, match="not in order"):
         list(src._counted([pa.RecordBatch.from_pydict({**columns, "seq": np.zeros(len(file), np.int64)})]))
+
+
+def test_amounts_parsed_in_steps(spark):
+    texts = ["-1,234.50 EUR", "$-5", "EUR5", '2 "SOL2"', "", "EUR", None, '"A-1" 3', "1.2.3 X", "- 4.", ".5 Y", "9" * 40 + " Z", "-0 EUR"]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string")
+    got = parsed_amounts(rows, a=F.col("text"), c=F.lit("")).withColumn("want", parse_amount(F.col("text"))).collect()
+    assert [r.a for r in got] == [r.want for r in got] and all(r.c is None for r in got)
+    assert sum(r.a is not None for r in got) == 8
+    plan = parsed_amounts(rows, a=F.col("text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan  # as functions of rows, not interpreted one by one
